@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (one longer document is a chunk of its own).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

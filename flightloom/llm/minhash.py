@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .shared import components, staged, table
+from .shared import components, small_batches, staged, table
 
 #: Values of a band, and bands: with 4 x 25 a pair of similarity 0.8 is missed once in 500,000.
 ROWS, BANDS = 4, 25
@@ -164,6 +164,7 @@ def near_duplicates(
     Other columns of `docs` are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sigs = staged(spark, signatures(docs, id_col, text_col, shingle, rows, bands))
     linked = sigs.where("id is not null and sig is not null")
     classes = staged(spark, linked.groupBy("c1", "c2", "n_shingles").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("v")))
