@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, suffix_array, suffix_tree
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_array.op1,
+    "op5_suffix_tree_dedup": suffix_tree.op5,
     "op7_minhash_near_dedup": minhash.op7,
 }
 
