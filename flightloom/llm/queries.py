@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash, suffix_array, suffix_tree
+from . import language_id, minhash, sentencepiece_bpe, suffix_array, suffix_tree
 
 QUERIES = {
+    "op8_language_id": language_id.op8,
+    "op4_sentencepiece": sentencepiece_bpe.op4,
     "op1_suffix_array_dedup": suffix_array.op1,
     "op5_suffix_tree_dedup": suffix_tree.op5,
     "op7_minhash_near_dedup": minhash.op7,
