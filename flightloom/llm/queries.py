@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, sentencepiece_bpe, suffix_array, suffix_tree
+from . import language_id, minhash, mixing, sentencepiece_bpe, suffix_array, suffix_tree
 
 QUERIES = {
+    "op9_pfair_mixing": mixing.op9,
     "op8_language_id": language_id.op8,
     "op4_sentencepiece": sentencepiece_bpe.op4,
     "op1_suffix_array_dedup": suffix_array.op1,
