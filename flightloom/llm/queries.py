@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, mixing, sentencepiece_bpe, suffix_array, suffix_tree
+from . import language_id, minhash, mixing, pii, sentencepiece_bpe, suffix_array, suffix_tree
 
 QUERIES = {
+    "op10_pii_pseudonyms": pii.op10,
     "op9_pfair_mixing": mixing.op9,
     "op8_language_id": language_id.op8,
     "op4_sentencepiece": sentencepiece_bpe.op4,
