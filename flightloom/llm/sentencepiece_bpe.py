@@ -24,6 +24,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import small_batches, table
 
@@ -263,9 +264,11 @@ def piece_model(proto: bytes) -> PieceModel:
     return _models[proto]
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, ids, decoded): ids with an end id, and the text that they decode to.
 
+    With `keep` those columns of `docs` come in place of the id.
+
     One row for each row of `docs`; a null or empty text has the end id alone.
     Ids may be null or repeat; an empty table gives an empty result; other
     columns are not looked at.  The model file is read once, on the driver, and
@@ -277,11 +280,11 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(proto.value)
         for batch in batches:
-            at = 0
+            at, last = 0, batch.num_columns - 1
             while at < batch.num_rows:
                 ids, decoded, size, first = [], [], 0, at
                 while at < batch.num_rows and size < 4_000_000:
-                    text = batch.column(1)[at].as_py() or ""
+                    text = batch.column(last)[at].as_py() or ""
                     coded, back = model.encode(text)
                     ids.append(coded)
                     decoded.append(back)
@@ -290,10 +293,13 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+                kept = batch.slice(first, at - first).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, ids array<int>, decoded string")
+    columns = keep or [F.col(id_col).cast("long").alias("id")]
+    picked = docs.select(*columns, F.col(text_col).cast("string").alias("_whole_text"))
+    schema = picked.drop("_whole_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+    return picked.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
