@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, mixing, pii, sentencepiece_bpe, suffix_array, suffix_tree
+from . import language_id, licences, minhash, mixing, pii, sentencepiece_bpe, suffix_array, suffix_tree, vptree
 
 QUERIES = {
+    "op2_licence_scan": licences.op2,
+    "op3_vptree_neighbours": vptree.op3,
     "op10_pii_pseudonyms": pii.op10,
     "op9_pfair_mixing": mixing.op9,
     "op8_language_id": language_id.op8,
@@ -14,4 +16,6 @@ QUERIES = {
     "op7_minhash_near_dedup": minhash.op7,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_licence_scan": licences.oracle(),
+}
