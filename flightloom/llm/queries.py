@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language_id, licences, minhash, mixing, pii, sentencepiece_bpe, suffix_array, suffix_tree, vptree
+from . import images, language_id, licences, minhash, mixing, pii, sentencepiece_bpe, suffix_array, suffix_tree, vptree
 
 QUERIES = {
+    "op6_image_copies": images.op6,
     "op2_licence_scan": licences.op2,
     "op3_vptree_neighbours": vptree.op3,
     "op10_pii_pseudonyms": pii.op10,
