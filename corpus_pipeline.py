@@ -28,22 +28,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    columns = docs.columns
-    out = language_id.predict(docs, model, keep=columns)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    out = language_id.predict(packed, model, keep=["row"])
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of texts with a similarity of 0.8 or more over five-word shingles.
 
     Rows with a null id stay; of rows with the same id one stays."""
-    kept = minhash.near_duplicates(docs).where("kept and id is not null").select(F.col("id").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = minhash.near_duplicates(docs).where("kept and id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
     kept = staged(spark, kept)
-    out = docs.join(kept, "doc_id").select(*docs.columns, "_n")
-    if not kept.where("_n > 1").isEmpty():
-        once = out.where("_n > 1").dropDuplicates(["doc_id"])
-        out = out.where("_n = 1").unionByName(once)
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if kept.where("n > 1").isEmpty():
+        return out
+    return out.unionByName(docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Up to there every source is within one block of its target share."""
     weights = mixing.natural_weights(docs, power=POWER)
     placed = mixing.mix(docs.select("doc_id", "source"), weights).where("in_mix").groupBy("doc_id").agg(F.min("position").alias("_at"))
-    return docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(docs["*"], "_at").repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
+    joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
+    return joined.repartitionByRange(placed["_at"]).sortWithinPartitions(placed["_at"]).select(docs["*"])
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

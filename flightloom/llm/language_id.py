@@ -180,9 +180,10 @@ def predict(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text
 
     One row for each row of `docs`, whole texts.  Null texts, texts without a
     letter, and all texts where there was nothing to learn from, are `und` with
-    score 0.  Only the text decides; other columns are passed through."""
+    score 0.  Only the text decides; other columns are passed through, those of
+    the new columns' names are replaced."""
     small_batches(docs.sparkSession)
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("lang_pred", "score", "_whole_text")]
     picked = docs.select(*keep, F.col(text_col).cast("string").alias("_whole_text"))
     schema = picked.drop("_whole_text").schema.add("lang_pred", "string").add("score", "double")
 

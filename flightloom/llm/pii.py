@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import fresh, table
 
 #: Rounds of the network.
 ROUNDS = 8
@@ -206,18 +206,20 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """`docs` with personal data in the text replaced; with count_col also the number of values replaced.
 
     A null text stays null and counts 0, an empty one stays empty.  Other
-    columns, whatever their names, and repeated rows pass through.  An empty
+    columns, whatever their names, and repeated rows pass through (a column of
+    the name count_col is replaced).  An empty
     table gives an empty result."""
-    text = F.col(text_col).cast("string")
-    hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    hits_col, new_col = fresh(docs, "hits"), fresh(docs, "replaced")
+    text, hits, new = F.col(text_col).cast("string"), F.col(hits_col), F.col(new_col)
     likely = text.rlike(r"[0-9@=:]")
-    out = docs.withColumn("_hits", F.when(likely, hits)).withColumn("_new", F.transform("_hits", lambda h: pseudonym(h, key)))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), "_new", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size("_hits") > 0, joined).otherwise(text))
+    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    out = docs.withColumn(hits_col, F.when(likely, found)).withColumn(new_col, F.transform(hits, lambda h: pseudonym(h, key)))
+    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda gap, made: F.concat(gap, F.coalesce(made, F.lit("")))), "")
+    out = out.withColumn(text_col, F.when(F.size(hits) > 0, joined).otherwise(text))
     if count_col:
-        changed = F.size(F.filter(F.zip_with("_hits", "_new", lambda a, b: a != b), lambda x: x))
+        changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x))
         out = out.withColumn(count_col, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long"))
-    return out.drop("_hits", "_new")
+    return out.drop(hits_col, new_col)
 
 
 #: The query's key; a real one is a secret of the caller.

@@ -296,7 +296,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 kept = batch.slice(first, at - first).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(decoded, pa.string())], names=[*batch.schema.names[:-1], "ids", "decoded"])
 
-    columns = keep or [F.col(id_col).cast("long").alias("id")]
+    columns = [c for c in keep if c not in ("ids", "decoded", "_whole_text")] if keep else [F.col(id_col).cast("long").alias("id")]
     picked = docs.select(*columns, F.col(text_col).cast("string").alias("_whole_text"))
     schema = picked.drop("_whole_text").schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
     return picked.mapInArrow(run, schema)
