@@ -147,11 +147,11 @@ def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT o_orderkey, CASE WHEN p > 0 AND p <= 50 THEN 'low' WHEN p > 50 AND p <= 200 THEN 'mid' WHEN p > 200 AND p <= 100000 THEN 'high' END AS price_bin, CASE WHEN m >= 1 AND m < 4 THEN 'q1' WHEN m >= 4 AND m < 7 THEN 'q2' WHEN m >= 7 AND m < 13 THEN 'h2' END AS season,
-    o_orderstatus || '_' || o_orderpriority AS crossed, substring(o_orderpriority, 1, 2) AS pre, {d("p / greatest(m, 2.0)", "ratio")}, {d("p * p", "p_sq")}, {d("p * p * p", "p_cube")}, {d("CASE WHEN p > 0 THEN ln(p) END", "p_log")}
+    o_orderstatus || '_' || o_orderpriority AS crossed, substring(o_orderpriority, 1, 2) AS pre, {d("ln(p) / greatest(m, 2.0)", "ratio")}, {d("p * p", "p_sq")}, {d("p * p * p", "p_cube")}, {d("CASE WHEN p > 0 THEN ln(p) END", "p_log")}
     FROM (SELECT *, o_totalprice / 1000 AS p, month(o_orderdate) AS m FROM orders)""")
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"p": F.col("o_totalprice") / 1000, "m": F.month("o_orderdate")})
-    return o.select("o_orderkey", X.bucket(F.col("p"), [0, 50, 200, 100000], ["low", "mid", "high"]).alias("price_bin"), X.bucket(F.col("m"), [1, 4, 7, 13], ["q1", "q2", "h2"], right=False).alias("season"), X.crossed(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("crossed"), X.prefix(F.col("o_orderpriority"), 2).alias("pre"), r(X.over(F.col("p"), F.col("m"), 2.0), "ratio"), *rs({f"p_{k}": v for k, v in (("sq", F.col("p") * F.col("p")), ("cube", X.nonlinear(F.col("p"), "p")["p_cube"]), ("log", X.nonlinear(F.col("p"), "p")["p_log"]))}))
+    return o.select("o_orderkey", X.bucket(F.col("p"), [0, 50, 200, 100000], ["low", "mid", "high"]).alias("price_bin"), X.bucket(F.col("m"), [1, 4, 7, 13], ["q1", "q2", "h2"], right=False).alias("season"), X.crossed(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("crossed"), X.prefix(F.col("o_orderpriority"), 2).alias("pre"), r(X.over(F.log("p"), F.col("m"), 2.0), "ratio"), *rs({f"p_{k}": v for k, v in (("sq", F.col("p") * F.col("p")), ("cube", X.nonlinear(F.col("p"), "p")["p_cube"]), ("log", X.nonlinear(F.col("p"), "p")["p_log"]))}))
 
 
 @query(f"""WITH {TRACKS}, {FLIGHTS}, j AS (SELECT t.*, f.tow, f.typ, f.oew, f.mtow, lag(altitude) {OVER} AS h1, lag(groundspeed) {OVER} AS g1, t - lag(t) {OVER} AS dt FROM tracks t JOIN flights f USING (flight_id)),
@@ -471,11 +471,11 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_folds(tracks(spark, sf_dir), "flight_id", 9)
 
 
-_PRED = "pr AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_extendedprice AS y, l_extendedprice * (0.9 + (l_partkey % 21) / 100.0::DOUBLE) AS p, l_quantity * 1000 AS q FROM lineitem)"
+_PRED = "pr AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_extendedprice AS y, l_extendedprice * (0.9 + (l_partkey % 21) / 100.0::DOUBLE) AS p, l_quantity * 1000 / 7 AS q FROM lineitem)"
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_partkey") % 21 / 100)).alias("p"), (F.col("l_quantity") * 1000).alias("q"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_partkey") % 21 / 100)).alias("p"), (F.col("l_quantity") * 1000 / 7).alias("q"))
 
 
 @query(f"""WITH {_PRED}, m AS (SELECT *, avg(y) OVER (PARTITION BY g) AS a FROM pr) SELECT g, {d("sqrt(avg(pow(p - y, 2)))", "rmse")}, {d("avg(abs(p - y))", "mae")}, {d("avg(abs(p - y) / abs(y)) * 100", "mape")}, {d("avg(p - y)", "bias")}, {d("stddev_samp(p - y)", "error_std")}, {d("1 - sum(pow(p - y, 2)) / sum(pow(y - a, 2))", "r2")}, count(*) AS n FROM m GROUP BY g""")
