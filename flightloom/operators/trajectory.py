@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.atmosphere import FOOT, KNOT, isa_pressure, isa_temperature, mach_to_tas
-from ..functions.geo import interpolate_angle, interpolate_position, signed_turn
+from ..functions.geo import haversine, interpolate_angle, interpolate_position, signed_turn
 from ..functions.phases import gap_phase
 from .series import by
 
@@ -60,9 +60,11 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
     Cruise holds the mean Mach number of the ends and no vertical rate; climb and
     descent hold the mean calibrated speed and a steady rate. Needs latitude,
     longitude, altitude, track, mach, CAS, groundspeed at both ends."""
-    rows = gaps.withColumn("phase", gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place"))).withColumn(t_s, F.explode(F.sequence(F.col("t0") + 1, F.col("t1") - 1)))
+    ends = [F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")]
+    known = gaps.withColumns({"phase": gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place")), "_d": haversine(*ends, 1.0)})
+    rows = known.withColumn(t_s, F.explode(F.sequence(F.col("t0") + 1, F.col("t1") - 1)))
     f = (F.col(t_s) - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    lat, lon = interpolate_position(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"), f)
+    lat, lon = interpolate_position(*ends, f, F.col("_d"))
     altitude = F.col("a_altitude") + (F.col("b_altitude") - F.col("a_altitude")) * f
     h = altitude * FOOT
     mean = lambda c: (F.coalesce(f"a_{c}", f"b_{c}") + F.coalesce(f"b_{c}", f"a_{c}")) / 2

@@ -1,6 +1,8 @@
 """Queries over the driver's tables, by operator, each with its SQL where SQL can express it.
 
-Doubles are rounded to four digits on both sides: engines add in different orders."""
+Doubles are rounded to four digits on both sides, as engines add in different
+orders; a small shift first keeps values off the ties, which engines round
+differently."""
 
 from __future__ import annotations
 
@@ -16,6 +18,9 @@ from .operators import folds, imputation, joins, physics, series, trajectory
 from .plans.tables import FLIGHTS, INTERVALS, TRACKS, flights, intervals, tracks
 from .streaming import events as stream
 
+#: Added before rounding, on both sides.
+SHIFT = 0.0000031415926
+
 FLAGSHIP = "interval_features"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +40,7 @@ def query(sql: str | None = None):
 
 def r(c: Column | str, name: str | None = None) -> Column:
     """Rounded to four digits; -0.0 is 0.0."""
-    return (F.round(c, 4) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else "value"))
+    return (F.round((F.col(c) if isinstance(c, str) else c) + SHIFT, 4) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else "value"))
 
 
 def rs(columns: dict[str, Column]) -> list[Column]:
@@ -43,7 +48,7 @@ def rs(columns: dict[str, Column]) -> list[Column]:
 
 
 def d(expression: str, name: str) -> str:
-    return f"round(({expression})::DOUBLE, 4) + 0.0 AS {name}"
+    return f"round(({expression})::DOUBLE + {SHIFT}::DOUBLE, 4) + 0.0 AS {name}"
 
 
 ROW = ["flight_id", "pid"]
@@ -91,13 +96,13 @@ _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin((radians(la2) - rad
 
 @query(f"""WITH {TRACKS}, n AS (SELECT *, latitude AS la1, longitude AS lo1, lead(latitude) {OVER} AS la2, lead(longitude) {OVER} AS lo2, lead(us) {OVER} AS us2, lead(track) {OVER} AS k2 FROM tracks),
     b AS (SELECT *, {_HAV} AS m, degrees(atan2(sin(radians(lo2 - lo1)) * cos(radians(la2)), cos(radians(la1)) * sin(radians(la2)) - sin(radians(la1)) * cos(radians(la2)) * cos(radians(lo2 - lo1)))) AS az, (us2 - us) / 1e6 AS dt FROM n)
-    SELECT flight_id, pid, {d("m", "metres")}, {d("CASE WHEN az < 0 THEN az + 360 ELSE az END", "course")}, {d("m / CASE WHEN dt > 0 THEN dt END", "speed")},
+    SELECT flight_id, pid, {d("m / 1000", "km")}, {d("CASE WHEN az < 0 THEN az + 360 ELSE az END", "course")}, {d("m / CASE WHEN dt > 0 THEN dt END / 1000", "speed")},
     {d("least(abs(k2 - track), 360 - abs(k2 - track))", "turn")}, {d("((k2 - track + 180) % 360 + 360) % 360 - 180", "signed_turn")} FROM b""")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     la, lo, k = F.col("latitude"), F.col("longitude"), F.col("track")
     nxt = lambda c: F.lead(c).over(W)
     return tracks(spark, sf_dir).select(*ROW, *rs({
-        "metres": G.haversine(la, lo, nxt(la), nxt(lo)), "course": G.track_from_positions(la, lo, W), "speed": G.speed_from_positions(la, lo, F.col("us") / 1e6, W),
+        "km": G.haversine(la, lo, nxt(la), nxt(lo)) / 1000, "course": G.track_from_positions(la, lo, W), "speed": G.speed_from_positions(la, lo, F.col("us") / 1e6, W) / 1000,
         "turn": G.angle_between(k, nxt(k)), "signed_turn": G.signed_turn(k, nxt(k)),
     }))
 
@@ -471,11 +476,11 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.group_folds(tracks(spark, sf_dir), "flight_id", 9)
 
 
-_PRED = "pr AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_extendedprice AS y, l_extendedprice * (0.9 + (l_partkey % 21) / 100.0::DOUBLE) AS p, l_quantity * 1000 / 7 AS q FROM lineitem)"
+_PRED = "pr AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, l_extendedprice AS y, l_extendedprice * (0.9 + (l_partkey % 21) / 100.0::DOUBLE) AS p, l_quantity * 1000 / 7 + 0.123456789::DOUBLE AS q FROM lineitem)"
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_partkey") % 21 / 100)).alias("p"), (F.col("l_quantity") * 1000 / 7).alias("q"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") * (0.9 + F.col("l_partkey") % 21 / 100)).alias("p"), (F.col("l_quantity") * 1000 / 7 + 0.123456789).alias("q"))
 
 
 @query(f"""WITH {_PRED}, m AS (SELECT *, avg(y) OVER (PARTITION BY g) AS a FROM pr) SELECT g, {d("sqrt(avg(pow(p - y, 2)))", "rmse")}, {d("avg(abs(p - y))", "mae")}, {d("avg(abs(p - y) / abs(y)) * 100", "mape")}, {d("avg(p - y)", "bias")}, {d("stddev_samp(p - y)", "error_std")}, {d("1 - sum(pow(p - y, 2)) / sum(pow(y - a, 2))", "r2")}, count(*) AS n FROM m GROUP BY g""")
@@ -512,3 +517,6 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 8 HOUR AS session_end, count(*) AS n FROM k GROUP BY user_id, k""")
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id", "8 hours")
+
+
+from . import feature_queries  # noqa: E402, F401  registers more queries
