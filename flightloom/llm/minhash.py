@@ -10,11 +10,15 @@ full sets.  Components of the confirmed links are the classes.
 How large groups are kept apart from quadratic work:
 
 * documents with equal sets become one class first, through an aggregation;
-* in a bucket, everything is compared with the bucket's first member (a star,
-  linear); only members that are still in another component than that member
-  afterwards become pivots themselves, a growing number each round, and are
-  compared with those members that are still in another component.  All pairs
-  of a bucket are so either compared or already connected.
+* in a bucket everything is compared with one pivot (a star, linear).  The pivot
+  is the member with the most neighbours over all its buckets: in a group of
+  edited copies that is the text which they are copies of;
+* members that are still in another component than their bucket's pivot
+  afterwards, and only they, are compared with the other members inside tasks of
+  bounded size: first on sketches, to find out whose texts are needed at all,
+  then on full sets.  A pair is looked at in the first of its common buckets
+  only, a task gives out a link only where it joins two components, and pairs
+  themselves are never rows of a table.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .shared import components, small_batches, staged, table
@@ -33,8 +36,8 @@ from .shared import components, small_batches, staged, table
 #: Values of a band, and bands: with 4 x 25 a pair of similarity 0.8 is missed once in 500,000.
 ROWS, BANDS = 4, 25
 
-#: Pivots of a bucket in the first round after the star, and how many times as many in each later one.
-PIVOTS, GROWTH = 8, 4
+#: Members, and shingles of members, of a bucket that meet in one task.
+CHUNK_MEMBERS, CHUNK_SHINGLES = 20_000, 2_000_000
 
 #: Candidates are dropped whose estimate lies so many standard errors below the threshold.
 MARGIN = 6.0
@@ -82,8 +85,19 @@ def min_max(sets: list[np.ndarray], permutations: int) -> np.ndarray:
     return out
 
 
+def _band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    """32 bits of hash for each band of each signature."""
+    parts = values.reshape(len(values), -1, rows).astype(np.uint64)
+    out = np.zeros(parts.shape[:2], dtype=np.uint64)
+    for j in range(rows):
+        out = K.mix64(out + parts[:, :, j] * _U(0x9E3779B97F4A7C15) + _U(j + 1))
+    return (out >> _U(32)).astype(np.uint32)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, n_shingles, c1, c2, sig): c1 and c2 are a 128-bit fingerprint of the set; an empty set has no signature."""
+    """(id, n_shingles, c1, c2, sig, low, keys): c1 and c2 are a 128-bit fingerprint of the set; an empty set has no signature.
+
+    low holds the lowest byte of each value, enough for estimates, keys 32 bits of each band."""
     permutations = rows * bands // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +106,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows:
                 sets = shingle_sets(chunk, shingle)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig: list[bytes | None] = [None] * chunk.n
+                low: list[bytes | None] = [None] * chunk.n
+                keys: list[bytes | None] = [None] * chunk.n
                 if full:
-                    for i, row in zip(full, min_max([sets[i] for i in full], permutations), strict=True):
-                        sig[i] = row.tobytes()
+                    values = min_max([sets[i] for i in full], permutations)
+                    for i, row, key in zip(full, values, _band_keys(values, rows), strict=True):
+                        sig[i], low[i], keys[i] = row.tobytes(), row.astype(np.uint8).tobytes(), key.tobytes()
                 c1 = np.array([np.add.reduce(s) for s in sets], dtype=np.uint64)
                 c2 = np.array([np.add.reduce(K.mix64(s ^ _U(0x5851F42D4C957F2D))) for s in sets], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), K.signed(c1), K.signed(c2), pa.array(sig, pa.binary())],
-                    names=["id", "n_shingles", "c1", "c2", "sig"],
+                    [batch.column(0).slice(chunk.first, chunk.n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), K.signed(c1), K.signed(c2), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), pa.array(keys, pa.binary())],
+                    names=["id", "n_shingles", "c1", "c2", "sig", "low", "keys"],
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, sig binary")
+    return picked.mapInArrow(run, "id long, n_shingles long, c1 long, c2 long, sig binary, low binary, keys binary")
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -112,11 +129,11 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
+                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
                 keep = pa.array((left == right).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    sided = pairs.join(sigs.select(F.col("v").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("v").alias("b"), F.col("sig").alias("sb")), "b")
+    sided = pairs.join(sigs.select(F.col("v").alias("a"), F.col("low").alias("sa")), "a").join(sigs.select(F.col("v").alias("b"), F.col("low").alias("sb")), "b")
     return sided.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -149,7 +166,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, pivots: int = PIVOTS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, chunk: int = CHUNK_MEMBERS
 ) -> DataFrame:
     """One row for each row of `docs`: id, n_shingles, component_id, kept.
 
@@ -167,13 +184,13 @@ def near_duplicates(
     small_batches(spark)
     sigs = staged(spark, signatures(docs, id_col, text_col, shingle, rows, bands))
     linked = sigs.where("id is not null and sig is not null")
-    classes = staged(spark, linked.groupBy("c1", "c2", "n_shingles").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("v")))
+    classes = staged(spark, linked.groupBy("c1", "c2", "n_shingles").agg(F.min_by(F.struct("sig", "low", "keys"), "id").alias("s"), F.min("id").alias("v")).select("c1", "c2", "n_shingles", "v", "s.sig", "s.low", "s.keys"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    labels = _link_classes(spark, classes, texts, shingle, percent, rows, bands, pivots)
+    labels = _link_classes(spark, classes, texts, shingle, percent, rows, bands, chunk)
     found = classes.select("c1", "c2", "n_shingles", "v").join(labels, "v", "left").select("c1", "c2", "n_shingles", F.coalesce("comp", "v").alias("comp"))
     # rows of one id with several texts belong together whatever their texts
     twice = linked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    out = sigs.drop("sig").join(found, ["c1", "c2", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
+    out = sigs.drop("sig", "low", "keys").join(found, ["c1", "c2", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
     if not twice.isEmpty():
         same = out.join(twice, "id", "left_semi").select(F.col("id").alias("a"), F.col("comp").alias("b"))
         joined = components(spark, same).select(F.col("v").alias("comp"), F.col("comp").alias("to"))
@@ -181,47 +198,120 @@ def near_duplicates(
     return out.select("id", "n_shingles", F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
-def _link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, rows: int, bands: int, pivots: int) -> DataFrame:
+def _link_classes(spark: SparkSession, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, rows: int, bands: int, chunk: int) -> DataFrame:
     """(v, comp) for each class that has a link."""
     width = 4 * rows
     band = [F.xxhash64(F.lit(i), F.expr(f"substring(sig, {i * width + 1}, {width})")) for i in range(bands)]
-    listed = classes.select("v", F.col("n_shingles").alias("n"), F.explode(F.array(*band)).alias("bucket"))
-    firsts = listed.groupBy("bucket").agg(F.min("v").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "first")
-    buckets = staged(spark, listed.join(firsts, "bucket").select("bucket", "v", "n", "first"))
+    listed = classes.select("v", F.col("n_shingles").alias("n"), F.posexplode(F.array(*band)).alias("band", "bucket"))
+    sizes = listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = staged(spark, listed.join(sizes, "bucket"))
+    degrees = shared.groupBy("v").agg(F.sum("size").alias("degree"))
+    pivots = shared.join(degrees, "v").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("v")).alias("minus"), F.col("n").alias("m"))).alias("p"))
+    pivots = staged(spark, pivots.select("bucket", (-F.col("p.minus")).alias("pivot"), F.col("p.m").alias("m")))
+    buckets = staged(spark, shared.join(pivots, "bucket"))
     least = percent / 100 - MARGIN * (percent / 100 * (1 - percent / 100) / (rows * bands)) ** 0.5
-    sizes = classes.select(F.col("v").alias("first"), F.col("n_shingles").alias("m"))
     alike = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    star = buckets.where("v <> first").groupBy("v", "first").agg(F.max("n").alias("n"))
-    found = _verified(spark, star.join(sizes, "first").where(alike).select(F.col("first").alias("a"), F.col("v").alias("b")), classes, texts, shingle, percent, least)
+    star = buckets.where(f"v <> pivot and {alike}").select(F.least("v", "pivot").alias("a"), F.greatest("v", "pivot").alias("b")).distinct()
+    found = _verified(spark, staged(spark, _estimated(star, classes, least)), texts, shingle, percent)
     labels = components(spark, found)
 
-    # What the star left over: members in another component than the first of their bucket.
     def placed(df: DataFrame, key: str, to: str) -> DataFrame:
         return df.join(labels.select(F.col("v").alias(key), F.col("comp").alias("_c")), key, "left").withColumn(to, F.coalesce("_c", key)).drop("_c")
 
-    rest = placed(placed(buckets, "v", "cv"), "first", "cf").where("cv <> cf and v <> first").select("bucket", "v", "n")
-    ranked = rest.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("v")))
-    ranked = staged(spark, ranked.select("bucket", F.col("v").alias("p"), F.col("n").alias("m"), "r"))
-    most = ranked.agg(F.max("r")).first()[0] or 0
-    low, step = 0, pivots
-    while low < most:
-        chosen = placed(ranked.where((F.col("r") > low) & (F.col("r") <= low + step)), "p", "cp")
-        members = placed(buckets.join(chosen.select("bucket").distinct(), "bucket", "left_semi").where("v <> first"), "v", "cv")
-        pairs = members.join(chosen, "bucket").where(f"v <> p and cv <> cp and {alike}").select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
-        more = _verified(spark, pairs, classes, texts, shingle, percent, least)
-        if not more.isEmpty():
-            found = staged(spark, found.union(more))
-            labels = components(spark, found)
-        low, step = low + step, step * GROWTH
-    return labels
-
-
-def _verified(spark: SparkSession, pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, least: float) -> DataFrame:
-    pairs = staged(spark, _estimated(pairs, classes.select("v", "sig"), least))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    apart = placed(placed(buckets, "v", "comp"), "pivot", "main").where("comp <> main").select("bucket", "v", F.lit(True).alias("rest"))
+    apart = staged(spark, apart)
+    if apart.isEmpty():
+        return labels
+    members = placed(buckets.join(apart.select("bucket").distinct(), "bucket", "left_semi").join(apart, ["bucket", "v"], "left"), "v", "comp")
+    members = staged(spark, members.select("bucket", "band", "v", "n", "comp", F.coalesce("rest", F.lit(False)).alias("rest")))
+    sketched = members.join(classes.select("v", "low", "keys"), "v").withColumn("text", F.lit(None).cast("string"))
+    close = staged(spark, _in_buckets(sketched, percent, least, chunk, None).distinct())
+    if close.isEmpty():
+        return labels
+    needed = _texts_of(spark, texts, close.select(F.col("v").alias("id")).distinct())
+    held = members.join(close, ["bucket", "v"], "left_semi").join(classes.select("v", "low", "keys"), "v").join(needed.select(F.col("id").alias("v"), "text"), "v")
+    more = staged(spark, _in_buckets(held, percent, least, chunk, shingle).distinct())
+    return labels if more.isEmpty() else components(spark, found.unionByName(more))
+
+
+def _in_buckets(members: DataFrame, percent: int, least: float, chunk: int, shingle: int | None) -> DataFrame:
+    """Compares the rest of each bucket with its other members.
+
+    Without `shingle`: (bucket, v) of members of a pair that the sketches let
+    pass.  With it: links (a, b) between components, confirmed on the texts' sets.
+    Buckets larger than a chunk are cut both ways, rest against members, so
+    that a task holds two chunks at most."""
+    totals = members.groupBy("bucket").agg(*[f for name, when in (("m", F.lit(True)), ("x", F.col("rest"))) for f in (F.count(F.when(when, 1)).alias(f"c{name}"), F.sum(F.when(when, F.col("n"))).alias(f"n{name}"))])
+    parts = lambda k: F.greatest(F.ceil(F.col(f"c{k}") / chunk), F.ceil(F.coalesce(f"n{k}", F.lit(0)) / CHUNK_SHINGLES), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("v"), F.lit(1 << 20)).cast("int")
+    cut = members.join(totals.select("bucket", parts("m").alias("pm"), parts("x").alias("px")), "bucket")
+    # a member comes once for each part of the rest; a row of the rest is a member and comes for each other part, too
+    plain = cut.withColumns({"mi": F.pmod(own, F.col("pm")), "xi": F.explode(F.sequence(F.lit(0), F.col("px") - 1))})
+    asked = cut.where("rest").withColumns({"xi": F.pmod(own, F.col("px")), "mi": F.explode(F.sequence(F.lit(0), F.col("pm") - 1))})
+    names = ["bucket", "mi", "xi", "side", "band", "v", "n", "comp", "low", "keys", "text"]
+    both = plain.withColumn("side", F.lit(0)).select(*names).unionByName(asked.withColumn("side", F.lit(1)).select(*names))
+    both = both.repartition("bucket", "mi", "xi").sortWithinPartitions("bucket", "mi", "xi", "side", "v")
+
+    def close(band: int, v: np.ndarray, n: np.ndarray, comp: np.ndarray, low: np.ndarray, keys: np.ndarray, others: np.ndarray, x: int) -> np.ndarray:
+        fits = others[(comp[others] != comp[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+        if band and len(fits):
+            fits = fits[~(keys[fits, :band] == keys[x, :band]).any(axis=1)]
+        return fits[(low[fits] == low[x]).mean(axis=1) >= least] if len(fits) else fits
+
+    def compared(bucket: int, group: list[tuple]) -> pa.RecordBatch:
+        side, v, n, comp = (np.array([g[k] for g in group], dtype=np.int64) for k in (0, 2, 3, 4))
+        low, keys = np.frombuffer(b"".join(g[5] for g in group), dtype=np.uint8).reshape(len(group), -1), np.frombuffer(b"".join(g[6] for g in group), dtype=np.uint32).reshape(len(group), -1)
+        band, others = group[0][1], np.flatnonzero(side == 0)
+        if shingle is None:
+            seen = np.zeros(len(group), dtype=bool)
+            for x in np.flatnonzero(side == 1):
+                fits = close(band, v, n, comp, low, keys, others, x)
+                seen[fits] = True
+                seen[x] |= len(fits) > 0
+            mine = np.unique(v[seen])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), bucket)), pa.array(mine)], names=["bucket", "v"])
+        links, sets, postings = [], None, None
+        for x in np.flatnonzero(side == 1):
+            fits = close(band, v, n, comp, low, keys, others, x)
+            if not len(fits):
+                continue
+            if sets is None:
+                sets = [shingle_sets(K.Chunk([g[7].encode()], 0), shingle)[0] for g in group]
+                every, row = np.concatenate([sets[i] for i in others]), np.repeat(others, [len(sets[i]) for i in others])
+                order = np.argsort(every, kind="stable")
+                postings = every[order], row[order]
+            lo, hi = np.searchsorted(postings[0], sets[x]), np.searchsorted(postings[0], sets[x], side="right")
+            hits = np.concatenate([postings[1][a:b] for a, b in zip(lo, hi, strict=True)]) if len(lo) else np.zeros(0, dtype=np.int64)
+            both = np.bincount(hits, minlength=len(group))[fits]
+            for y in fits[100 * both >= percent * (len(sets[x]) + n[fits] - both)]:
+                if comp[y] != comp[x]:
+                    links.append((min(v[x], v[y]), max(v[x], v[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    if group:
+                        yield compared(at[0], group)
+                    at, group = row[:3], []
+                group.append(row[3:])
+        if group:
+            yield compared(at[0], group)
+
+    return both.mapInArrow(run, "bucket long, v long" if shingle is None else "a long, b long")
+
+
+def _texts_of(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    needed = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return staged(spark, _confirmed(pairs, needed, shingle, percent))
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    return staged(spark, _confirmed(pairs, _texts_of(spark, texts, ids), shingle, percent))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

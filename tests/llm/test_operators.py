@@ -128,11 +128,11 @@ def brute_components(rows, k, percent):
     return {i: top(i) for i in up}
 
 
-@pytest.mark.parametrize(("k", "percent", "best", "chunk"), [(3, 85, 2, 20_000), (5, 80, 1, 3)])
-def test_op7_components(docs, k, percent, best, chunk):
+@pytest.mark.parametrize(("k", "percent", "chunk"), [(3, 85, 20_000), (5, 80, 3)])
+def test_op7_components(docs, k, percent, chunk):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute_components(rows, k, percent)
-    got = minhash.near_duplicates(docs, shingle=k, percent=percent, best=best, chunk=chunk).collect()
+    got = minhash.near_duplicates(docs, shingle=k, percent=percent, chunk=chunk).collect()
     assert Counter((r.id, r.n_shingles) for r in got) == Counter((i, len(shingle_set(t, k))) for i, t in rows)
     assert all(r.component_id == (None if r.id is None else want[r.id]) for r in got)
     assert all(r.kept == (r.id is None or r.id == r.component_id) for r in got)
@@ -152,7 +152,7 @@ def test_op7_crowded_buckets_lose_no_link(spark, chunk):
             rows.append((len(rows), " ".join(words)))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.id: r.component_id for r in minhash.near_duplicates(df, shingle=3, percent=85, best=1, chunk=chunk).collect()}
+    got = {r.id: r.component_id for r in minhash.near_duplicates(df, shingle=3, percent=85, chunk=chunk).collect()}
     assert got == brute_components(rows, 3, 85)
 
 
