@@ -11,7 +11,7 @@ from .functions import statistics as S
 from .operators import imputation, joins, models, physics, series
 from .plans import features
 from .plans.tables import FLIGHTS, INTERVALS, TRACKS, flights, intervals, tracks
-from .queries import _IN, _PHASE, OVER, ROW, W, _inside, _rounded, d, query, r
+from .queries import _IN, _PHASE, OVER, ROW, _inside, _rounded, by_time, d, query, r
 
 
 @query(f"""WITH {TRACKS}, c AS (SELECT *, coalesce(TAS, groundspeed, 250) AS ftas, coalesce(altitude, 30000) AS h, coalesce((altitude - lag(altitude) {OVER}) / nullif((t - lag(t) {OVER})::DOUBLE, 0) * 60, 0) AS vr FROM tracks)
@@ -20,7 +20,7 @@ from .queries import _IN, _PHASE, OVER, ROW, W, _inside, _rounded, d, query, r
 def fallback_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of substitutes for speeds, height and rate, final clips, and where a value came from."""
     tas = F.coalesce("TAS", "groundspeed", F.lit(250.0))
-    steady = F.coalesce(series.rate(F.col("altitude"), F.col("t"), W) * 60, F.lit(0.0))
+    steady = F.coalesce(series.rate(F.col("altitude"), F.col("t"), by_time()) * 60, F.lit(0.0))
     mach = A.clamp(A.tas_to_mach(tas * A.KNOT, F.col("temp_k")), 0.4, 0.9)
     return tracks(spark, sf_dir).select(
         *ROW, r(tas, "tas_filled"), r(F.coalesce("altitude", F.lit(30000.0)), "alt_filled"), r(F.when(F.col("pid") % 2 == 0, F.col("vertical_rate")).otherwise(steady), "vr_filled"),

@@ -52,7 +52,12 @@ def d(expression: str, name: str) -> str:
 
 
 ROW = ["flight_id", "pid"]
-W = series.by("flight_id", "us")
+
+
+def by_time() -> Window:
+    return series.by("flight_id", "us")
+
+
 OVER = "OVER (PARTITION BY flight_id ORDER BY us)"
 
 # ---------------------------------------------------------------- scalar physics
@@ -100,9 +105,9 @@ _HAV = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin((radians(la2) - rad
     {d("least(abs(k2 - track), 360 - abs(k2 - track))", "turn")}, {d("((k2 - track + 180) % 360 + 360) % 360 - 180", "signed_turn")} FROM b""")
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     la, lo, k = F.col("latitude"), F.col("longitude"), F.col("track")
-    nxt = lambda c: F.lead(c).over(W)
+    nxt = lambda c: F.lead(c).over(by_time())
     return tracks(spark, sf_dir).select(*ROW, *rs({
-        "km": G.haversine(la, lo, nxt(la), nxt(lo)) / 1000, "course": G.track_from_positions(la, lo, W), "speed": G.speed_from_positions(la, lo, F.col("us") / 1e6, W) / 1000,
+        "km": G.haversine(la, lo, nxt(la), nxt(lo)) / 1000, "course": G.track_from_positions(la, lo, by_time()), "speed": G.speed_from_positions(la, lo, F.col("us") / 1e6, by_time()) / 1000,
         "turn": G.angle_between(k, nxt(k)), "signed_turn": G.signed_turn(k, nxt(k)),
     }))
 
@@ -165,7 +170,7 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     {d("CASE WHEN typ IN ('T1', 'T2') THEN flow ELSE coalesce(flow * CASE WHEN pid % 3 = 0 THEN NULL ELSE 1.1 END, flow) END", "fuel")}, {d("greatest(mtow - oew, 1)", "mass_above_oew")} FROM e""")
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = tracks(spark, sf_dir).join(flights(spark, sf_dir), "flight_id")
-    j = j.withColumns({"h1": F.lag("altitude").over(W), "g1": F.lag("groundspeed").over(W), "dt": F.col("t") - F.lag("t").over(W)})
+    j = j.withColumns({"h1": F.lag("altitude").over(by_time()), "g1": F.lag("groundspeed").over(by_time()), "dt": F.col("t") - F.lag("t").over(by_time())})
     e = X.energy(F.col("tow"), F.col("h1") * A.FOOT, F.col("altitude") * A.FOOT, F.col("g1") * A.KNOT, F.col("groundspeed") * A.KNOT, F.col("dt").cast("double"))
     c = X.compared(F.col("TAS"), F.col("CAS"), "s")
     m = X.physics_interactions(F.col("mtow"), F.col("oew"), F.lit(1.0), F.lit(1.0), F.lit(0.0))
@@ -213,10 +218,10 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     {d(f"CASE WHEN lag(groundspeed) {OVER} IS NOT NULL THEN groundspeed / (lag(groundspeed) {OVER} + 1e-6) END", "g_lag_ratio")}, {d(f"groundspeed - lead(groundspeed) {OVER}", "g_lead_diff")} FROM tracks""")
 def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("groundspeed")
-    n, c = series.neighbours(g, W, "g"), series.centred(g, W)
+    n, c = series.neighbours(g, by_time(), "g"), series.centred(g, by_time())
     return tracks(spark, sf_dir).select(*ROW, *rs({
-        "d_altitude": series.change(F.col("altitude"), W), "accel": series.rate(g, F.col("us"), W) * 1e6, "trail": series.trailing_mean(F.col("altitude"), "flight_id", "us", 86400), "ahead": series.forward_mean(F.col("altitude"), "flight_id", "us", 86400),
-        "cum_flow": series.running(F.col("flow"), W), "cum_max": series.running(F.col("altitude"), W, "max"), "roll_mean": c["roll_mean"], "roll_std": c["roll_std"], "g_lag_ratio": n["g_lag_ratio"], "g_lead_diff": n["g_lead_diff"],
+        "d_altitude": series.change(F.col("altitude"), by_time()), "accel": series.rate(g, F.col("us"), by_time()) * 1e6, "trail": series.trailing_mean(F.col("altitude"), "flight_id", "us", 86400), "ahead": series.forward_mean(F.col("altitude"), "flight_id", "us", 86400),
+        "cum_flow": series.running(F.col("flow"), by_time()), "cum_max": series.running(F.col("altitude"), by_time(), "max"), "roll_mean": c["roll_mean"], "roll_std": c["roll_std"], "g_lag_ratio": n["g_lag_ratio"], "g_lead_diff": n["g_lead_diff"],
     }))
 
 
@@ -302,7 +307,7 @@ def fuel_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     {d("coalesce(sum(altitude - h1) FILTER (altitude > h1), 0)", "climbed")}, {d("coalesce(sum(h1 - altitude) FILTER (altitude < h1), 0)", "descended")}, count(*) FILTER (phase <> ph1) AS n_changes, {d("corr(groundspeed, g1)", "autocorr")} FROM c GROUP BY flight_id""")
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tracks(spark, sf_dir).withColumn("phase", P.flight_phase(F.col("vertical_rate"), F.col("altitude")))
-    s = s.withColumns({"turn": G.signed_turn(F.lag("track").over(W), F.col("track")), "dh": series.change(F.col("altitude"), W), "dt": series.change(F.col("t"), W), "g1": F.lag("groundspeed").over(W), "ph1": F.lag("phase").over(W)})
+    s = s.withColumns({"turn": G.signed_turn(F.lag("track").over(by_time()), F.col("track")), "dh": series.change(F.col("altitude"), by_time()), "dt": series.change(F.col("t"), by_time()), "g1": F.lag("groundspeed").over(by_time()), "ph1": F.lag("phase").over(by_time())})
     turn, dh, zero = F.col("turn"), F.col("dh"), F.lit(0.0)
     out = s.groupBy("flight_id").agg(
         F.sum(F.abs(turn)).alias("turned"), F.count(S.only(F.abs(turn) > 25, turn)).alias("n_turns"), F.coalesce(F.sum(S.only(turn < 0, turn)), zero).alias("left_turn"), F.coalesce(F.sum(S.only(turn > 0, turn)), zero).alias("right_turn"), F.sum(F.col("groundspeed") * F.col("dt") / 3600).alias("distance_nm"),
@@ -314,7 +319,7 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRACKS}, n AS (SELECT *, row_number() {OVER} - 1 AS i, count(*) OVER (PARTITION BY flight_id) AS c FROM tracks)
     SELECT flight_id, {", ".join(f"count(*) FILTER (altitude >= {lo} AND altitude < {lo + 10000}) AS n_{lo}, {d(f"avg(groundspeed) FILTER (altitude >= {lo} AND altitude < {lo + 10000})", f"gs_{lo}")}" for lo in (0, 10000, 20000, 30000))}, {d("avg(groundspeed) FILTER (i >= c * 20 // 100 AND i < c * 40 // 100)", "gs_rows_20_40")} FROM n GROUP BY flight_id""")
 def altitude_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = tracks(spark, sf_dir).withColumns({"i": F.row_number().over(W) - 1, "c": F.count(F.lit(1)).over(Window.partitionBy("flight_id"))})
+    n = tracks(spark, sf_dir).withColumns({"i": F.row_number().over(by_time()) - 1, "c": F.count(F.lit(1)).over(Window.partitionBy("flight_id"))})
     h, g = F.col("altitude"), F.col("groundspeed")
     aggs = [x for lo in (0, 10000, 20000, 30000) for x in (F.count(S.only((h >= lo) & (h < lo + 10000), F.lit(1))).alias(f"n_{lo}"), F.avg(S.only((h >= lo) & (h < lo + 10000), g)).alias(f"gs_{lo}"))]
     rows = F.expr("i >= c * 20 div 100 and i < c * 40 div 100")
@@ -427,7 +432,7 @@ def smoothed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRACKS}, {FLIGHTS}, s AS (SELECT t.flight_id, pid, us, tow, coalesce(lag(coalesce(flow, 0)) {OVER} * (t - lag(t) {OVER}) / 3600.0, 0) AS step, oew, mtow FROM tracks t JOIN flights USING (flight_id)), b AS (SELECT *, sum(step) OVER (PARTITION BY flight_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS burnt FROM s)
     SELECT flight_id, pid, {d("burnt", "burnt")}, {d("greatest(tow - burnt, 0.5 * tow)", "mass")}, tow >= oew AND tow <= mtow AS valid, {d("greatest(oew, least(mtow, tow))", "clipped")} FROM b""")
 def mass_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).join(flights(spark, sf_dir), "flight_id").withColumns({"dt": F.coalesce(series.change(F.col("t"), W), F.lit(0)), "flow": F.coalesce("flow", F.lit(0.0))})
+    t = tracks(spark, sf_dir).join(flights(spark, sf_dir), "flight_id").withColumns({"dt": F.coalesce(series.change(F.col("t"), by_time()), F.lit(0)), "flow": F.coalesce("flow", F.lit(0.0))})
     b = physics.with_burn(t, "flight_id", "us", "flow", "dt")
     return b.select(*ROW, r("burnt"), r(physics.clamp_mass(F.col("tow"), F.col("burnt")), "mass"), physics.valid_tow(F.col("tow"), F.col("oew"), F.col("mtow")).alias("valid"), r(physics.clip_tow(F.col("tow"), F.col("oew"), F.col("mtow")), "clipped"))
 
@@ -436,7 +441,7 @@ def mass_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT flight_id, pid, n, tow, tow AS mass, tow * 0.00001::DOUBLE * groundspeed AS flow FROM s WHERE n = 1 UNION ALL SELECT s.flight_id, s.pid, s.n, s.tow, greatest(m.mass - m.flow * s.dt / 3600, 0.5 * s.tow), greatest(m.mass - m.flow * s.dt / 3600, 0.5 * s.tow) * 0.00001::DOUBLE * s.groundspeed FROM m JOIN s ON s.flight_id = m.flight_id AND s.n = m.n + 1)
     SELECT flight_id, pid, {d("mass", "mass")}, {d("flow", "flow")} FROM m""")
 def mass_with_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).join(flights(spark, sf_dir).select("flight_id", "tow"), "flight_id").withColumn("dt", series.change(F.col("t"), W).cast("double"))
+    t = tracks(spark, sf_dir).join(flights(spark, sf_dir).select("flight_id", "tow"), "flight_id").withColumn("dt", series.change(F.col("t"), by_time()).cast("double"))
     out = physics.mass_recursion(t, "flight_id", "us", "tow", lambda m, p: m * 0.00001 * p["groundspeed"], ["groundspeed", "pid"], "dt")
     return out.join(t.select("flight_id", "us", "pid"), ["flight_id", "us"]).select(*ROW, r("mass"), r("flow"))
 
