@@ -37,12 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps the smallest id of each group of texts with a similarity of 0.8 or more over five-word shingles.
 
     Rows with a null id stay; of rows with the same id one stays."""
-    kept = minhash.near_duplicates(docs).where("kept and id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    kept = staged(spark, kept)
-    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if kept.where("n > 1").isEmpty():
+    found = minhash.near_duplicates(docs).where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    special = staged(spark, found.where("not kept or n > 1"))
+    few = minhash.few(special)
+    out = docs.join(few(special), "doc_id", "left_anti")
+    repeated = special.where("kept")
+    if repeated.isEmpty():
         return out
-    return out.unionByName(docs.join(kept.where("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.join(few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ How large groups are kept apart from quadratic work:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ CHUNK_MEMBERS, CHUNK_SHINGLES = 20_000, 2_000_000
 #: Candidates are dropped whose estimate lies so many standard errors below the threshold.
 MARGIN = 6.0
 
-#: Ids of documents to verify are broadcast up to this many (8 MB), beyond that joined by shuffle.
+#: Ids of documents to verify or to remove are broadcast up to this many (8 MB), beyond that joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
@@ -304,9 +304,13 @@ def _in_buckets(members: DataFrame, percent: int, least: float, chunk: int, shin
     return both.mapInArrow(run, "bucket long, v long" if shingle is None else "a long, b long")
 
 
+def few(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """F.broadcast if there are at most BROADCAST_IDS rows, else a function that leaves the join to Spark."""
+    return F.broadcast if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else lambda df: df
+
+
 def _texts_of(spark: SparkSession, texts: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return texts.join(few(ids)(ids), "id", "left_semi")
 
 
 def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
