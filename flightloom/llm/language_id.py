@@ -25,6 +25,9 @@ LENGTH, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 #: The sample to train on: labelled documents of a language, windows of a document, and languages.
 DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 1000, 3, 512
 
+#: Rounds over the sample, and steps of 64 windows to make at least: small samples take more rounds.
+EPOCHS, LEAST_STEPS = 3, 600
+
 #: Windows that are looked up at once.
 BLOCK = 256
 
@@ -55,9 +58,10 @@ class ByteCNN:
             kept.append((cols, at, top > 0))
         return np.concatenate(pooled, axis=1), kept
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 3, batch: int = 64, rate: float = 0.004, seed: int = 0) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS, batch: int = 64, rate: float = 0.004, seed: int = 0) -> ByteCNN:
         """Adam on the cross-entropy; the order of the windows is fixed by the seed."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-least_steps // -(-len(x) // batch)))
         params = [self.embed, *self.filters, *self.bias, self.out, self.out_bias]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
