@@ -54,13 +54,12 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose slot in the mix comes before the first source runs out, in the mix's order.
+    """Orders all documents by their place in the mix.
 
-    Up to there every source is within one block of its target share.  A source
-    without a full block gets no target, as it would end the mix at its first
-    slot: of each source without a target one block at most stays, at the end."""
-    weights = mixing.natural_weights(docs, power=POWER, least=mixing.BLOCK_DOCS)
-    mixed = mixing.mix(docs.select("doc_id", "source"), weights).where("in_mix or (slot is null and block = 0)")
+    Every source is within one block of its target share among the sources that
+    have not ended, so small sources end early and large ones go on alone; none
+    of their documents is left out."""
+    mixed = mixing.mix(docs.select("doc_id", "source"), mixing.natural_weights(docs, power=POWER))
     placed = mixed.groupBy("doc_id").agg(F.min("position").alias("_at"))
     joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
     return joined.repartitionByRange(placed["_at"].asc_nulls_last()).sortWithinPartitions(placed["_at"].asc_nulls_last()).select(docs["*"])

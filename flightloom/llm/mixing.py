@@ -7,8 +7,11 @@ fills each slot from the released blocks.  Every source is then at every time
 within less than one block of its target share.
 
 Weights are rounded to multiples of 1 / period that sum to 1, so the schedule
-repeats after `period` slots: it is computed once for one period, which does not
-depend on the data, and each block gets its slot by a join.  Numbering the
+repeats after `period` slots: it is computed once for one period, and each block
+gets its slot by a join.  A source that has no block left leaves, the weights of
+the others are rounded anew and the next epoch begins, with a schedule of its
+own, until every document has a slot: there are at most as many epochs as
+sources, and only the sources' counts decide where they begin.  Numbering the
 documents of a source needs no sort of a whole source: hash buckets are counted,
 their counts are added up, and rows are numbered inside their bucket.
 """
@@ -41,9 +44,9 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     total = sum(positive.values())
     exact = {k: v / total * period for k, v in positive.items()}
     out = {k: max(1, int(v)) for k, v in exact.items()}
-    while sum(out.values()) < period:
+    for _ in range(period - sum(out.values())):
         out[max(out, key=lambda k: (exact[k] - out[k], k))] += 1
-    while sum(out.values()) > period:
+    for _ in range(sum(out.values()) - period):
         out[max((k for k in out if out[k] > 1), key=lambda k: (out[k] - exact[k], k))] -= 1
     return out
 
@@ -96,11 +99,12 @@ NEW = ("block", "release", "deadline", "slot", "position", "in_mix")
 def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 0) -> DataFrame:
     """Schedules documents: columns of `docs` and block, release, deadline, slot, position (longs), in_mix (boolean).
 
-    in_mix says that the slot lies before the first slot for which its source
-    has no full block left: up to there every source is within one block of
-    its target.  Where no source has a full block in the first period, and for
-    sources without weight, in_mix is false.  Nothing is dropped here: later
-    blocks keep their times, too, for whoever goes on with what is left.
+    Every document of a source with positive weight has a slot; others have
+    none.  in_mix says that the slot lies before the first slot for which a
+    source has no full block left: up to there every source is within one block
+    of its target.  After it the same holds for the sources that still have
+    blocks, with their weights made to sum to 1 again from the slot on at which
+    a source ended.  The last block of a source may be smaller than the others.
 
     position orders the whole mix: slot * block_docs + place inside the block.
     A null source counts as source ''.  Null ids sort first; rows with the same
@@ -108,27 +112,63 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     result.
     """
     spark = docs.sparkSession
-    slots = shares(weights, period)
-    pattern = spark.createDataFrame(schedule(slots, period), "_source string, _step long, _release long, _deadline long, _slot long")
-    dealt = spark.createDataFrame(list(slots.items()), "_source string, _share long")
+    weights = {s: w for s, w in weights.items() if w > 0}
+    spans, pattern, end = epochs(weights, _counts(docs, list(weights), source_col), block_docs, period)
+    spans = spark.createDataFrame(spans, "_of string, _epoch long, _first long, _last long, _share long, _begin long")
+    pattern = spark.createDataFrame(pattern, "_source string, _epoch long, _step long, _release long, _deadline long, _slot long")
     row = F.struct(*[F.col(c) for c in docs.columns if c.lower() not in NEW]).alias("_row")
-    placed = numbered(docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_named")), "_id", "_named", seed).join(F.broadcast(dealt), "_source", "left")
-    placed = placed.withColumn("block", F.expr(f"place div {block_docs}")).withColumn("_step", F.expr("block % _share")).withColumn("_round", F.expr("block div _share"))
-    placed = placed.join(F.broadcast(pattern), ["_source", "_step"], "left")
-    at = {k: F.col("_round") * period + F.col(f"_{k}") for k in ("release", "deadline", "slot")}
+    placed = numbered(docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_named")), "_id", "_named", seed)
+    placed = placed.withColumn("block", F.expr(f"place div {block_docs}")).join(F.broadcast(spans), (F.col("_source") == F.col("_of")) & F.col("block").between(F.col("_first"), F.col("_last")), "left")
+    placed = placed.withColumn("_step", F.expr("(block - _first) % _share")).withColumn("_round", F.expr("(block - _first) div _share"))
+    placed = placed.join(F.broadcast(pattern), ["_source", "_epoch", "_step"], "left")
+    at = {k: F.col("_begin") + F.col("_round") * period + F.col(f"_{k}") for k in ("release", "deadline", "slot")}
     placed = placed.withColumns(at).withColumn("position", F.col("slot") * block_docs + F.col("place") % block_docs)
-    end = _horizon(docs, slots, source_col, block_docs, period)
     return placed.withColumn("in_mix", F.coalesce(F.col("slot") < end, F.lit(False))).select("_row.*", *NEW)
 
 
-def _horizon(docs: DataFrame, slots: dict[str, int], source_col: str, block_docs: int, period: int) -> int:
-    """First slot for which a source has no full block left; the sources' counts are at most `period` numbers."""
+def _counts(docs: DataFrame, names: list[str], source_col: str) -> dict[str, int]:
+    """Documents of each of the sources that has any; at most `period` numbers."""
     named = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    have = {r["s"]: r["n"] // block_docs for r in named.where(F.col("s").isin(list(slots))).collect()}
-    where = {(name, k): slot for name, k, _, _, slot in schedule(slots, period)}
+    return {r["s"]: r["n"] for r in named.where(F.col("s").isin(names)).collect()}
+
+
+def _first_without(have: dict[str, int], slots: dict[str, int], where: dict[tuple[str, int], int], period: int) -> int:
+    """First slot for which a source with `have` blocks has none left."""
     return min((have.get(s, 0) // n * period + where[s, have.get(s, 0) % n] for s, n in slots.items()), default=0)
 
 
+def epochs(weights: dict[str, float], counts: dict[str, int], block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> tuple[list[tuple], list[tuple], int]:
+    """Epochs from one source's end to the next, until all blocks of sources with positive weight are placed.
+
+    Returns (source, epoch, first block, last block, share, first slot), then
+    (source, epoch, step, release, deadline, slot in the period), and the first
+    slot for which a source has no full block left."""
+    slots = shares(weights, period)
+    where = {(name, k): slot for name, k, _, _, slot in schedule(slots, period)}
+    end = _first_without({s: n // block_docs for s, n in counts.items()}, slots, where, period)
+    left = {s: -(-counts[s] // block_docs) for s in slots if counts.get(s, 0) > 0}
+    done, begin = dict.fromkeys(left, 0), 0
+    spans, pattern = [], []
+    for epoch in range(len(left)):
+        if not left:
+            break
+        slots = shares({s: weights[s] for s in left}, period)
+        plan = schedule(slots, period)
+        length = _first_without(left, slots, {(name, k): slot for name, k, _, _, slot in plan}, period)
+        given = {s: length // period * n for s, n in slots.items()}
+        for name, k, release, deadline, slot in plan:
+            given[name] += slot < length % period
+            if slot < length:
+                pattern.append((name, epoch, k, release, deadline, slot))
+        for s, n in given.items():
+            if n:
+                spans.append((s, epoch, done[s], done[s] + n - 1, slots[s], begin))
+            done[s] += n
+        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
+        begin += length
+    return spans, pattern, end
+
+
 #: Targets of the query: shares lean towards small sources.
 QUERY_POWER = 0.7
 

@@ -299,6 +299,23 @@ def test_op9_mix(spark):
     assert mixing.mix(df.limit(0), {"a": 1}).count() == 0 and mixing.mix(df, {}).where("in_mix").count() == 0
 
 
+def test_op9_small_source_does_not_end_the_mix(spark):
+    sizes = {"big": 3000, "mid": 700, "tiny": 5, "": 17}
+    rows = [(i, s or None) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(df, mixing.natural_weights(df, power=0.7), block_docs=4, period=50).collect()
+    assert len(got) == len(rows) and all(r.slot is not None and r.release <= r.slot < r.deadline for r in got)
+    assert len({r.position for r in got}) == len(rows)
+    slots = {r.slot: r.source for r in got}
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    assert sorted(slots) == list(range(sum(blocks.values()))) and Counter(s or "" for s in slots.values()) == blocks
+    assert 0 < sum(r.in_mix for r in got) < len(rows) / 2
+    # once the two small ones have ended, the others go on at their own targets
+    ended, last = (max(t for t, s in slots.items() if s in of) + 1 for of in (("tiny", None), ("mid",)))
+    share = mixing.shares({"big": 3000**0.7, "mid": 700**0.7}, 50)["mid"] / 50
+    assert all(abs(sum(slots[k] == "mid" for k in range(ended, t)) - share * (t - ended)) < 2 for t in range(ended, last + 1))
+
+
 def luhn(d):
     return sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(d))) % 10 == 0
 

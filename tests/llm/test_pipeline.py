@@ -56,6 +56,12 @@ def test_stages(spark):
     assert docs.where("not round_trip").count() == 0
 
 
+def test_mix_keeps_every_document(spark):
+    rows = [(i, "t", "en", "big" if i < 2000 else "small", 1) for i in range(2020)] + [(None, "t", "en", "big", 1), (7, "t", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(repr, corpus_pipeline.mix_sources(spark, docs, "").collect())) == sorted(map(repr, docs.collect()))
+
+
 def test_run_and_empty(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
