@@ -59,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every source is within one block of its target share among the sources that
     have not ended, so small sources end early and large ones go on alone; none
     of their documents is left out."""
-    mixed = mixing.mix(docs.select("doc_id", "source"), mixing.natural_weights(docs, power=POWER))
+    mixed = mixing.mix(docs.select("doc_id", "source"), mixing.natural_weights(docs, power=POWER), rest_power=POWER)
     placed = mixed.groupBy("doc_id").agg(F.min("position").alias("_at"))
     joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
     return joined.repartitionByRange(placed["_at"].asc_nulls_last()).sortWithinPartitions(placed["_at"].asc_nulls_last()).select(docs["*"])

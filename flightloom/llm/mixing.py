@@ -14,6 +14,11 @@ own, until every document has a slot: there are at most as many epochs as
 sources, and only the sources' counts decide where they begin.  Numbering the
 documents of a source needs no sort of a whole source: hash buckets are counted,
 their counts are added up, and rows are numbered inside their bucket.
+
+Only so many sources fit a period.  All others are one scheduled source, REST,
+inside which document k of a source of n documents and weight w comes at the
+time (k + phase) / w, the phase a hash of the source's name: each has its share
+of REST until its documents end, and the others share what it leaves.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import heapq
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +38,9 @@ BLOCK_DOCS, PERIOD = 16, 1000
 #: Documents that a hash bucket is meant to hold.
 BUCKET_DOCS = 20_000
 
+#: Name under which weights have all sources that they do not name.
+REST = None
+
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Whole slots of each source in a period, largest remainders first (ties by name); each positive weight gets one at least."""
@@ -44,8 +52,8 @@ def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     total = sum(positive.values())
     exact = {k: v / total * period for k, v in positive.items()}
     out = {k: max(1, int(v)) for k, v in exact.items()}
-    for _ in range(period - sum(out.values())):
-        out[max(out, key=lambda k: (exact[k] - out[k], k))] += 1
+    for k in sorted(out, key=lambda k: (exact[k] - out[k], k), reverse=True)[: max(0, period - sum(out.values()))]:
+        out[k] += 1
     for _ in range(sum(out.values()) - period):
         out[max((k for k in out if out[k] > 1), key=lambda k: (out[k] - exact[k], k))] -= 1
     return out
@@ -78,25 +86,49 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, seed: int = 0) -> Da
     keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn("_order", mixed).withColumn("_bucket", F.pmod(F.shiftright("_order", 13), F.lit(buckets)))
     counts = staged(spark, keyed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("n")))
     before = F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")
-    starts = counts.select("_source", "_bucket", before.alias("_before"))
+    starts = counts.select("_source", "_bucket", before.alias("_before"), F.sum("n").over(Window.partitionBy("_source")).alias("_total"))
     inside = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", F.col(id_col)))
     ranked = keyed.withColumn("_inside", inside)
     return ranked.join(starts, ["_source", "_bucket"]).withColumn("place", F.col("_before") + F.col("_inside") - 1).drop("_bucket", "_order", "_before", "_inside")
 
 
-def natural_weights(docs: DataFrame, source_col: str = "source", power: float = 1.0, most: int = 500, least: int = 1) -> dict[str, float]:
-    """Target weights (documents of the source) ** power for the `most` largest sources of `least` documents or more; null sources are called ''.
+def dealt_together(docs: DataFrame, id_col: str, source_col: str, seed: int = 0, power: float = 1.0) -> DataFrame:
+    """As numbered(), but place numbers the documents of all sources together, a source of n documents with the weight n ** power."""
+    weight = F.pow(F.col("_total").cast("double"), F.lit(float(power)))
+    phase = (F.pmod(F.xxhash64(F.lit(seed), F.col("_source")), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    timed = numbered(docs, id_col, source_col, seed).withColumn("_time", (F.col("place") + phase) / weight)
+    # at no time are more documents due than at the start, when all sources have some
+    first = timed.where("place = 0").agg(F.max(F.col("_total") / weight).alias("last"), F.sum(weight).alias("rate")).first()
+    width = max(BUCKET_DOCS / first["rate"], first["last"] / 1_000_000) if first["rate"] else 1.0
+    timed = timed.drop("_total").withColumn("_part", F.floor(F.col("_time") / width))
+    counts = staged(docs.sparkSession, timed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")))
+    starts = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_time", "_source", "place"))
+    ranked = timed.withColumn("_inside", inside).join(F.broadcast(starts), "_part")
+    return ranked.withColumn("place", F.col("_before") + F.col("_inside") - 1).drop("_part", "_time", "_before", "_inside")
+
 
+def natural_weights(docs: DataFrame, source_col: str = "source", power: float = 1.0, most: int = 500, least: int = 1) -> dict[str | None, float]:
+    """Target weights (documents of the source) ** power of sources of `least` documents or more; null sources are called ''.
+
+    The `most` largest have their own weights, all others the sum of theirs, under REST.
     Powers below 1 lift small sources."""
-    rows = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).collect()
-    return {r["s"]: float(r["count"]) ** power for r in rows}
+    named = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    counts = staged(docs.sparkSession, named)
+    rows = counts.orderBy(F.desc("n"), "s").limit(most).collect()
+    out = {r["s"]: float(r["n"]) ** power for r in rows}
+    if len(rows) == most:
+        rest = counts.where(~F.col("s").isin(list(out))).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(float(power)))).alias("w")).first()["w"]
+        if rest:
+            out[REST] = rest
+    return out
 
 
 #: Columns that mix() adds.
 NEW = ("block", "release", "deadline", "slot", "position", "in_mix")
 
 
-def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float], id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 0, rest_power: float = 1.0) -> DataFrame:
     """Schedules documents: columns of `docs` and block, release, deadline, slot, position (longs), in_mix (boolean).
 
     Every document of a source with positive weight has a slot; others have
@@ -106,30 +138,42 @@ def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", sour
     blocks, with their weights made to sum to 1 again from the slot on at which
     a source ended.  The last block of a source may be smaller than the others.
 
+    A weight under REST is that of all sources without one together.  They count
+    as one source, whose blocks hold documents of several; inside it they have
+    weights (documents of the source) ** rest_power.
+
     position orders the whole mix: slot * block_docs + place inside the block.
     A null source counts as source ''.  Null ids sort first; rows with the same
     id, or repeated, are documents of their own.  An empty table gives an empty
     result.
     """
     spark = docs.sparkSession
-    weights = {s: w for s, w in weights.items() if w > 0}
-    spans, pattern, end = epochs(weights, _counts(docs, list(weights), source_col), block_docs, period)
+    names = [s for s in weights if s is not REST]
+    rest = weights.get(REST, 0) > 0
+    label = _label(F.col(source_col), names, rest)
+    counts = {r["s"]: r["n"] for r in docs.groupBy(label.alias("s")).agg(F.count(F.lit(1)).alias("n")).where("s is not null").collect()}
+    spans, pattern, end = epochs({"rest" if s is REST else "=" + s: w for s, w in weights.items()}, counts, block_docs, period)
     spans = spark.createDataFrame(spans, "_of string, _epoch long, _first long, _last long, _share long, _begin long")
-    pattern = spark.createDataFrame(pattern, "_source string, _epoch long, _step long, _release long, _deadline long, _slot long")
+    pattern = spark.createDataFrame(pattern, "_of string, _epoch long, _step long, _release long, _deadline long, _slot long")
     row = F.struct(*[F.col(c) for c in docs.columns if c.lower() not in NEW]).alias("_row")
-    placed = numbered(docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_named")), "_id", "_named", seed)
-    placed = placed.withColumn("block", F.expr(f"place div {block_docs}")).join(F.broadcast(spans), (F.col("_source") == F.col("_of")) & F.col("block").between(F.col("_first"), F.col("_last")), "left")
+    keyed = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_named"), label.alias("_label"))
+    if rest:
+        apart = numbered(keyed.where("_label != 'rest'"), "_id", "_named", seed).drop("_total")
+        placed = apart.unionByName(dealt_together(keyed.where("_label = 'rest'"), "_id", "_named", seed, rest_power))
+    else:
+        placed = numbered(keyed, "_id", "_named", seed)
+    placed = placed.withColumn("block", F.expr(f"place div {block_docs}")).join(F.broadcast(spans), (F.col("_label") == F.col("_of")) & F.col("block").between(F.col("_first"), F.col("_last")), "left")
     placed = placed.withColumn("_step", F.expr("(block - _first) % _share")).withColumn("_round", F.expr("(block - _first) div _share"))
-    placed = placed.join(F.broadcast(pattern), ["_source", "_epoch", "_step"], "left")
+    placed = placed.join(F.broadcast(pattern), ["_of", "_epoch", "_step"], "left")
     at = {k: F.col("_begin") + F.col("_round") * period + F.col(f"_{k}") for k in ("release", "deadline", "slot")}
     placed = placed.withColumns(at).withColumn("position", F.col("slot") * block_docs + F.col("place") % block_docs)
     return placed.withColumn("in_mix", F.coalesce(F.col("slot") < end, F.lit(False))).select("_row.*", *NEW)
 
 
-def _counts(docs: DataFrame, names: list[str], source_col: str) -> dict[str, int]:
-    """Documents of each of the sources that has any; at most `period` numbers."""
-    named = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    return {r["s"]: r["n"] for r in named.where(F.col("s").isin(names)).collect()}
+def _label(source: Column, names: list[str], rest: bool) -> Column:
+    """What a source is scheduled as: '=' and its name, 'rest' for sources not named, null where these have no weight."""
+    named = F.coalesce(source.cast("string"), F.lit(""))
+    return F.when(named.isin(names), F.concat(F.lit("="), named)).otherwise(F.lit("rest" if rest else None).cast("string"))
 
 
 def _first_without(have: dict[str, int], slots: dict[str, int], where: dict[tuple[str, int], int], period: int) -> int:
@@ -175,4 +219,4 @@ QUERY_POWER = 0.7
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs, natural_weights(docs, power=QUERY_POWER))
+    return mix(docs, natural_weights(docs, power=QUERY_POWER), rest_power=QUERY_POWER)

@@ -316,6 +316,20 @@ def test_op9_small_source_does_not_end_the_mix(spark):
     assert all(abs(sum(slots[k] == "mid" for k in range(ended, t)) - share * (t - ended)) < 2 for t in range(ended, last + 1))
 
 
+def test_op9_sources_past_the_largest_are_mixed_too(spark):
+    rows = [(i, f"s{i % 600:03}") for i in range(6000)] + [(6000 + i, "rest") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = mixing.natural_weights(df, power=0.7)
+    assert len(weights) == 501 and weights[mixing.REST] == pytest.approx(101 * 10**0.7)
+    got = mixing.mix(df, weights, rest_power=0.7).collect()
+    assert len(got) == len(rows) and all(r.slot is not None for r in got) and len({r.position for r in got}) == len(rows)
+    # inside the rest, each source has its share of any run of places until it ends
+    few = mixing.natural_weights(df, power=0.7, most=1)
+    late = [r for r in sorted(mixing.mix(df, few, rest_power=0.7).collect(), key=lambda r: r.position) if r.source != "rest"]
+    assert len(late) == 6000 and all(abs(Counter(r.source for r in late[:t])[s] - t / 600) < 2 for t in range(0, 6001, 500) for s in ("s000", "s599"))
+    assert mixing.mix(df.limit(0), few).count() == 0
+
+
 def luhn(d):
     return sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 * (int(c) > 4)) for k, c in enumerate(reversed(d))) % 10 == 0
 
