@@ -14,6 +14,8 @@ each candidate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,19 +30,36 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Splits a string between its characters.
 _CHARS = r"(?!\A)(?!\z)"
 
-#: Candidates by kind, in the order in which they are tried at a place.
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 33: "RU",
+}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    full, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{full}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Candidates by kind, in the order in which they are tried at a place; cards are looked for in what is left.
 PATTERNS = {
     "secret": rf'(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)){_GAP}[=:]{_GAP}[A-Za-z0-9_+/\-]{{8,}}|\b(?i:AKIA)[0-9A-Za-z]{{16}}\b|\b[0-9a-fA-F]{{32,}}\b',
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b(?:{'|'.join(_iban_of(*x) for x in IBAN_LENGTHS.items())})\b|\b[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?\b",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "phone": rf"\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|(?<![\d-])\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?![\d-])",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: Runs of digit groups that can hold cards, the groups, and a card.
+CARD_RUN, CARD_GROUP, CARD = r"(?<!\d)\d[\d -]{11,}\d(?!\d)", r"[ -]*\d+", r"\A\d(?:[ -]?\d){12,18}\z"
+
+#: Digits of a card, the usual numbers first: where readings of a run overlap, the first one that is valid counts.
+CARD_LENGTHS = (16, 15, 19, 14, 13, 18, 17)
+
 #: Days of the dates that are permuted, 1800-01-01 to 2199-12-31: 400 years are 189 x 773 days.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -99,13 +118,55 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(hit: Column, key: str) -> Column:
+    """Pseudonym of a card that is valid."""
+
     def made(payload: Column) -> Column:
         check = F.pmod(10 - F.pmod(_luhn(F.concat(payload, F.lit("0"))), F.lit(10)), F.lit(10))
         return F.concat(payload, check.cast("string"))
 
     digits = _digits(hit)
     payload = _permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    return F.when(F.pmod(_luhn(digits), F.lit(10)) == 0, _filled(hit, F.transform(F.array(payload), made)[0])).otherwise(hit)
+    return _filled(hit, F.transform(F.array(payload), made)[0])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _cards_in_run(run: Column, key: str) -> Column:
+    """A run of digit groups with its cards replaced, a struct of text and n; any groups in a row can be a card."""
+
+    def reading(groups: Column, i: Column, j: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), r"\A[ -]+", "")
+        rank = F.array_position(F.array(*map(F.lit, CARD_LENGTHS)), F.length(_digits(text)))
+        return F.struct(rank.alias("rank"), i.alias("i"), j.alias("j"), text.alias("text"))
+
+    def replaced(groups: Column) -> Column:
+        n = F.size(groups)
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(i + 18, n)), lambda j: reading(groups, i, j))))
+        valid = F.filter(F.filter(every, lambda x: x["text"].rlike(CARD)), lambda x: F.pmod(_luhn(_digits(x["text"])), F.lit(10)) == 0)
+        none = F.slice(valid, 1, 0)
+        apart = lambda got, x: ~F.exists(got, lambda y: (x["i"] <= y["j"]) & (y["i"] <= x["j"]))
+        return _let(F.aggregate(F.array_sort(valid), none, lambda got, x: F.when(apart(got, x), F.concat(got, F.array(x))).otherwise(got)), lambda cards: written(groups, cards))
+
+    def written(groups: Column, cards: Column) -> Column:
+        def shown(group: Column, at: Column) -> Column:
+            return _let(F.filter(cards, lambda x: (at + 1).between(x["i"], x["j"])), lambda here: F.when(F.size(here) == 0, group).when(here[0]["i"] == at + 1, F.concat(F.regexp_extract(group, "^[ -]*", 0), _card(here[0]["text"], key))).otherwise(F.lit("")))
+
+        return F.struct(F.array_join(F.transform(groups, shown), "").alias("text"), F.size(cards).alias("n"))
+
+    return _let(F.regexp_extract_all(run, F.lit(CARD_GROUP), F.lit(0)), replaced)
+
+
+def _cards(text: Column, key: str) -> Column:
+    """A text with its cards replaced, a struct of text and n."""
+
+    def replaced(runs: Column) -> Column:
+        joined = F.array_join(F.zip_with(F.split(text, CARD_RUN, -1), runs, lambda gap, run: F.concat(gap, F.coalesce(run["text"], F.lit("")))), "")
+        return F.struct(joined.alias("text"), F.aggregate(runs, F.lit(0), lambda n, run: n + run["n"]).alias("n"))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(0)), lambda run: _cards_in_run(run, key))
+    return F.when(text.rlike(CARD_RUN), _let(found, replaced)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
 
 
 def _mod97(text: Column) -> Column:
@@ -191,7 +252,7 @@ def _secret(hit: Column, key: str) -> Column:
     return F.concat(named, F.lit("[secret "), _digest(value, key, "secret", 12), F.lit("]"))
 
 
-_MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
 def pseudonym(hit: Column, key: str) -> Column:
@@ -209,17 +270,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     columns, whatever their names, and repeated rows pass through (a column of
     the name count_col is replaced).  An empty
     table gives an empty result."""
-    hits_col, new_col = fresh(docs, "hits"), fresh(docs, "replaced")
-    text, hits, new = F.col(text_col).cast("string"), F.col(hits_col), F.col(new_col)
+    hits_col, new_col, gaps_col = fresh(docs, "hits"), fresh(docs, "replaced"), fresh(docs, "gaps")
+    text, hits, new, gaps = F.col(text_col).cast("string"), F.col(hits_col), F.col(new_col), F.col(gaps_col)
     likely = text.rlike(r"[0-9@=:]")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     out = docs.withColumn(hits_col, F.when(likely, found)).withColumn(new_col, F.transform(hits, lambda h: pseudonym(h, key)))
-    joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), new, lambda gap, made: F.concat(gap, F.coalesce(made, F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.size(hits) > 0, joined).otherwise(text))
+    out = out.withColumn(gaps_col, F.when(likely, F.transform(F.split(text, PATTERN, -1), lambda gap: _cards(gap, key))))
+    joined = F.array_join(F.zip_with(gaps, new, lambda gap, made: F.concat(gap["text"], F.coalesce(made, F.lit("")))), "")
+    out = out.withColumn(text_col, F.when(likely, joined).otherwise(text))
     if count_col:
-        changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x))
+        changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x)) + F.aggregate(gaps, F.lit(0), lambda n, gap: n + gap["n"])
         out = out.withColumn(count_col, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long"))
-    return out.drop(hits_col, new_col)
+    return out.drop(hits_col, new_col, gaps_col)
 
 
 #: The query's key; a real one is a secret of the caller.

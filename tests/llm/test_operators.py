@@ -355,6 +355,21 @@ def test_op10_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(empty, "k").count() == 0 and pii.pseudonymise(docs, "k").count() == docs.count()
 
 
+def test_op10_digits_beside_a_number(spark):
+    card, other, belgian, spanish = "4111 1111 1111 1111", "4041894974608795", "BE68539007547034", "ES9121000418450200051332"
+    texts = [f"{card} 12/27", f"{card.replace(' ', '')} 123", f"12 34 56 {card}", f"{card} {other}", f"{belgian} BIC", f"{spanish} 2024", f"no 12 123-45-6789 1234", f"{card} 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k", count_col="n").collect()}
+    assert [got[i].n for i in range(8)] == [1, 1, 1, 2, 1, 1, 1, 2]
+    new = got[0].text[:19]
+    assert luhn(new.replace(" ", "")) and new != card and got[0].text == f"{new} 12/27" and got[2].text == f"12 34 56 {new}"
+    assert got[1].text == new.replace(" ", "") + " 123" and got[3].text.startswith(new + " ") and luhn(got[3].text[20:]) and got[3].text[20:] != other
+    for i, iban, tail in ((4, belgian, " BIC"), (5, spanish, " 2024")):
+        bare = got[i].text.removesuffix(tail)
+        assert len(bare) == len(iban) and bare != iban and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+    assert "123-45-6789" not in got[6].text + got[7].text and got[7].text.startswith(new)
+
+
 def test_op10_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
