@@ -1,38 +1,52 @@
 """Media columns: local descriptors find cropped or edited copies of images.
 
 Images are a binary column in the netpbm form P5 (8-bit grey).  Corners are
-found at several scales; each gets an angle from the intensity centroid around
-it and 256 binary tests on a smoothed patch turned by that angle.  A descriptor
-is cut into bands; descriptors that share a band meet in a join (a Hamming table
-per band), those within the Hamming limit vote for the rotation, scale and shift
-that maps one image onto the other, and enough agreeing votes link two images.
-
-Equal images become one class first.  A band value that more than `crowd`
-descriptors share is looked up together with the next band, and under the whole
-descriptor where that is crowded, too.  Under each key all features are compared
-with the key's first one (a star, linear); only features whose image is still in
-another component than the first one's afterwards are compared with the others,
-so that groups of copies never become all their pairs.
+found at all scales of a pyramid, wherever a corner is the strongest around it,
+so that their number follows the image's area; each gets an angle from the
+intensity centroid around it and 256 binary tests on a smoothed patch turned by
+that angle.  A descriptor is cut into bands; descriptors that share a band meet
+in a table of that band (Hamming tables), those within the Hamming limit are
+matches, and enough matches that agree on one rotation, scale and shift link two
+images.
+
+Equal images become one class first.  A table streams its keys' features in
+order: each is compared with the `window` features before it and with the key's
+first one, so that groups up to the window are compared in full and larger ones
+in linear time.  Keys larger than that are compared once more, but only features
+of images that are not yet connected with the first one's, in blocks against
+blocks (all such features meet, none is left out; the cost grows with the square
+of what is still apart under one key).  Keys that hold more than a share of all
+features are dealt over several tasks, each with the key's first feature.
+Matches carry numbers only; places are looked up for pairs of images with enough
+matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import few
 from .shared import components, small_batches, staged, table
 
-#: Scales, corners of an image over all scales, patch radius, bits that may differ, votes for a link, descriptors that share a band value.
-SCALES, CORNERS, RADIUS, HAMMING, VOTES, CROWD = (1.0, 0.7), 24, 7, 36, 5, 64
+#: Step of the pyramid, distance within which a corner is the strongest, patch radius, bits that may differ, matches for a link.
+STEP, APART, RADIUS, HAMMING, VOTES = 0.8, 6, 15, 36, 4
 BANDS = 8
 
+#: Features of a key that are compared with each other at once; rows of a block where the rest is compared.
+WINDOW, BLOCK = 16, 2048
+
+#: A key with more features than this, and more than this share of all, is dealt over several tasks.
+HOT_ROWS, HOT_SHARE = 4096, 1 / 2000
+
 _rng = np.random.default_rng(7)
 #: Where the binary tests compare: 256 pairs of points, normal around the corner.
-TESTS = np.clip(_rng.normal(0, RADIUS / 2, (256, 4)), -RADIUS, RADIUS)
+TESTS = np.clip(_rng.normal(0, 0.4 * RADIUS, (256, 4)), -RADIUS, RADIUS)
 _grid = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _disc = (_grid[0] ** 2 + _grid[1] ** 2) <= RADIUS**2
 
@@ -82,163 +96,351 @@ def _smooth(image: np.ndarray, r: int) -> np.ndarray:
     return (s[n:-1, n:-1] - s[:-n - 1, n:-1] - s[n:-1, :-n - 1] + s[:-n - 1, :-n - 1]) / n**2
 
 
-def describe(image: np.ndarray, corners: int = CORNERS) -> list[tuple[float, float, float, float, bytes]]:
-    """(x, y, scale, angle, 32-byte descriptor) of an image's strongest corners; x and y in its own pixels."""
+def _around(a: np.ndarray, r: int) -> np.ndarray:
+    """Maximum over squares of side 2 r + 1, by doubling."""
+    for _ in (0, 1):
+        have, size = np.pad(a, ((r, r), (0, 0)), constant_values=-np.inf), 1
+        while size * 2 <= 2 * r + 1:
+            have = np.maximum(have[:-size], have[size:])
+            size *= 2
+        a = np.maximum(have[: a.shape[0]], have[2 * r + 1 - size :][: a.shape[0]]).T
+    return a
+
+
+def describe(image: np.ndarray) -> list[tuple[float, float, float, float, bytes]]:
+    """(x, y, scale, angle, 32-byte descriptor) of an image's corners, strongest first; x and y in its own pixels."""
     found: list[tuple[float, float, float, float, float, bytes]] = []
-    for scale in SCALES:
-        grey = _resized(image.astype(np.float64), scale)
+    scale = 1.0
+    while True:
+        grey = _resized(image.astype(np.float64), scale) if scale < 1 else image.astype(np.float64)
         if min(grey.shape) < 2 * RADIUS + 3:
-            continue
+            break
         gy, gx = np.gradient(_smooth(grey, 1))
         a, b, c = _smooth(gx * gx, 2), _smooth(gy * gy, 2), _smooth(gx * gy, 2)
         strength = a * b - c * c - 0.05 * (a + b) ** 2
-        p = np.pad(strength, 1, constant_values=-np.inf)
-        around = [p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        ys, xs = np.nonzero((strength >= np.max(around, axis=0)) & (strength > 1.0))
+        ys, xs = np.nonzero((strength >= _around(strength, APART)) & (strength > 1.0))
         inside = (ys >= RADIUS) & (xs >= RADIUS) & (ys < grey.shape[0] - RADIUS) & (xs < grey.shape[1] - RADIUS)
         ys, xs = ys[inside], xs[inside]
-        order = np.lexsort((xs, ys, -strength[ys, xs]))[:corners]
-        ys, xs = ys[order], xs[order]
-        if not len(ys):
-            continue
-        soft = _smooth(grey, 2)
-        patch = grey[ys[:, None, None] + _grid[0], xs[:, None, None] + _grid[1]] * _disc
-        angle = np.arctan2((patch * _grid[0]).sum(axis=(1, 2)), (patch * _grid[1]).sum(axis=(1, 2)))
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-
-        def at(x: np.ndarray, y: np.ndarray, cos=cos, sin=sin, ys=ys, xs=xs, soft=soft) -> np.ndarray:
-            u = np.clip(np.rint(xs[:, None] + cos * x - sin * y).astype(int), 0, soft.shape[1] - 1)
-            v = np.clip(np.rint(ys[:, None] + sin * x + cos * y).astype(int), 0, soft.shape[0] - 1)
-            return soft[v, u]
-
-        bits = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1)
-        found += [(float(strength[y, x]), (x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, scale, float(t), d.tobytes()) for y, x, t, d in zip(ys, xs, angle, bits, strict=True)]
+        if len(ys):
+            soft = _smooth(grey, 2)
+            patch = grey[ys[:, None, None] + _grid[0], xs[:, None, None] + _grid[1]] * _disc
+            angle = np.arctan2((patch * _grid[0]).sum(axis=(1, 2)), (patch * _grid[1]).sum(axis=(1, 2)))
+            cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
+
+            def at(x: np.ndarray, y: np.ndarray, cos=cos, sin=sin, ys=ys, xs=xs, soft=soft) -> np.ndarray:
+                u = np.clip(np.rint(xs[:, None] + cos * x - sin * y).astype(int), 0, soft.shape[1] - 1)
+                v = np.clip(np.rint(ys[:, None] + sin * x + cos * y).astype(int), 0, soft.shape[0] - 1)
+                return soft[v, u]
+
+            bits = np.packbits(at(TESTS[:, 0], TESTS[:, 1]) < at(TESTS[:, 2], TESTS[:, 3]), axis=1)
+            found += [(float(strength[y, x]), (x + 0.5) / scale - 0.5, (y + 0.5) / scale - 0.5, scale, float(t), d.tobytes()) for y, x, t, d in zip(ys, xs, angle, bits, strict=True)]
+        scale *= STEP
     found.sort(key=lambda f: (-f[0], f[1], f[2], f[3]))
-    return [f[1:] for f in found[:corners]]
+    return [f[1:] for f in found]
+
 
+DESCRIPTOR = ["d0", "d1", "d2", "d3"]
+CORNER = "x: float, y: float, scale: float, angle: float, d0: long, d1: long, d2: long, d3: long"
 
-FEATURES = "v long, x double, y double, scale double, angle double, d0 long, d1 long, d2 long, d3 long"
 
+def _described(rows: DataFrame, image: str, others: list[str]) -> DataFrame:
+    """The columns `others` and corners, an array of an image's features (empty where there is no image)."""
+    of = pa.struct([(n, pa.float32()) for n in ("x", "y", "scale", "angle")] + [(n, pa.int64()) for n in DESCRIPTOR])
 
-def _features(images: DataFrame, corners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for v, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = read_pgm(data)
-                if image is not None and image.size:
-                    rows += [(v, *f[:4], *np.frombuffer(f[4], dtype=np.int64).tolist()) for f in describe(image, corners)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
-            kinds = [pa.int64()] + [pa.float64()] * 4 + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["v", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
+            places, bits, counts = [], [], []
+            for data in batch.column(image):
+                drawn = read_pgm(data.as_py())
+                found = describe(drawn) if drawn is not None and drawn.size else []
+                places += [f[:4] for f in found]
+                bits += [f[4] for f in found]
+                counts.append(len(found))
+            xs = np.array(places, dtype=np.float32).reshape(-1, 4)
+            ds = np.frombuffer(b"".join(bits), dtype=np.int64).reshape(-1, 4)
+            flat = pa.StructArray.from_arrays([pa.array(xs[:, k]) for k in range(4)] + [pa.array(ds[:, k]) for k in range(4)], fields=list(of))
+            corners = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), corners], names=[*others, "corners"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.select(*[F.col(f"`{c}`") for c in others], image).mapInArrow(run, f"{schema}, corners array<struct<{CORNER}>>")
+
+
+def _keyed(features: DataFrame) -> DataFrame:
+    """(key, v, f, d0..d3): each feature under each of its bands; a key is the band's number and 32 bits."""
+    band = lambda i: F.shiftrightunsigned(F.col(f"d{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(i << 32)
+    flat = features.select("v", F.posexplode("corners").alias("f", "c")).select("v", "f", "c.*")
+    return flat.select(F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("key"), "v", "f", *DESCRIPTOR)
+
+
+def _dealt(spark: SparkSession, keyed: DataFrame, hot_rows: int, hot_share: float) -> DataFrame:
+    """Adds salt and follows: hot keys are dealt over several salts, each of which gets the key's first feature before its own (which follow).
 
-    return images.mapInArrow(run, FEATURES)
+    A first, coarse count over 65,536 groups of keys leaves few keys to be counted
+    one by one: at most 1 / hot_share keys of a band can be hot."""
+    group = F.pmod(F.xxhash64("key"), F.lit(1 << 16)).cast("int")
+    coarse = keyed.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least = max(hot_rows, hot_share * sum(r["n"] for r in coarse))
+    full = [r["g"] for r in coarse if r["n"] > least]
+    plain = keyed.withColumns({"salt": F.lit(0), "follows": F.lit(True)})
+    if not full:
+        return plain
+    counts = keyed.where(group.isin(full)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("v", "f", *DESCRIPTOR)).alias("first")).where(F.col("n") > least)
+    hot = staged(spark, counts.withColumn("salts", F.ceil(F.col("n") / F.lit(least)).cast("int")))
+    salted = keyed.join(F.broadcast(hot.select("key", "salts")), "key", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))).cast("int"))
+    firsts = hot.select("key", "first.*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("follows"))
+    return salted.drop("salts").withColumn("follows", F.lit(True)).unionByName(firsts)
 
 
-def _band(i: int) -> Column:
-    """32 bits of the descriptor."""
-    return F.shiftrightunsigned(F.col(f"d{i // 2}"), 32 * (i % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
+MATCHES = "a long, af int, b long, bf int"
 
 
-NAMES = ["x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("v", "f"))
+    return v, f, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in DESCRIPTOR], axis=1)
 
 
-def _looked_up(features: DataFrame, crowd: int) -> DataFrame:
-    """Features under the keys they are looked up by: one band, two bands where that is crowded, the whole descriptor where both are.
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits that differ, row by row."""
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int32)
 
-    size counts a key's features, first is the one with the smallest image id."""
-    bands = [F.struct(F.xxhash64(F.lit(i), _band(i)).alias("k1"), F.xxhash64(F.lit(i), _band(i), _band((i + 1) % BANDS)).alias("k2")) for i in range(BANDS)]
-    listed = features.withColumn("_b", F.explode(F.array(*bands))).select(*features.columns, "_b.k1", "_b.k2")
 
-    def counted(df: DataFrame, key: str) -> DataFrame:
-        return df.join(df.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), key)
+def _matched(v: np.ndarray, f: np.ndarray, w: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+    """Matches with the smaller image first."""
+    turn = v > w
+    sides = [np.where(turn, w, v), np.where(turn, g, f), np.where(turn, v, w), np.where(turn, f, g)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(sides, (np.int64, np.int32) * 2, strict=True)], names=["a", "af", "b", "bf"])
 
-    one = counted(listed, "k1")
-    two = counted(one.where(F.col("size") > crowd).drop("size"), "k2")
-    rest = two.where(F.col("size") > crowd).select(*features.columns).distinct().withColumn("key", F.xxhash64("d0", "d1", "d2", "d3"))
-    keyed = one.where(F.col("size") <= crowd).select(F.col("k1").alias("key"), *features.columns).unionByName(two.where(F.col("size") <= crowd).select(F.col("k2").alias("key"), *features.columns)).unionByName(rest)
-    return keyed
 
+def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
+    """Matches inside each key's window and with its first feature; keys larger than the window as rows with af = -1, a the key, b the first image."""
 
-def _agreeing(pairs: DataFrame, hamming: int, votes: int) -> DataFrame:
-    """Links (a, b) of images from pairs of features (a, a_x, ..., b, b_x, ...): enough matches that agree on one similarity."""
-    differ = sum(F.bit_count(F.col(f"a_d{i}").bitwiseXOR(F.col(f"b_d{i}"))) for i in range(4))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last rows of the run that is open, its first row, and how many rows it has
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, f, d = _arrays(batch)
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            run_of = np.stack([key, batch.column("salt").to_numpy(zero_copy_only=False)], axis=1)
+            old = 0
+            if held is not None:
+                old = len(held["v"])
+                v, f, d, run_of = (np.concatenate([held[k], x]) for k, x in (("v", v), ("f", f), ("d", d), ("run", run_of)))
+            new_run = np.append(True, (run_of[1:] != run_of[:-1]).any(axis=1))
+            start = np.maximum.accumulate(np.where(new_run, np.arange(len(v)), 0))
+            place = np.arange(len(v)) - start
+            first = [v[start], f[start], d[start]]
+            if held is not None:
+                mine = start == 0
+                place[mine] += held["seen"] - old
+                first = [np.where(mine.reshape(-1, *[1] * (x.ndim - 1)), y, x) for x, y in zip(first, held["first"], strict=True)]
+            own = np.arange(old, len(v))
+            for lag in range(1, window):
+                i = own[own >= lag]
+                i = i[(start[i] <= i - lag) & (place[i] >= lag)]
+                if not len(i):
+                    break
+                i = i[v[i] != v[i - lag]]
+                i = i[_apart(d[i], d[i - lag]) <= hamming]
+                if len(i):
+                    yield _matched(v[i], f[i], v[i - lag], f[i - lag])
+            far = own[(place[own] >= window)]
+            far = far[v[far] != first[0][far]]
+            far = far[_apart(d[far], first[2][far]) <= hamming]
+            if len(far):
+                yield _matched(v[far], f[far], first[0][far], first[1][far])
+            large = own[place[own] == window]
+            if len(large):
+                yield pa.RecordBatch.from_arrays([pa.array(run_of[large, 0]), pa.array(np.full(len(large), -1, dtype=np.int32)), pa.array(first[0][large]), pa.array(np.full(len(large), -1, dtype=np.int32))], names=["a", "af", "b", "bf"])
+            tail = np.arange(max(start[-1], len(v) - window + 1), len(v))
+            held = {"v": v[tail], "f": f[tail], "d": d[tail], "run": run_of[tail], "first": [x[-1] for x in first], "seen": int(place[-1]) + 1}
+
+    # every feature of a key and salt in one task, the key's first feature first
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "follows", "v", "f").mapInArrow(run, MATCHES)
+
+
+def _blocks(members: DataFrame, hamming: int, block: int) -> DataFrame:
+    """Matches of each key's rest (images in another component than the first one's) with its features in other components.
+
+    Rest and members are cut into blocks by hash; each pair of blocks is a task's work."""
+    totals = members.groupBy("key").agg(F.count(F.lit(1)).alias("cm"), F.sum(F.col("rest").cast("long")).alias("cx")).where("cx > 0")
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("v", "f"), F.lit(1 << 20)).cast("int")
+    cut = members.join(totals.select("key", parts("cm").alias("pm"), parts("cx").alias("px")), "key")
+    plain = cut.withColumns({"side": F.lit(0), "mi": F.pmod(own, F.col("pm")), "xi": F.explode(F.sequence(F.lit(0), F.col("px") - 1))})
+    asked = cut.where("rest").withColumns({"side": F.lit(1), "xi": F.pmod(own, F.col("px")), "mi": F.explode(F.sequence(F.lit(0), F.col("pm") - 1))})
+    names = ["key", "mi", "xi", "side", "v", "f", "comp", *DESCRIPTOR]
+    both = plain.select(*names).unionByName(asked.select(*names)).repartition("key", "mi", "xi").sortWithinPartitions("key", "mi", "xi", "side")
+
+    def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        v, f, d = _arrays(group)
+        side, comp = (group.column(c).to_numpy(zero_copy_only=False) for c in ("side", "comp"))
+        there = np.flatnonzero(side == 0)
+        for x in np.array_split(np.flatnonzero(side == 1), max(1, len(there) // 256)):
+            if not len(x) or not len(there):
+                continue
+            i, j = np.nonzero((comp[x][:, None] != comp[there][None]) & (_apart(d[x][:, None], d[there][None]) <= hamming))
+            yield _matched(v[x[i]], f[x[i]], v[there[j]], f[there[j]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "mi", "xi")], axis=1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(place[lo]) != at:
+                    yield from compared(held)
+                    held = []
+                at = tuple(place[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from compared(held)
+
+    return both.mapInArrow(run, MATCHES)
+
+
+def _agreeing(matches: DataFrame, places: DataFrame, votes: int) -> DataFrame:
+    """Links (a, b) of images: enough matches, at different spots, that agree on one similarity."""
+    likely = matches.groupBy("a", "b").agg(F.collect_set(F.struct("af", "bf")).alias("m")).where(F.size("m") >= votes)
+    sided = likely.join(places.select(F.col("v").alias("a"), F.col("at").alias("_a")), "a").join(places.select(F.col("v").alias("b"), F.col("at").alias("_b")), "b")
+    met = sided.select("a", "b", "_a", "_b", F.explode("m").alias("m")).select("a", "b", F.get("_a", F.col("m.af")).alias("p"), F.get("_b", F.col("m.bf")).alias("q"))
     # the similarity that maps a onto b: turn, log2 of the scale, shift
-    turn, zoom = F.col("b_angle") - F.col("a_angle"), F.col("a_scale") / F.col("b_scale")
-    moved_x = zoom * (F.cos(turn) * F.col("a_x") - F.sin(turn) * F.col("a_y"))
-    moved_y = zoom * (F.sin(turn) * F.col("a_x") + F.cos(turn) * F.col("a_y"))
-    shift = [F.col("b_x") - moved_x, F.col("b_y") - moved_y]
+    turn, zoom = F.col("q.angle") - F.col("p.angle"), F.col("p.scale") / F.col("q.scale")
+    moved_x = zoom * (F.cos(turn) * F.col("p.x") - F.sin(turn) * F.col("p.y"))
+    moved_y = zoom * (F.sin(turn) * F.col("p.x") + F.cos(turn) * F.col("p.y"))
+    shift = [F.col("q.x") - moved_x, F.col("q.y") - moved_y]
     part = F.pmod(turn, F.lit(2 * np.pi)) / (np.pi / 6)
     # two overlapping grids, so that a group of votes is whole in one of them
     cells = [F.xxhash64(F.lit(i), F.pmod(F.floor(part + 0.5 * i), F.lit(12)), F.floor(F.log2(zoom) * 2 + 0.5), F.floor(shift[0] / 16 + 0.5 * i), F.floor(shift[1] / 16 + 0.5 * i)) for i in (0, 1)]
-    voted = pairs.where(differ <= hamming).select("a", "b", F.xxhash64("a_x", "a_y").alias("spot"), F.explode(F.array(*cells)).alias("cell")).distinct()
+    voted = met.select("a", "b", F.xxhash64("p.x", "p.y").alias("spot"), F.explode(F.array(*cells)).alias("cell")).distinct()
     return voted.groupBy("a", "b", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("a", "b").distinct()
 
 
-def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", corners: int = CORNERS, hamming: int = HAMMING, votes: int = VOTES, crowd: int = CROWD) -> DataFrame:
-    """(id, class_id, n_links, n_corners) for each row of `images`.
+def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", hamming: int = HAMMING, votes: int = VOTES, window: int = WINDOW, block: int = BLOCK, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, class_id, n_links, n_corners) and the columns `keep` for each row of `images`.
 
     class_id is the smallest id of the images that links, or equal bytes, reach;
     n_links counts the links found to other classes of equal images (of a group of
     copies those that were needed to connect it).  Null, empty or
     unreadable images, images without corners, and rows with a null id have no
-    links (a null id keeps a null class).  Repeated rows share a class.  An empty
-    table gives an empty result; other columns are not looked at.
+    links (a null id keeps a null class).  Repeated rows share a class, and rows
+    with the same id and different images have all their images' links.  An image
+    of any size is read whole.  An empty table gives an empty result; other
+    columns are not looked at.
     """
     spark = images.sparkSession
     small_batches(spark)
-    rows = images.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(image_col), 256).alias("same"), F.col(image_col).alias("image"))
-    classes = rows.where("id is not null and length(image) > 0").groupBy("same").agg(F.min("id").alias("v"))
-    classes = staged(spark, classes)
-    reps = rows.join(classes, "same").where("id = v").dropDuplicates(["v"]).select("v", "image")
-    features = staged(spark, _features(reps, corners))
-    near = staged(spark, _looked_up(features, crowd))
-    named = lambda df, side: df.select("key", F.col("v").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in NAMES])
-    # first a star around one feature of each key; then only what is still in another component than that
-    firsts = staged(spark, near.groupBy("key").agg(F.min(F.struct("v", *NAMES)).alias("f")).select("key", "f.*"))
-    links = staged(spark, _agreeing(named(firsts, "a").join(named(near, "b"), "key").where("a <> b"), hamming, votes))
+    held = [f"keep {i}" for i in range(len(keep))]
+    rows = images.select(F.col(id_col).cast("long").alias("id"), F.sha2(F.col(image_col), 256).alias("same"), *[F.col(c).alias(h) for c, h in zip(keep, held, strict=True)], F.col(image_col).alias("image"))
+    # an image is named by the number of one of its rows; images themselves are read once and never shuffled
+    described = staged(spark, _described(rows, "image", ["id", "same", *held]).withColumn("row", F.monotonically_increasing_id()))
+    classes = staged(spark, described.where("id is not null and size(corners) > 0").groupBy("same").agg(F.min("row").alias("v")))
+    features = described.join(few(classes)(classes.select(F.col("v").alias("row"))), "row", "left_semi").withColumnRenamed("row", "v")
+    places = features.select("v", F.transform("corners", lambda c: F.struct(*[c[k].cast("double").alias(k) for k in ("x", "y", "scale", "angle")])).alias("at"))
+    keyed = _keyed(features)
+    found = staged(spark, _streamed(_dealt(spark, keyed, hot_rows, hot_share), hamming, window))
+    matches = found.where("af >= 0")
+    links = staged(spark, _agreeing(matches, places, votes))
     labels = components(spark, links)
-    placed = lambda df: df.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    mains = placed(firsts.select("key", "v")).select("key", F.col("comp").alias("main"))
-    members = staged(spark, placed(near).join(mains, "key"))
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max((F.col("comp") != F.col("main")).cast("int")).alias("apart")).where("apart = 1")
-    open_ = members.join(sizes.select("key", "size"), "key").where(F.col("size") <= crowd)
-    rest = open_.where("comp <> main").select("key", F.col("comp").alias("ac"), F.col("v").alias("a"), *[F.col(c).alias(f"a_{c}") for c in NAMES])
-    others = open_.select("key", F.col("comp").alias("bc"), F.col("v").alias("b"), *[F.col(c).alias(f"b_{c}") for c in NAMES])
-    more = staged(spark, _agreeing(rest.join(others, "key").where("ac <> bc"), hamming, votes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        links = staged(spark, links.unionByName(more))
-        labels = components(spark, links)
+    large = staged(spark, found.where("af < 0").groupBy(F.col("a").alias("key")).agg(F.min("b").alias("v")))
+    if not large.isEmpty():
+        placed = lambda df: df.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        mains = placed(large).select("key", F.col("comp").alias("main"))
+        members = staged(spark, placed(keyed.join(mains, "key")).withColumn("rest", F.col("comp") != F.col("main")).drop("main"))
+        more = _blocks(members, hamming, block)
+        # what the first pass found between images that are still apart counts, too
+        ends = labels.select(F.col("v").alias("a"), F.col("comp").alias("_a")), labels.select(F.col("v").alias("b"), F.col("comp").alias("_b"))
+        before = matches.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "af", "b", "bf")
+        more = staged(spark, _agreeing(before.unionByName(more), places, votes))
+        if not more.isEmpty():
+            links = staged(spark, links.unionByName(more).distinct())
+            labels = components(spark, links)
     counts = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    sizes = features.groupBy("v").agg(F.count(F.lit(1)).alias("n_corners"))
-    known = classes.join(labels, "v", "left").join(counts, "v", "left").join(sizes, "v", "left")
-    found = rows.select("id", "same").join(known, "same", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return found.select("id", F.when(F.col("id").isNotNull(), F.coalesce("comp", "v", "id")).alias("class_id"), zero("n_links"), zero("n_corners"))
-
-
-def rasters(vectors: DataFrame, id_col: str, vector_col: str, tile: int = 6) -> DataFrame:
-    """(id, image): each vector as a square raster of tiles, brightest for the largest component (null without finite components)."""
+    known = classes.join(labels, "v", "left").join(counts, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    of_row = described.select("id", "same", *held, F.size("corners").alias("n_corners")).join(known.select("same", "comp", "n_links"), "same", "left")
+    # rows of one id belong together whatever their images
+    twice = of_row.where("id is not null and comp is not null").select("id", "comp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("a")).where("n > 1")
+    pairs = staged(spark, of_row.join(twice.select("id", "a"), "id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())
+    if not pairs.isEmpty():
+        joined = components(spark, pairs).select(F.col("v").alias("comp"), F.col("comp").alias("to"))
+        of_row = of_row.join(joined, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+    smallest = of_row.where("id is not null and comp is not null").groupBy("comp").agg(F.min("id").alias("class_id"))
+    out = of_row.join(smallest, "comp", "left")
+    return out.select(*[F.col(f"`{h}`").alias(c) for c, h in zip(keep, held, strict=True)], "id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), zero("n_links").alias("n_links"), zero("n_corners").alias("n_corners"))
+
+
+#: Edits that `pictures` makes of some images.
+EDITS = ("crop", "turn", "light", "patch", "noise", "smaller")
+
+
+def edited(image: np.ndarray, kind: str, seed: int) -> np.ndarray:
+    """A copy that is cropped, turned by 90 degrees, lighter, partly covered, noisy or smaller."""
+    rng = np.random.default_rng(seed)
+    h, w = image.shape
+    if kind == "crop":
+        top, left = rng.integers(0, h // 4, 1)[0], rng.integers(0, w // 4, 1)[0]
+        return image[top : top + h - h // 4, left : left + w - w // 4]
+    if kind == "turn":
+        return np.rot90(image, 1 + int(rng.integers(3)))
+    if kind == "light":
+        return image * 0.75 + 40
+    if kind == "patch":
+        top, left = rng.integers(0, h - h // 4, 1)[0], rng.integers(0, w - w // 4, 1)[0]
+        out = image.copy()
+        out[top : top + h // 4, left : left + w // 4] = 128
+        return out
+    if kind == "noise":
+        return np.clip(image + rng.normal(0, 4, image.shape), 0, 255)
+    return _resized(image, 0.8)
+
+
+def pictures(vectors: DataFrame, id_col: str, vector_col: str, side: int = 96, every: int = 20) -> DataFrame:
+    """(id, vec_id, edit, image): each vector drawn as a texture, a sum of waves of fixed directions and lengths whose heights are its components.
+
+    Of each vector whose id is divisible by `every` there is an edited copy, too.
+    id is twice the vec_id, plus one for a copy; edit is '' for the originals.
+    Vectors without finite components have a null image and no copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[:side, :side].reshape(2, -1)
+        waves: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for vector in batch.column(1).to_pylist():
-                v = np.array([x for x in vector or [] if x is not None and np.isfinite(x)])
+            out: list[tuple] = []
+            for i, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.array([c for c in vector or [] if c is not None and np.isfinite(c)])
                 if not len(v):
-                    out.append(None)
+                    out.append((None if i is None else 2 * i, i, "", None))
                     continue
-                side = int(np.ceil(np.sqrt(len(v))))
-                span = v.max() - v.min() or 1.0
-                grid = np.zeros(side * side)
-                grid[: len(v)] = (v - v.min()) / span * 255
-                out.append(write_pgm(np.kron(np.rint(grid).reshape(side, side), np.ones((tile, tile)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "image"])
-
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, image binary")
+                if len(v) not in waves:
+                    rng = np.random.default_rng(11)
+                    turn, length, phase = rng.uniform(0, np.pi, len(v)), rng.uniform(7, 28, len(v)), rng.uniform(0, 2 * np.pi, len(v))
+                    waves[len(v)] = np.cos(2 * np.pi / length[:, None] * (np.cos(turn)[:, None] * x + np.sin(turn)[:, None] * y) + phase[:, None])
+                field = (v @ waves[len(v)]).reshape(side, side)
+                image = np.rint((field - field.min()) / ((field.max() - field.min()) or 1.0) * 255)
+                out.append((None if i is None else 2 * i, i, "", write_pgm(image)))
+                if i is not None and i % every == 0:
+                    kind = EDITS[i // every % len(EDITS)]
+                    out.append((2 * i + 1, i, kind, write_pgm(np.clip(np.rint(edited(image, kind, i)), 0, 255))))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["id", "vec_id", "edit", "image"])
+
+    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).mapInArrow(run, "id long, vec_id long, edit string, image binary")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's tables hold no images; the vectors of `embeddings` are drawn as 48 x 48 rasters."""
-    images = staged(spark, rasters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
-    return copies(images).withColumnRenamed("id", "vec_id")
+    """The driver's tables hold no images: the vectors of `embeddings` are drawn as 96 x 96 textures, every twentieth with an edited copy.
+
+    (vec_id, edit, image_id, class_id, n_links, n_corners); an edited copy is
+    found where class_id is that of its original."""
+    small_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    # a vector is small, but its picture takes long to describe: tasks of few vectors
+    dealt = vectors.repartition(ceil(vectors.count() / 500) + 7)
+    images = pictures(dealt, "vec_id", "embedding")
+    return copies(images, keep=("vec_id", "edit")).withColumnRenamed("id", "image_id")

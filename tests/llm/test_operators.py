@@ -246,13 +246,16 @@ def test_op6_copies(spark):
     rows += [(100, p(base[0][10:90, 5:85])), (101, p(np.rot90(base[1]))), (102, p(np.clip(base[2] * 0.8 + 20, 0, 255))), (103, p(base[3])), (104, p(patch)), (103, p(base[3]))]
     rows += [(106, None), (107, b""), (108, b"P5 x"), (109, b"P5\n1 1\n255\n\0"), (None, p(base[5]))]
     df = spark.createDataFrame([(i, b, 0) for i, b in rows], "id long, image binary, v int")
-    for crowd in (64, 2):
-        got = images.copies(df, crowd=crowd).collect()
+    for options in ({}, {"window": 2, "block": 16}, {"hot_rows": 4, "hot_share": 0.0}):
+        got = images.copies(df, **options).collect()
         assert len(got) == len(rows)
         for r in got:
             want = r.id - 100 if r.id is not None and 100 <= r.id <= 104 else r.id
             assert r.class_id == want
     assert images.copies(df.limit(0)).count() == 0
+    # two images under one id keep the links of both
+    two = spark.createDataFrame([(1, p(base[6])), (2, p(np.rot90(base[6]))), (2, p(base[7])), (3, p(base[7] * 0.9))], "id long, image binary")
+    assert {(r.id, r.class_id) for r in images.copies(two).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
 def test_op8_held_out_accuracy(spark, empty):
