@@ -10,12 +10,12 @@ matches, and enough matches that agree on one rotation, scale and shift link two
 images.
 
 Equal images become one class first.  A table streams its keys' features in
-order: each is compared with the `window` features before it and with the key's
-first one, so that groups up to the window are compared in full and larger ones
-in linear time.  Keys larger than that are compared once more, but only features
-of images that are not yet connected with the first one's, in blocks against
-blocks (all such features meet, none is left out; the cost grows with the square
-of what is still apart under one key).  Keys that hold more than a share of all
+order: the first `window` features are all compared with each other, later ones
+with the key's first one, so that groups up to the window are compared in full
+and larger ones in linear time.  Keys larger than that are compared once more,
+but only features of images that are not yet connected with the first one's, in
+blocks against blocks (all such features meet, none is left out; the cost grows
+with the square of what is still apart under one key).  Keys that hold more than a share of all
 features are dealt over several tasks, each with the key's first feature.
 Matches carry numbers only; places are looked up for pairs of images with enough
 matches.
@@ -28,9 +28,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .minhash import few
 from .shared import components, small_batches, staged, table
 
@@ -39,7 +41,7 @@ STEP, APART, RADIUS, HAMMING, VOTES = 0.8, 6, 15, 36, 4
 BANDS = 8
 
 #: Features of a key that are compared with each other at once; rows of a block where the rest is compared.
-WINDOW, BLOCK = 16, 2048
+WINDOW, BLOCK = 64, 2048
 
 #: A key with more features than this, and more than this share of all, is dealt over several tasks.
 HOT_ROWS, HOT_SHARE = 4096, 1 / 2000
@@ -213,10 +215,10 @@ def _matched(v: np.ndarray, f: np.ndarray, w: np.ndarray, g: np.ndarray) -> pa.R
 
 
 def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
-    """Matches inside each key's window and with its first feature; keys larger than the window as rows with af = -1, a the key, b the first image."""
+    """Matches among each key's first `window` features, and of later ones with its first; keys larger than that as rows with af = -1, a the key, b the first image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last rows of the run that is open, its first row, and how many rows it has
+        held = None  # the first rows of the run that is open, and how many rows it has
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -232,15 +234,14 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
             place = np.arange(len(v)) - start
             first = [v[start], f[start], d[start]]
             if held is not None:
-                mine = start == 0
-                place[mine] += held["seen"] - old
-                first = [np.where(mine.reshape(-1, *[1] * (x.ndim - 1)), y, x) for x, y in zip(first, held["first"], strict=True)]
+                place[old:][start[old:] == 0] += held["seen"] - old
             own = np.arange(old, len(v))
+            near = own[place[own] < window]
             for lag in range(1, window):
-                i = own[own >= lag]
-                i = i[(start[i] <= i - lag) & (place[i] >= lag)]
-                if not len(i):
+                near = near[place[near] >= lag]
+                if not len(near):
                     break
+                i = near
                 i = i[v[i] != v[i - lag]]
                 i = i[_apart(d[i], d[i - lag]) <= hamming]
                 if len(i):
@@ -253,8 +254,8 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
             large = own[place[own] == window]
             if len(large):
                 yield pa.RecordBatch.from_arrays([pa.array(run_of[large, 0]), pa.array(np.full(len(large), -1, dtype=np.int32)), pa.array(first[0][large]), pa.array(np.full(len(large), -1, dtype=np.int32))], names=["a", "af", "b", "bf"])
-            tail = np.arange(max(start[-1], len(v) - window + 1), len(v))
-            held = {"v": v[tail], "f": f[tail], "d": d[tail], "run": run_of[tail], "first": [x[-1] for x in first], "seen": int(place[-1]) + 1}
+            lead = slice(start[-1], start[-1] + window)
+            held = {"v": v[lead], "f": f[lead], "d": d[lead], "run": run_of[lead], "seen": int(place[-1]) + 1}
 
     # every feature of a key and salt in one task, the key's first feature first
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "follows", "v", "f").mapInArrow(run, MATCHES)
@@ -308,17 +309,39 @@ def _agreeing(matches: DataFrame, places: DataFrame, votes: int) -> DataFrame:
     """Links (a, b) of images: enough matches, at different spots, that agree on one similarity."""
     likely = matches.groupBy("a", "b").agg(F.collect_set(F.struct("af", "bf")).alias("m")).where(F.size("m") >= votes)
     sided = likely.join(places.select(F.col("v").alias("a"), F.col("at").alias("_a")), "a").join(places.select(F.col("v").alias("b"), F.col("at").alias("_b")), "b")
-    met = sided.select("a", "b", "_a", "_b", F.explode("m").alias("m")).select("a", "b", F.get("_a", F.col("m.af")).alias("p"), F.get("_b", F.col("m.bf")).alias("q"))
-    # the similarity that maps a onto b: turn, log2 of the scale, shift
-    turn, zoom = F.col("q.angle") - F.col("p.angle"), F.col("p.scale") / F.col("q.scale")
-    moved_x = zoom * (F.cos(turn) * F.col("p.x") - F.sin(turn) * F.col("p.y"))
-    moved_y = zoom * (F.sin(turn) * F.col("p.x") + F.cos(turn) * F.col("p.y"))
-    shift = [F.col("q.x") - moved_x, F.col("q.y") - moved_y]
-    part = F.pmod(turn, F.lit(2 * np.pi)) / (np.pi / 6)
-    # two overlapping grids, so that a group of votes is whole in one of them
-    cells = [F.xxhash64(F.lit(i), F.pmod(F.floor(part + 0.5 * i), F.lit(12)), F.floor(F.log2(zoom) * 2 + 0.5), F.floor(shift[0] / 16 + 0.5 * i), F.floor(shift[1] / 16 + 0.5 * i)) for i in (0, 1)]
-    voted = met.select("a", "b", F.xxhash64("p.x", "p.y").alias("spot"), F.explode(F.array(*cells)).alias("cell")).distinct()
-    return voted.groupBy("a", "b", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= votes).select("a", "b").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = batch.column("m")
+            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(m).to_numpy(zero_copy_only=False))
+            sides = []
+            for at, number in (("_a", "af"), ("_b", "bf")):
+                lists = batch.column(at)
+                starts = np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))
+                which = starts[row] + m.flatten().field(number).to_numpy(zero_copy_only=False)
+                sides.append([lists.flatten().field(c).to_numpy(zero_copy_only=False)[which].astype(np.float64) for c in ("x", "y", "scale", "angle")])
+            (px, py, ps, pt), (qx, qy, qs, qt) = sides
+            # the similarity that maps a onto b: turn, log2 of the scale, shift
+            turn, zoom = qt - pt, ps / qs
+            dx = qx - zoom * (np.cos(turn) * px - np.sin(turn) * py)
+            dy = qy - zoom * (np.sin(turn) * px + np.cos(turn) * py)
+            part = np.mod(turn, 2 * np.pi) / (np.pi / 6)
+            spot = K.mix64(px.view(np.uint64) + K.mix64(py.view(np.uint64)))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            # two overlapping grids, so that a group of votes is whole in one of them
+            for half in (0.0, 0.5):
+                cell = K.mix64(row.astype(np.uint64))
+                for c in (np.floor(part + half) % 12, np.floor(np.log2(zoom) * 2 + 0.5), np.floor(dx / 16 + half), np.floor(dy / 16 + half)):
+                    cell = K.mix64(cell + c.astype(np.int64).view(np.uint64))
+                _, one = np.unique(K.mix64(cell) ^ spot, return_index=True)
+                _, at_cell, count = np.unique(cell[one], return_index=True, return_counts=True)
+                good[row[one[at_cell[count >= votes]]]] = True
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return sided.mapInArrow(run, "a long, b long")
 
 
 def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", hamming: int = HAMMING, votes: int = VOTES, window: int = WINDOW, block: int = BLOCK, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -341,7 +364,7 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", hamm
     described = staged(spark, _described(rows, "image", ["id", "same", *held]).withColumn("row", F.monotonically_increasing_id()))
     classes = staged(spark, described.where("id is not null and size(corners) > 0").groupBy("same").agg(F.min("row").alias("v")))
     features = described.join(few(classes)(classes.select(F.col("v").alias("row"))), "row", "left_semi").withColumnRenamed("row", "v")
-    places = features.select("v", F.transform("corners", lambda c: F.struct(*[c[k].cast("double").alias(k) for k in ("x", "y", "scale", "angle")])).alias("at"))
+    places = features.select("v", F.transform("corners", lambda c: F.struct(*[c[k].alias(k) for k in ("x", "y", "scale", "angle")])).alias("at"))
     keyed = _keyed(features)
     found = staged(spark, _streamed(_dealt(spark, keyed, hot_rows, hot_share), hamming, window))
     matches = found.where("af >= 0")
