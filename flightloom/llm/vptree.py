@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from .shared import small_batches, table
 
-#: Vectors of a shard, of a leaf, queries that go down a tree together, and spare neighbours kept against rounding.
-SHARD_ROWS, LEAF, BLOCK, SPARE = 8192, 128, 512, 8
+#: Vectors of a shard, of a leaf, queries that go down a tree together.
+SHARD_ROWS, LEAF, BLOCK = 8192, 128, 512
 
 #: How much pruning is relaxed; measured recall is in the README.
 FACTOR = 1.0
@@ -58,19 +58,20 @@ class VPTree:
             stack += [(rows[~inside], (here, 1)), (rows[inside], (here, 0))]
 
     def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, rows) of the k best for each query, best first; rows -1 where there are fewer."""
+        """(query, row) of every vector whose score is no less than the query's k-th best, short of rounding: all ties are there."""
         best = np.full((len(queries), k), -np.inf)
-        rows = np.full((len(queries), k), -1, dtype=np.int64)
+        asked, found, scored = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if not len(self.vectors) or not len(queries):
-            return best, rows
+            return asked[0], found[0]
         wide = np.hstack([queries, np.zeros((len(queries), 1))])
         length = np.einsum("ij,ij->i", queries, queries)
+        slack = 1e-9 * (1 + np.sqrt(length * self.top))
         done = np.zeros((len(queries), len(self.nodes)), dtype=bool)
 
         def reach(active: np.ndarray) -> np.ndarray:
             """Distance of the k-th best; the slack covers rounding."""
             worst = best[active].min(axis=1)
-            return np.sqrt(np.maximum(length[active] + self.top - 2 * worst, 0)) * (1 + 1e-9) + 1e-9
+            return np.sqrt(np.maximum(length[active] + self.top - 2 * worst + 2 * slack[active], 0)) * (1 + 1e-9) + 1e-9
 
         def leaf(node: int, active: np.ndarray) -> None:
             active = active[~done[active, node]]
@@ -80,10 +81,13 @@ class VPTree:
             own = self.nodes[node]
             for lo in range(0, len(own), 4096):
                 part = own[lo : lo + 4096]
-                scores = np.hstack([best[active], queries[active] @ self.vectors[part].T])
-                names = np.hstack([rows[active], np.broadcast_to(part, (len(active), len(part)))])
-                pick = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                best[active], rows[active] = np.take_along_axis(scores, pick, axis=1), np.take_along_axis(names, pick, axis=1)
+                scores = queries[active] @ self.vectors[part].T
+                at, where = np.nonzero(scores >= (best[active].min(axis=1) - slack[active])[:, None])
+                asked.append(active[at])
+                found.append(part[where])
+                scored.append(scores[at, where])
+                both = np.hstack([best[active], scores])
+                best[active] = -np.partition(-both, k - 1, axis=1)[:, :k]
 
         def walk(first_only: bool) -> None:
             stack = [(0, np.arange(len(queries)))]
@@ -107,8 +111,9 @@ class VPTree:
 
         walk(first_only=True)
         walk(first_only=False)
-        order = np.argsort(-best, axis=1, kind="stable")
-        return np.take_along_axis(best, order, axis=1), np.take_along_axis(rows, order, axis=1)
+        asked, found, scored = (np.concatenate(x) for x in (asked, found, scored))
+        near = scored >= (best.min(axis=1) - slack)[asked]
+        return asked[near], found[near]
 
 
 class Shard:
@@ -123,18 +128,22 @@ class Shard:
         self.start = np.searchsorted(which.ravel()[grouped], np.arange(len(first) + 1))
         self.tree = VPTree(vectors[first].astype(np.float64))
 
-    def nearest(self, names: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[int, int, float]]:
-        _, rows = self.tree.search(queries, k + 1 + SPARE, factor)
-        for i, name in enumerate(names):
-            mine = rows[i][rows[i] >= 0]
-            # the measure itself, summed the same way for every vector
-            scores = (self.tree.vectors[mine] * queries[i]).sum(axis=1)
-            found = []
-            for row, score in zip(mine, scores, strict=True):
-                ids = self.ids[self.start[row] : min(self.start[row + 1], self.start[row] + k + 1)]
-                found += [(-float(score), int(v)) for v in ids if v != name]
-            for score, v in sorted(found)[:k]:
-                yield int(name), v, -score
+    def nearest(self, names: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's name, id, score) of each query's k nearest, ties to the smaller id; the query's own id is left out."""
+        asked, rows = self.tree.search(queries, k + 1, factor)
+        # the measure itself, summed the same way for every vector
+        score = np.concatenate([np.zeros(0), *[(self.tree.vectors[rows[lo : lo + 8192]] * queries[asked[lo : lo + 8192]]).sum(axis=1) for lo in range(0, len(rows), 8192)]])
+        # a vector's first ids suffice: equal vectors have equal scores
+        count = np.minimum(self.start[rows + 1] - self.start[rows], k + 1)
+        which = np.repeat(np.arange(len(rows)), count)
+        ids = self.ids[self.start[rows][which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
+        asked, score = asked[which], score[which]
+        other = ids != names[asked]
+        asked, score, ids = asked[other], score[other], ids[other]
+        order = np.lexsort((ids, -score, asked))
+        asked, score, ids = asked[order], score[order], ids[order]
+        rank = np.arange(len(asked)) - np.searchsorted(asked, asked)
+        return names[asked[rank < k]], ids[rank < k], score[rank < k]
 
 
 def usable(c: Column) -> Column:
@@ -185,8 +194,8 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 20, id_col:
                 if shard is None:
                     shard = Shard(np.concatenate(held_ids), np.concatenate(held)) if held else Shard(np.zeros(0, np.int64), np.zeros((0, dim[lo])))
                 for at in range(0, hi - lo, BLOCK):
-                    got = list(shard.nearest(ids[lo:hi][at : at + BLOCK], rows[at : at + BLOCK], k, factor))
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], names=["query_id", "vec_id", "score"])
+                    got = shard.nearest(ids[lo:hi][at : at + BLOCK], rows[at : at + BLOCK], k, factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
 
     found = both.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -225,15 +225,29 @@ def test_op3_exact(spark, shard_rows):
     assert {(r.query_id, r.vec_id, r.score) for r in got if r.query_id >= 300} == {(480, 520, 4.0), (520, 480, 4.0)}
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 500])
+def test_op3_ties(spark, shard_rows):
+    """Vectors of whole numbers tie by the hundred; the smaller ids count."""
+    v = np.random.default_rng(6).integers(-1, 2, size=(2500, 8)).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = vptree.nearest_neighbours(df, df.where("vec_id % 100 = 0"), shard_rows=shard_rows).orderBy("query_id", "rank").collect()
+    for q in range(0, 2500, 100):
+        s = sorted((-float(v[i] @ v[q]), i) for i in range(2500) if i != q and v[i].any()) if v[q].any() else []
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, -x) for x, i in s[:20]]
+
+
 def test_op3_factor_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 6)) * 4
     v = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 6)) * 0.3
     tree, q = vptree.VPTree(v), v[::100]
-    exact = np.sort(q @ v.T, axis=1)[:, ::-1][:, :10]
-    assert np.allclose(tree.search(q, 10, 1.0)[0], exact)
-    relaxed = tree.search(q, 10, 1.5)[0]
-    assert np.isclose(relaxed, exact).mean() > 0.9
+    exact = [set(np.argsort(-(v @ x))[:10]) for x in q]
+
+    def recall(factor):
+        asked, rows = tree.search(q, 10, factor)
+        return np.mean([len(exact[i] & set(rows[asked == i])) / 10 for i in range(len(q))])
+
+    assert recall(1.0) == 1.0 and recall(1.5) > 0.9
 
 
 def test_op6_copies(spark):
