@@ -6,34 +6,41 @@ and deadline ceil((k + 1) / w) in slots of one block; earliest deadline first
 fills each slot from the released blocks.  Every source is then at every time
 within less than one block of its target share.
 
-Weights are rounded to multiples of 1 / period that sum to 1, so the schedule
-repeats after `period` slots: it is computed once for one period, and each block
-gets its slot by a join.  A source that has no block left leaves, the weights of
-the others are rounded anew and the next epoch begins, with a schedule of its
-own, until every document has a slot: there are at most as many epochs as
-sources, and only the sources' counts decide where they begin.  Numbering the
-documents of a source needs no sort of a whole source: hash buckets are counted,
-their counts are added up, and rows are numbered inside their bucket.
-
-Only so many sources fit a period.  All others are one scheduled source, REST,
-inside which document k of a source of n documents and weight w comes at the
-time (k + phase) / w, the phase a hash of the source's name: each has its share
-of REST until its documents end, and the others share what it leaves.
+Weights are exact fractions.  The slots are cut into rounds, so that no task
+and not the driver walks through all of them: how many blocks each source has
+had when a round begins follows from the weights alone (those that are due, and
+of the others the ones with the earliest deadlines that can have been placed),
+so each round is scheduled on its own, and blocks find their slots by a join.  A
+round is as long as the smallest source takes for one block, at least.
+A source that has no block left leaves, the weights of the others are made to
+sum to 1 anew and the next epoch begins, until every document has a slot; only
+the sources' counts decide where epochs begin.  Numbering the documents of a
+source needs no sort of a whole source: hash buckets are counted, their counts
+are added up, and rows are numbered inside their bucket.
+
+The largest sources are scheduled by name.  All others are one scheduled source,
+REST, inside which document k of a source of n documents and weight w comes at
+the time (k + phase) / w, the phase a hash of the source's name: each has its
+share of REST until its documents end, and the others share what it leaves.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import ceil, lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import staged, table
 
-#: Documents of a block, and slots after which the schedule repeats.
-BLOCK_DOCS, PERIOD = 16, 1000
+#: Documents of a block, and slots that are scheduled at once.
+BLOCK_DOCS, ROUND = 16, 1000
 
 #: Documents that a hash bucket is meant to hold.
 BUCKET_DOCS = 20_000
@@ -42,40 +49,77 @@ BUCKET_DOCS = 20_000
 REST = None
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of each source in a period, largest remainders first (ties by name); each positive weight gets one at least."""
-    positive = {k: v for k, v in sorted(weights.items()) if v > 0}
-    if len(positive) > period:
-        raise ValueError("more sources than slots in a period")
-    if not positive:
-        return {}
-    total = sum(positive.values())
-    exact = {k: v / total * period for k, v in positive.items()}
-    out = {k: max(1, int(v)) for k, v in exact.items()}
-    for k in sorted(out, key=lambda k: (exact[k] - out[k], k), reverse=True)[: max(0, period - sum(out.values()))]:
-        out[k] += 1
-    for _ in range(sum(out.values()) - period):
-        out[max((k for k in out if out[k] > 1), key=lambda k: (out[k] - exact[k], k))] -= 1
-    return out
-
-
-def schedule(slots: dict[str, int], period: int = PERIOD) -> list[tuple[str, int, int, int, int]]:
-    """One period by earliest deadline first: (source, block, release, deadline, slot), ties by deadline then the later next release, then name."""
-    waiting = sorted((k * period // n, -(-(k + 1) * period // n), name, k) for name, n in slots.items() for k in range(n))
-    ready: list[tuple[int, int, str, int, int]] = []
-    out, at = [], 0
-    for slot in range(period if slots else 0):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, name, k = waiting[at]
-            # of equal deadlines first the one whose successor is released before its own deadline, as in PF scheduling
-            overlap = (k + 1) * period % slots[name] != 0
-            heapq.heappush(ready, (deadline, -overlap, name, k, release))
-            at += 1
-        deadline, _, name, k, release = heapq.heappop(ready)
-        if slot >= deadline:
-            raise AssertionError("a deadline is missed")
-        out.append((name, k, release, deadline, slot))
-    return out
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Positive weights as whole numbers in exactly the same proportions."""
+    exact = {k: Fraction(v) for k, v in sorted(weights.items()) if v > 0}
+    scale = lcm(*[x.denominator for x in exact.values()])
+    return {k: int(x * scale) for k, x in exact.items()}
+
+
+class Epoch:
+    """The schedule while the same sources have blocks: weights (whole numbers), blocks that each has left, slots until one may end."""
+
+    def __init__(self, weights: dict[str, int], left: dict[str, int]):
+        self.names = sorted(weights)
+        self.weight, self.left = [weights[s] for s in self.names], [left[s] for s in self.names]
+        self.total = sum(self.weight)
+        self.length = min(n * self.total // w for n, w in zip(self.left, self.weight, strict=True))
+        #: Slots in which every source has a block.
+        self.turn = -(-self.total // min(self.weight))
+
+    def release(self, i: int, k: int) -> int:
+        return k * self.total // self.weight[i]
+
+    def deadline(self, i: int, k: int) -> int:
+        return -(-(k + 1) * self.total // self.weight[i])
+
+    def given(self, slot: int) -> list[int]:
+        """Blocks of each source in the slots before `slot`: those due by then, then by deadline those that fit between the due ones.
+
+        Only the last turn is looked at: before it, each source has a due block after any slot, and so nothing is in the way."""
+        done = [w * slot // self.total for w in self.weight]
+        low = max(0, slot - self.turn)
+        # free[t]: blocks that can still be added to the slots from low + t on
+        released = [0] * (slot - low + 1)
+        for i, n in enumerate(done):
+            for k in range(max(0, -(-low * self.weight[i] // self.total)), n):
+                released[max(0, self.release(i, k) - low)] += 1
+        free, later = [0] * (slot - low), 0
+        for t in range(slot - low - 1, -1, -1):
+            later += released[t]
+            free[t] = slot - low - t - later
+        spare = slot - sum(done)
+        waiting = sorted((self.deadline(i, n), n + 1 < self.left[i], i) for i, n in enumerate(done) if n < self.left[i] and self.release(i, n) < slot)
+        passed = []
+        for _, _, i in waiting:
+            if not spare:
+                break
+            at = max(0, self.release(i, done[i]) - low)
+            if min(free[: at + 1], default=0) > 0:
+                for t in range(at + 1):
+                    free[t] -= 1
+                done[i] += 1
+                spare -= 1
+            else:
+                passed.append(i)
+        for i in passed[:spare]:
+            done[i] += 1
+        return done
+
+    def plan(self, first: int, last: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(source, block, release, deadline, slot) of the slots from first to last - 1, by earliest deadline, then name."""
+        till = self.given(last)
+        coming = [(self.release(i, k), i, k) for i, k in enumerate(self.given(first)) if k < till[i]]
+        heapq.heapify(coming)
+        ready: list[tuple[int, int, int, int]] = []
+        for slot in range(first, last):
+            while coming and (coming[0][0] <= slot or not ready):
+                release, i, k = heapq.heappop(coming)
+                heapq.heappush(ready, (self.deadline(i, k), i, k, release))
+                if k + 1 < till[i]:
+                    heapq.heappush(coming, (self.release(i, k + 1), i, k + 1))
+            deadline, i, k, release = heapq.heappop(ready)
+            yield i, k, release, deadline, slot
 
 
 def numbered(docs: DataFrame, id_col: str, source_col: str, seed: int = 0) -> DataFrame:
@@ -128,15 +172,15 @@ def natural_weights(docs: DataFrame, source_col: str = "source", power: float =
 NEW = ("block", "release", "deadline", "slot", "position", "in_mix")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float], id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 0, rest_power: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float], id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, round_slots: int = ROUND, seed: int = 0, rest_power: float = 1.0) -> DataFrame:
     """Schedules documents: columns of `docs` and block, release, deadline, slot, position (longs), in_mix (boolean).
 
     Every document of a source with positive weight has a slot; others have
-    none.  in_mix says that the slot lies before the first slot for which a
-    source has no full block left: up to there every source is within one block
-    of its target.  After it the same holds for the sources that still have
-    blocks, with their weights made to sum to 1 again from the slot on at which
-    a source ended.  The last block of a source may be smaller than the others.
+    none.  in_mix says that the slot lies before the release of the first block
+    that a source cannot fill: up to there every source is within one block of
+    its target.  After it the same holds for the sources that still have blocks,
+    with their weights made to sum to 1 again from the slot on at which a source
+    ended.  The last block of a source may be smaller than the others.
 
     A weight under REST is that of all sources without one together.  They count
     as one source, whose blocks hold documents of several; inside it they have
@@ -152,9 +196,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float], id_col: str = "doc_id
     rest = weights.get(REST, 0) > 0
     label = _label(F.col(source_col), names, rest)
     counts = {r["s"]: r["n"] for r in docs.groupBy(label.alias("s")).agg(F.count(F.lit(1)).alias("n")).where("s is not null").collect()}
-    spans, pattern, end = epochs({"rest" if s is REST else "=" + s: w for s, w in weights.items()}, counts, block_docs, period)
-    spans = spark.createDataFrame(spans, "_of string, _epoch long, _first long, _last long, _share long, _begin long")
-    pattern = spark.createDataFrame(pattern, "_of string, _epoch long, _step long, _release long, _deadline long, _slot long")
+    plans, end = epochs(whole({"rest" if s is REST else "=" + s: w for s, w in weights.items()}), counts, block_docs)
+    slots = _slots(spark, plans, round_slots)
     row = F.struct(*[F.col(c) for c in docs.columns if c.lower() not in NEW]).alias("_row")
     keyed = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_named"), label.alias("_label"))
     if rest:
@@ -162,11 +205,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float], id_col: str = "doc_id
         placed = apart.unionByName(dealt_together(keyed.where("_label = 'rest'"), "_id", "_named", seed, rest_power))
     else:
         placed = numbered(keyed, "_id", "_named", seed)
-    placed = placed.withColumn("block", F.expr(f"place div {block_docs}")).join(F.broadcast(spans), (F.col("_label") == F.col("_of")) & F.col("block").between(F.col("_first"), F.col("_last")), "left")
-    placed = placed.withColumn("_step", F.expr("(block - _first) % _share")).withColumn("_round", F.expr("(block - _first) div _share"))
-    placed = placed.join(F.broadcast(pattern), ["_of", "_epoch", "_step"], "left")
-    at = {k: F.col("_begin") + F.col("_round") * period + F.col(f"_{k}") for k in ("release", "deadline", "slot")}
-    placed = placed.withColumns(at).withColumn("position", F.col("slot") * block_docs + F.col("place") % block_docs)
+    placed = placed.withColumn("block", F.expr(f"place div {block_docs}"))
+    placed = placed.join(slots, (F.col("_label") == F.col("_of")) & (F.col("block") == F.col("_block")), "left")
+    placed = placed.withColumn("position", F.col("slot") * block_docs + F.col("place") % block_docs)
     return placed.withColumn("in_mix", F.coalesce(F.col("slot") < end, F.lit(False))).select("_row.*", *NEW)
 
 
@@ -176,41 +217,44 @@ def _label(source: Column, names: list[str], rest: bool) -> Column:
     return F.when(named.isin(names), F.concat(F.lit("="), named)).otherwise(F.lit("rest" if rest else None).cast("string"))
 
 
-def _first_without(have: dict[str, int], slots: dict[str, int], where: dict[tuple[str, int], int], period: int) -> int:
-    """First slot for which a source with `have` blocks has none left."""
-    return min((have.get(s, 0) // n * period + where[s, have.get(s, 0) % n] for s, n in slots.items()), default=0)
-
-
-def epochs(weights: dict[str, float], counts: dict[str, int], block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> tuple[list[tuple], list[tuple], int]:
+def epochs(weights: dict[str, int], counts: dict[str, int], block_docs: int = BLOCK_DOCS) -> tuple[list[tuple[Epoch, dict[str, int], int]], int]:
     """Epochs from one source's end to the next, until all blocks of sources with positive weight are placed.
 
-    Returns (source, epoch, first block, last block, share, first slot), then
-    (source, epoch, step, release, deadline, slot in the period), and the first
-    slot for which a source has no full block left."""
-    slots = shares(weights, period)
-    where = {(name, k): slot for name, k, _, _, slot in schedule(slots, period)}
-    end = _first_without({s: n // block_docs for s, n in counts.items()}, slots, where, period)
-    left = {s: -(-counts[s] // block_docs) for s in slots if counts.get(s, 0) > 0}
-    done, begin = dict.fromkeys(left, 0), 0
-    spans, pattern = [], []
-    for epoch in range(len(left)):
-        if not left:
-            break
-        slots = shares({s: weights[s] for s in left}, period)
-        plan = schedule(slots, period)
-        length = _first_without(left, slots, {(name, k): slot for name, k, _, _, slot in plan}, period)
-        given = {s: length // period * n for s, n in slots.items()}
-        for name, k, release, deadline, slot in plan:
-            given[name] += slot < length % period
-            if slot < length:
-                pattern.append((name, epoch, k, release, deadline, slot))
-        for s, n in given.items():
-            if n:
-                spans.append((s, epoch, done[s], done[s] + n - 1, slots[s], begin))
+    Returns (epoch, blocks that each source has had before, first slot), and the
+    release of the first block that a source cannot fill."""
+    total = sum(weights.values())
+    end = min((counts.get(s, 0) // block_docs * total // w for s, w in weights.items()), default=0)
+    left = {s: -(-counts[s] // block_docs) for s in weights if counts.get(s, 0) > 0}
+    done, begin, out = dict.fromkeys(left, 0), 0, []
+    while left:
+        epoch = Epoch({s: weights[s] for s in left}, left)
+        out.append((epoch, {s: done[s] for s in left}, begin))
+        for s, n in zip(epoch.names, epoch.given(epoch.length), strict=True):
             done[s] += n
-        left = {s: n - given[s] for s, n in left.items() if n > given[s]}
-        begin += length
-    return spans, pattern, end
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+        begin += epoch.length
+    return out, end
+
+
+def _slots(spark: SparkSession, plans: list[tuple[Epoch, dict[str, int], int]], round_slots: int) -> DataFrame:
+    """(_of, _block, release, deadline, slot): one row a block; rounds, of a turn at least, are scheduled independently in tasks."""
+    sizes = [max(round_slots, epoch.turn) for epoch, _, _ in plans]
+    lengths = spark.createDataFrame([(n, (epoch.length - 1) // size) for n, ((epoch, _, _), size) in enumerate(zip(plans, sizes, strict=True))], "epoch int, last long")
+    rounds = lengths.select("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("round"))
+    dealt = rounds.repartition(max(1, min(ceil(sum(epoch.length for epoch, _, _ in plans) / (20 * round_slots)), 10_000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                epoch, done, begin = plans[n]
+                rows = epoch.plan(r * sizes[n], min((r + 1) * sizes[n], epoch.length))
+                while some := list(islice(rows, 10_000)):
+                    names = [epoch.names[i] for i, *_ in some]
+                    times = [pa.array([row[k] + begin for row in some], pa.int64()) for k in (2, 3, 4)]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([done[s] + row[1] for s, row in zip(names, some, strict=True)], pa.int64()), *times], names=["_of", "_block", "release", "deadline", "slot"])
+
+    return dealt.mapInArrow(run, "_of string, _block long, release long, deadline long, slot long")
 
 
 #: Targets of the query: shares lean towards small sources.

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
-from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -286,23 +286,35 @@ def test_op8_held_out_accuracy(spark, empty):
 
 
 def test_op9_schedule_keeps_within_one_block():
+    """Earliest deadline first in independent rounds: each block in its window, every source within one block of its true weight."""
     rng = random.Random(3)
     for _ in range(60):
-        n = rng.randint(1, 25)
-        period = rng.choice([50, 100, 997])
-        slots = mixing.shares({f"s{i}": rng.random() ** 3 + 0.001 for i in range(n)}, period)
-        assert sum(slots.values()) == period
-        given = dict.fromkeys(slots, 0)
-        for at, (name, k, release, deadline, slot) in enumerate(mixing.schedule(slots, period)):
-            assert at == slot and release <= slot < deadline and given[name] == k
-            given[name] += 1
-            assert all(abs(Fraction(slots[s] * (at + 1), period) - given[s]) < 1 for s in slots)
+        n, power = rng.choice([1, 2, 3, 8, 30]), rng.choice([1, 3, 6])
+        weights = mixing.whole({f"s{i}": rng.random() ** power + 1e-3 for i in range(n)})
+        total = sum(weights.values())
+        epoch = mixing.Epoch(weights, dict.fromkeys(weights, 10**12))
+        round_slots = max(rng.choice([50, 200]), epoch.turn)
+        given = [0] * n
+        for first in range(0, 1000, round_slots):
+            for i, k, release, deadline, slot in islice(epoch.plan(first, first + round_slots), 2000):
+                assert release <= slot < deadline and given[i] == k
+                given[i] += 1
+                assert all(abs(w * (slot + 1) - total * g) < total for w, g in zip(epoch.weight, given, strict=True))
+
+
+def test_op9_far_out_is_as_near():
+    """After many slots a source of a tiny weight is still within one block of its target."""
+    weights = mixing.whole({"a": 0.0004, "b": 0.3333, "c": 0.6663})
+    epoch = mixing.Epoch(weights, dict.fromkeys(weights, 10**12))
+    for at in (100_000, 10**9):
+        given = epoch.given(at)
+        assert sum(given) == at and all(abs(w * at - epoch.total * g) < epoch.total for w, g in zip(epoch.weight, given, strict=True))
 
 
 def test_op9_mix(spark):
     rows = [(i, "a" if i % 3 else "b", i) for i in range(900)] + [(None, "b", 1), (5, None, 2), (5, None, 2)]
     df = spark.createDataFrame(rows, "doc_id long, source string, slot long")
-    got = mixing.mix(df, {"a": 3, "b": 2, "c": 0}, block_docs=4, period=10).collect()
+    got = mixing.mix(df, {"a": 3, "b": 2, "c": 0}, block_docs=4, round_slots=10).collect()
     assert len(got) == len(rows)
     assert all(r.slot is None and not r.in_mix for r in got if r.source is None)
     used = [r for r in got if r.in_mix]
@@ -320,7 +332,7 @@ def test_op9_small_source_does_not_end_the_mix(spark):
     sizes = {"big": 3000, "mid": 700, "tiny": 5, "": 17}
     rows = [(i, s or None) for s, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix(df, mixing.natural_weights(df, power=0.7), block_docs=4, period=50).collect()
+    got = mixing.mix(df, mixing.natural_weights(df, power=0.7), block_docs=4, round_slots=50).collect()
     assert len(got) == len(rows) and all(r.slot is not None and r.release <= r.slot < r.deadline for r in got)
     assert len({r.position for r in got}) == len(rows)
     slots = {r.slot: r.source for r in got}
@@ -329,7 +341,7 @@ def test_op9_small_source_does_not_end_the_mix(spark):
     assert 0 < sum(r.in_mix for r in got) < len(rows) / 2
     # once the two small ones have ended, the others go on at their own targets
     ended, last = (max(t for t, s in slots.items() if s in of) + 1 for of in (("tiny", None), ("mid",)))
-    share = mixing.shares({"big": 3000**0.7, "mid": 700**0.7}, 50)["mid"] / 50
+    share = 700**0.7 / (3000**0.7 + 700**0.7)
     assert all(abs(sum(slots[k] == "mid" for k in range(ended, t)) - share * (t - ended)) < 2 for t in range(ended, last + 1))
 
 
