@@ -5,16 +5,19 @@ inside their own format: a card number becomes a card number with a right check
 digit, a date another date in the same notation, an address another address.
 The same value has the same pseudonym in every document, different values have
 different ones, and who has the key can undo it.  E-mail addresses and secrets,
-which have no fixed format, are replaced by keyed digests.
+which have no fixed format, are replaced by keyed digests (of 80 and 64 bits, so
+different ones differ but for chance), which nobody can undo.
 
 Everything is column expressions: one pattern finds the candidates, `split` with
 the same pattern finds the text between them, a higher-order function replaces
-each candidate.
+each candidate.  Candidates that fail validation are text again, and cards are
+looked for in all text that is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,30 +63,43 @@ CARD_RUN, CARD_GROUP, CARD = r"(?<!\d)\d[\d -]{11,}\d(?!\d)", r"[ -]*\d+", r"\A\
 #: Digits of a card, the usual numbers first: where readings of a run overlap, the first one that is valid counts.
 CARD_LENGTHS = (16, 15, 19, 14, 13, 18, 17)
 
-#: Days of the dates that are permuted, 1800-01-01 to 2199-12-31: 400 years are 189 x 773 days.
+#: Dates are permuted within blocks of 400 years, 189 x 773 days, counted from here.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
+#: First and last block, the years 1 to 199 and 9800 to 9999: number, first day from FIRST_DAY, sizes.
+FIRST_BLOCK, LAST_BLOCK = (-5, -657071, (13, 5591)), (20, 20 * 146097, (184, 397))
+
+
+@dataclass(frozen=True)
+class Key:
+    """The secret, and whether pseudonyms are made or undone."""
+
+    secret: str
+    undo: bool = False
+
 
 def _long(c: Column | int) -> Column:
     return (F.lit(c) if isinstance(c, int) else c).cast("long")
 
 
-def _feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: str, kind: str) -> Column:
-    """Keyed permutation of the pairs (a, b), 0 <= a < size_a, 0 <= b < size_b; a struct with fields a and b."""
+def _feistel(a: Column, b: Column, size_a: Column | int, size_b: Column | int, key: Key, kind: str) -> Column:
+    """Keyed permutation of the pairs (a, b), 0 <= a < size_a, 0 <= b < size_b, or its inverse; a struct with fields a and b."""
     size_a, size_b = _long(size_a), _long(size_b)
+    sign = -1 if key.undo else 1
 
     def turn(s: Column, i: Column) -> Column:
         def noise(x: Column) -> Column:
-            told = F.concat_ws("|", F.lit(key), F.lit(kind), size_a.cast("string"), size_b.cast("string"), i.cast("string"), x.cast("string"))
+            told = F.concat_ws("|", F.lit(key.secret), F.lit(kind), size_a.cast("string"), size_b.cast("string"), i.cast("string"), x.cast("string"))
             return F.conv(F.substring(F.sha2(told.cast("binary"), 256), 1, 14), 16, 10).cast("long")
 
-        new_a, new_b = F.pmod(s["a"] + F.pmod(noise(s["b"]), size_a), size_a), F.pmod(s["b"] + F.pmod(noise(s["a"]), size_b), size_b)
+        new_a, new_b = F.pmod(s["a"] + sign * F.pmod(noise(s["b"]), size_a), size_a), F.pmod(s["b"] + sign * F.pmod(noise(s["a"]), size_b), size_b)
         return F.when(i % 2 == 0, F.struct(new_a.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), new_b.alias("b")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(_long(a).alias("a"), _long(b).alias("b")), turn)
+    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if key.undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(rounds, F.struct(_long(a).alias("a"), _long(b).alias("b")), turn)
 
 
-def _permuted_digits(digits: Column, key: str, kind: str) -> Column:
+def _permuted_digits(digits: Column, key: Key, kind: str) -> Column:
     """Another string of as many digits (2 to 30)."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
@@ -117,7 +133,7 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
-def _card(hit: Column, key: str) -> Column:
+def _card(hit: Column, key: Key) -> Column:
     """Pseudonym of a card that is valid."""
 
     def made(payload: Column) -> Column:
@@ -133,7 +149,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cards_in_run(run: Column, key: str) -> Column:
+def _cards_in_run(run: Column, key: Key) -> Column:
     """A run of digit groups with its cards replaced, a struct of text and n; any groups in a row can be a card."""
 
     def reading(groups: Column, i: Column, j: Column) -> Column:
@@ -158,7 +174,7 @@ def _cards_in_run(run: Column, key: str) -> Column:
     return _let(F.regexp_extract_all(run, F.lit(CARD_GROUP), F.lit(0)), replaced)
 
 
-def _cards(text: Column, key: str) -> Column:
+def _cards(text: Column, key: Key) -> Column:
     """A text with its cards replaced, a struct of text and n."""
 
     def replaced(runs: Column) -> Column:
@@ -178,7 +194,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, _CHARS), F.lit(0), add)
 
 
-def _iban(hit: Column, key: str) -> Column:
+def _iban(hit: Column, key: Key) -> Column:
     bare = F.regexp_replace(hit, " ", "")
     rest = F.substring(bare, F.lit(5), F.length(bare))
     digits = _digits(rest)
@@ -192,14 +208,14 @@ def _iban(hit: Column, key: str) -> Column:
     return F.when(right, _filled(hit, new)).otherwise(hit)
 
 
-def _ip(hit: Column, key: str) -> Column:
+def _ip(hit: Column, key: Key) -> Column:
     parts = F.transform(F.split(hit, r"\."), lambda x: x.cast("long"))
     got = _feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], 65536, 65536, key, "ip")
     octets = lambda x: [F.floor(x / 256).cast("long").cast("string"), F.pmod(x, F.lit(256)).cast("string")]
     return F.transform(F.array(got), lambda s: F.concat_ws(".", *octets(s["a"]), *octets(s["b"])))[0]
 
 
-def _ssn(hit: Column, key: str) -> Column:
+def _ssn(hit: Column, key: Key) -> Column:
     d = _digits(hit)
     area, group, serial = (F.substring(d, *x).cast("long") for x in ((1, 3), (4, 2), (6, 4)))
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
@@ -214,7 +230,7 @@ def _ssn(hit: Column, key: str) -> Column:
     return F.transform(F.array(got), shown)[0]
 
 
-def _date(hit: Column, key: str) -> Column:
+def _date(hit: Column, key: Key) -> Column:
     """ISO, day.month.year, and month/day/year (or day/month/year where only that is a date)."""
     d, first = _digits(hit), F.to_date(F.lit(FIRST_DAY))
     out = hit
@@ -222,72 +238,98 @@ def _date(hit: Column, key: str) -> Column:
         y, m, day = (F.substring(d, at, 4 if k == 0 else 2) for k, at in enumerate(parts))
         when = F.try_to_date(F.concat_ws("-", y, m, day), "yyyy-MM-dd")
         number = F.datediff(when, first)
-        got = _feistel(F.floor(number / DAYS[1]), F.pmod(number, F.lit(DAYS[1])), *DAYS, key, "date")
-        there = F.transform(F.array(got), lambda s: F.date_add(first, (s["a"] * DAYS[1] + s["b"]).cast("int")))[0]
+        block = F.floor(number / (DAYS[0] * DAYS[1]))
+        of = lambda usual, pick: F.when(block == FIRST_BLOCK[0], pick(FIRST_BLOCK)).when(block == LAST_BLOCK[0], pick(LAST_BLOCK)).otherwise(usual)  # noqa: E731, B023
+        start = of(block * DAYS[0] * DAYS[1], lambda x: x[1])
+        size_a, size_b = of(DAYS[0], lambda x: x[2][0]), of(DAYS[1], lambda x: x[2][1])
+        inside = number - start
+        got = _feistel(F.floor(inside / size_b), F.pmod(inside, size_b), size_a, size_b, key, "date")
+        there = F.transform(F.array(got), lambda s: F.date_add(first, (start + s["a"] * size_b + s["b"]).cast("int")))[0]  # noqa: B023
         shown = F.date_format(there, form)
-        fits = F.contains(hit, F.lit(separator)) & when.isNotNull() & number.between(0, DAYS[0] * DAYS[1] - 1)
+        fits = F.contains(hit, F.lit(separator)) & when.isNotNull()
         out = F.when(fits, shown).otherwise(out)
     return out
 
 
-def _phone(hit: Column, key: str) -> Column:
+def _phone(hit: Column, key: Key) -> Column:
     """The country code stays, all other digits change."""
     head = F.when(hit.startswith("+"), F.regexp_extract(hit, r"^\+\d{1,3}", 0)).otherwise(F.lit(""))
     tail = F.substring(hit, F.length(head) + 1, F.length(hit))
     return F.concat(head, _filled(tail, _permuted_digits(_digits(tail), key, "phone")))
 
 
-def _digest(value: Column, key: str, kind: str, n: int) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), value).cast("binary"), 256), 1, n)
+def _digest(value: Column, key: Key, kind: str, n: int) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", F.lit(key.secret), F.lit(kind), value).cast("binary"), 256), 1, n)
 
 
-def _email(hit: Column, key: str) -> Column:
+def _email(hit: Column, key: Key) -> Column:
     low = F.lower(hit)
-    return F.concat(F.lit("u"), _digest(low, key, "email", 12), F.lit("@d"), _digest(F.substring_index(low, "@", -1), key, "domain", 8), F.lit(".invalid"))
+    return F.concat(F.lit("u"), _digest(low, key, "email", 20), F.lit("@d"), _digest(F.substring_index(low, "@", -1), key, "domain", 16), F.lit(".invalid"))
 
 
-def _secret(hit: Column, key: str) -> Column:
+def _secret(hit: Column, key: Key) -> Column:
     named = F.regexp_extract(hit, rf"^(?s)(.*?{_GAP}[=:]{_GAP})[A-Za-z0-9_+/\-]+$", 1)
     value = F.substring(hit, F.length(named) + 1, F.length(hit))
-    return F.concat(named, F.lit("[secret "), _digest(value, key, "secret", 12), F.lit("]"))
+    return F.concat(named, F.lit("[secret "), _digest(value, key, "secret", 16), F.lit("]"))
 
 
 _MAKERS = {"secret": _secret, "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}
 
 
-def pseudonym(hit: Column, key: str) -> Column:
+def pseudonym(hit: Column, key: Key) -> Column:
     """What stands for a candidate; candidates that fail validation stay as they are."""
     out = hit
     for kind in reversed(PATTERNS):
-        out = F.when(hit.rlike(rf"\A(?:{PATTERNS[kind]})\z"), _MAKERS[kind](hit, key)).otherwise(out)
+        if not (key.undo and kind in ("secret", "email")):
+            out = F.when(hit.rlike(rf"\A(?:{PATTERNS[kind]})\z"), _MAKERS[kind](hit, key)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def _parts(gaps: Column, hits: Column, made: Column) -> Column:
+    """Array of (gap, made): text to be looked at for cards, then a replaced value; candidates that did not change belong to the gaps."""
+    found = F.zip_with(F.zip_with(gaps, hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))), made, lambda x, new: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), new.alias("made")))
+    start = F.struct(F.expr("cast(array() as array<struct<gap:string,made:string>>)").alias("out"), F.lit("").alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.concat(s["open"], x["gap"])
+        closed = F.struct(F.concat(s["out"], F.array(F.struct(gap.alias("gap"), x["made"].alias("made")))).alias("out"), F.lit("").alias("open"))
+        return F.when(x["hit"] != x["made"], closed).otherwise(F.struct(s["out"].alias("out"), F.concat(gap, F.coalesce(x["hit"], F.lit(""))).alias("open")))
+
+    last = lambda s: F.concat(s["out"], F.array(F.struct(s["open"].alias("gap"), F.lit("").alias("made"))))
+    return F.aggregate(found, start, step, last)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, undo: bool = False) -> DataFrame:
     """`docs` with personal data in the text replaced; with count_col also the number of values replaced.
 
-    A null text stays null and counts 0, an empty one stays empty.  Other
-    columns, whatever their names, and repeated rows pass through (a column of
-    the name count_col is replaced).  An empty
+    With undo, pseudonyms made with the same key become the values again (not the
+    digests of e-mail addresses and secrets); where a number stands beside others
+    that can be read as one card with it, another reading may count.
+
+    A null text stays null and counts 0, an empty one stays empty; texts of any
+    length are read whole.  Other columns, whatever their names, and repeated
+    rows pass through (a column of the name count_col is replaced).  An empty
     table gives an empty result."""
-    hits_col, new_col, gaps_col = fresh(docs, "hits"), fresh(docs, "replaced"), fresh(docs, "gaps")
-    text, hits, new, gaps = F.col(text_col).cast("string"), F.col(hits_col), F.col(new_col), F.col(gaps_col)
+    secret = Key(key, undo)
+    hits_col, new_col, parts_col = fresh(docs, "hits"), fresh(docs, "replaced"), fresh(docs, "parts")
+    text, hits, new, parts = F.col(text_col).cast("string"), F.col(hits_col), F.col(new_col), F.col(parts_col)
     likely = text.rlike(r"[0-9@=:]")
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    out = docs.withColumn(hits_col, F.when(likely, found)).withColumn(new_col, F.transform(hits, lambda h: pseudonym(h, key)))
-    out = out.withColumn(gaps_col, F.when(likely, F.transform(F.split(text, PATTERN, -1), lambda gap: _cards(gap, key))))
-    joined = F.array_join(F.zip_with(gaps, new, lambda gap, made: F.concat(gap["text"], F.coalesce(made, F.lit("")))), "")
+    out = docs.withColumn(hits_col, F.when(likely, found)).withColumn(new_col, F.transform(hits, lambda h: pseudonym(h, secret)))
+    looked = F.transform(_parts(F.split(text, PATTERN, -1), hits, new), lambda x: F.struct(_cards(x["gap"], secret).alias("cards"), x["made"].alias("made")))
+    out = out.withColumn(parts_col, F.when(likely, looked))
+    joined = F.array_join(F.transform(parts, lambda x: F.concat(x["cards"]["text"], x["made"])), "")
     out = out.withColumn(text_col, F.when(likely, joined).otherwise(text))
     if count_col:
-        changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x)) + F.aggregate(gaps, F.lit(0), lambda n, gap: n + gap["n"])
+        changed = F.size(F.filter(F.zip_with(hits, new, lambda a, b: a != b), lambda x: x)) + F.aggregate(parts, F.lit(0), lambda n, x: n + x["cards"]["n"])
         out = out.withColumn(count_col, F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long"))
-    return out.drop(hits_col, new_col, gaps_col)
+    return out.drop(hits_col, new_col, parts_col)
 
 
-#: The query's key; a real one is a secret of the caller.
-QUERY_KEY = "key of the example query"
+#: Setting that names the key, and what the query takes without it.
+KEY_SETTING, EXAMPLE_KEY = "flightloom.pii.key", "key of the example query"
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudonymise(docs, QUERY_KEY, count_col="n_replaced").select("doc_id", "text", "n_replaced")
+    return pseudonymise(docs, spark.conf.get(KEY_SETTING, EXAMPLE_KEY), count_col="n_replaced").select("doc_id", "text", "n_replaced")
