@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import errors
+from .ranking import ranked
 
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): groups dealt by size in turns (largest first, there and back), so that folds have like sizes."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    r = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
+    r = F.col("_r")
     turn, at = F.floor(r / k), r % k
-    return sizes.select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
+    return ranked(sizes, [-F.col("_n"), F.col(group)], "_r").select(group, F.when(turn % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
 def time_folds(df: DataFrame, group: str, t: str, k: int) -> DataFrame:
     """(group, fold) by each group's first time; the last fold takes the remainder. Train on all smaller folds; fold 0 is never tested."""
-    first = df.groupBy(group).agg(F.min(t).alias("_t"), F.lit(1).alias("_one"))
-    count = F.count(F.lit(1)).over(Window.partitionBy("_one"))
-    r = F.row_number().over(Window.orderBy("_t", group)) - 1
-    size = F.greatest(F.floor(count / k), F.lit(1))
-    return first.select(group, F.least(F.floor(r / size), F.lit(k - 1)).cast("int").alias("fold"))
+    first = df.groupBy(group).agg(F.min(t).alias("_t"))
+    size = max(1, first.count() // k)
+    return ranked(first, [F.col("_t"), F.col(group)], "_r").select(group, F.least(F.floor(F.col("_r") / size), F.lit(k - 1)).cast("int").alias("fold"))
 
 
 def shuffle_split(group: Column, share: float, seed: int = 42) -> Column:
@@ -50,8 +49,10 @@ def tail_blend(baseline: Column, other: Column, threshold: float) -> Column:
 
 def error_table(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
     """Error metrics by group; the mean that R2 needs is the group's."""
-    mean = F.avg(actual).over(Window.partitionBy(*by)) if by else F.avg(actual).over(Window.partitionBy(F.lit(1)))
-    return df.withColumn("_mean", mean).groupBy(*by).agg(*errors(F.col(actual), F.col(predicted), F.col("_mean")), F.count(F.lit(1)).alias("n"))
+    means = df.groupBy(*by).agg(F.avg(actual).alias("_mean"))
+    same = [df[c].eqNullSafe(means[c]) for c in by]
+    joined = df.join(means, same).select(df["*"], "_mean") if by else df.join(F.broadcast(means), F.lit(True))
+    return joined.groupBy(*by).agg(*errors(F.col(actual), F.col(predicted), F.col("_mean")), F.count(F.lit(1)).alias("n"))
 
 
 def leakage(df: DataFrame, columns: list[str], target: str, limit: float = 0.95) -> DataFrame:
@@ -63,7 +64,7 @@ def leakage(df: DataFrame, columns: list[str], target: str, limit: float = 0.95)
 
 def label_codes(df: DataFrame, c: str) -> DataFrame:
     """(value, code): codes from 0 in alphabetical order over all rows."""
-    return df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return ranked(df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct(), [F.col("value")], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
 def non_negative(c: Column, floor: float = 0.1) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fills each column with its median over the table; one pass finds all of them."""
@@ -56,7 +58,7 @@ def hierarchical(df: DataFrame, c: str, weight: str, levels: list[list[str]], le
         names.append(name)
         count = base.groupBy(*keys).agg(F.count("_v").alias("_n"), weighted_mean(F.col("_v"), F.col("_w")).alias(name))
         if median:
-            held = weighted_median(base, keys, "_v", "_w").withColumnRenamed("wmedian", name) if keys else weighted_median(base.withColumn("_all_rows", F.lit(1)), ["_all_rows"], "_v", "_w").select(F.col("wmedian").alias(name))
+            held = (weighted_median(base, keys, "_v", "_w") if keys else ranking.weighted_median(base, "_v", "_w")).withColumnRenamed("wmedian", name)
             count = count.drop(name).join(held, keys) if keys else count.drop(name).crossJoin(F.broadcast(held))
         count = count.where(F.col("_n") >= n).drop("_n")
         out = out.join(count, keys, "left") if keys else out.join(F.broadcast(count), F.lit(True), "left")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points that are folded at once.
+CHUNK = 256
+
+
 def with_burn(df: DataFrame, entity: str, order: str, flow: str, dt: str) -> DataFrame:
     """Adds burnt (kg): sum of the previous flow times the time to this point (left Riemann)."""
     w = Window.partitionBy(entity).orderBy(order)
@@ -21,20 +25,26 @@ def mass_recursion(df: DataFrame, entity: str, order: str, tow: str, flow_of_mas
     """Mass where the flow depends on it: m0 = tow, m[i+1] = max(m[i] - flow(m[i], point i) dt[i+1] / 3600, tow / 2).
 
     flow_of_mass(m, point) is a column expression in kg/h; a NULL flow leaves
-    the mass as it is.  One entity's points are folded in order, JVM-side; a
-    track's length bounds the array.  Returns entity, order, mass, flow."""
+    the mass as it is.  One entity's points are folded in order, JVM-side, in
+    chunks, so that no point copies all points before it; a track's length bounds
+    the array.  Returns entity, order, mass, flow."""
     points = df.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(dt), F.col(tow), *[F.col(c) for c in state]))).alias("_p"))
     first = F.try_element_at("_p", F.lit(1))[tow]
     empty = F.expr(f"cast(array() as array<struct<{order}:{dict(df.dtypes)[order]},mass:double,flow:double>>)")
-    start = F.struct(first.cast("double").alias("m"), F.lit(None).cast("double").alias("f"), empty.alias("out"))
+    fresh = lambda m, f, begun: F.struct(m.alias("m"), f.alias("f"), begun.alias("begun"), empty.alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         burn = F.coalesce(s["f"] * p[dt] / 3600, F.lit(0.0))
-        m = F.when(F.size(s["out"]) == 0, s["m"]).otherwise(F.greatest(s["m"] - burn, 0.5 * first))
+        m = F.when(s["begun"], F.greatest(s["m"] - burn, 0.5 * first)).otherwise(s["m"])
         f = flow_of_mass(m, p).cast("double")
-        return F.struct(m.alias("m"), f.alias("f"), F.concat(s["out"], F.array(F.struct(p[order].alias(order), m.alias("mass"), f.alias("flow")))).alias("out"))
+        return F.struct(m.alias("m"), f.alias("f"), F.lit(True).alias("begun"), F.concat(s["out"], F.array(F.struct(p[order].alias(order), m.alias("mass"), f.alias("flow")))).alias("out"))
+
+    def chunk(s: Column, at: Column) -> Column:
+        done = F.aggregate(F.slice("_p", at, F.lit(CHUNK)), fresh(s["m"], s["f"], at > 1), step)
+        return F.transform(F.array(done), lambda x: F.struct(x["m"].alias("m"), x["f"].alias("f"), F.concat(s["outs"], F.array(x["out"])).alias("outs")))[0]
 
-    folded = points.select(entity, F.aggregate("_p", start, step, lambda s: s["out"]).alias("_o"))
+    start = F.struct(first.cast("double").alias("m"), F.lit(None).cast("double").alias("f"), F.expr(f"cast(array() as array<array<struct<{order}:{dict(df.dtypes)[order]},mass:double,flow:double>>>)").alias("outs"))
+    folded = points.select(entity, F.flatten(F.aggregate(F.sequence(F.lit(1), F.size("_p"), F.lit(CHUNK)), start, chunk, lambda s: s["outs"])).alias("_o"))
     return folded.select(entity, F.explode("_o").alias("_r")).select(entity, f"_r.{order}", "_r.mass", "_r.flow")
 
 

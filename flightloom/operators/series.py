@@ -61,12 +61,14 @@ def interpolate(df: DataFrame, entity: str, order: str, columns: list[str], limi
     reading lies within `limit` rows on either side."""
     w = by(entity, order)
     df = df.withColumn("_i", F.row_number().over(w))
-    before, after = w.rowsBetween(FOREVER, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = w.rowsBetween(FOREVER, 0)
+    # from the end backwards: a frame that only grows is kept up row by row
+    after = Window.partitionBy(*([entity] if isinstance(entity, str) else entity)).orderBy(F.desc(order)).rowsBetween(FOREVER, 0)
     for c in columns:
         v, i = F.col(c), F.col("_i")
         at = F.when(v.isNotNull(), i)
         pv, pi = F.last(v, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(before)
-        nv, ni = F.first(v, ignorenulls=True).over(after), F.first(at, ignorenulls=True).over(after)
+        nv, ni = F.last(v, ignorenulls=True).over(after), F.last(at, ignorenulls=True).over(after)
         line = pv + (nv - pv) * (i - pi) / F.nullif((ni - pi).cast("double"), F.lit(0.0))
         filled = F.coalesce(v, line) if inside else F.coalesce(v, line, pv, nv)
         if limit is not None:
@@ -77,6 +79,15 @@ def interpolate(df: DataFrame, entity: str, order: str, columns: list[str], limi
     return df.select(*[F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns if c != "_i" and c not in [f"_{k}" for k in columns]])
 
 
+def fill_all(df: DataFrame, entity: str, order: str, columns: list[str]) -> DataFrame:
+    """Interpolated between readings, then the next reading, then the last one, then 0; inside each entity, so that none takes from another."""
+    out = interpolate(df, entity, order, columns, inside=True)
+    w = by(entity, order)
+    last = w.rowsBetween(FOREVER, 0)
+    ahead = Window.partitionBy(entity).orderBy(F.desc(order)).rowsBetween(FOREVER, 0)
+    return out.withColumns({c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(ahead), F.last(c, ignorenulls=True).over(last), F.lit(0.0)) for c in columns})
+
+
 def islands(df: DataFrame, entity: str, order: str, state: Column) -> DataFrame:
     """Adds island: the number of the run of equal states, from 0 (NULL is a state)."""
     w = by(entity, order)

@@ -80,9 +80,11 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
 
 
 def blend(c: Column, start: Column, end: Column, i: Column, n: Column, points: int = 5) -> Column:
-    """Runs a synthesised value over from its ends: linear over `points` rows each side, left alone in short holes (i from 1 to n)."""
-    head, tail = i / (points + 1), (n + 1 - i) / (points + 1)
-    return F.when(n < 2 * points, c).when(i <= points, start + (c - start) * head).when(i > n - points, end + (c - end) * tail).otherwise(c)
+    """Runs a synthesised value over from its ends: linear over `points` rows each side, left alone in short holes (i from 1 to n).
+
+    The first row is the value before the hole; the last one is a step short of the value after it."""
+    head, tail = (i - 1) / points, (i - 1 - (n - points)) / points
+    return F.when(n < 2 * points, c).when(i <= points, start * (1 - head) + c * head).when(i > n - points, c * (1 - tail) + end * tail).otherwise(c)
 
 
 def gaussian(df: DataFrame, entity: str, order: str, c: str, sigma: float, rows: int = 10, angle: bool = False) -> Column:

@@ -254,7 +254,7 @@ _IN = f"{INTERVALS}, p AS (SELECT i.idx, i.i_start, i.i_end, t.* FROM tracks t J
 
 
 def _inside(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.points_in_intervals(tracks(spark, sf_dir), intervals(spark, sf_dir), "flight_id", "t", "i_start", "i_end")
+    return joins.points_in_intervals(tracks(spark, sf_dir), intervals(spark, sf_dir), "flight_id", "t", "i_start", "i_end", bucket=86_400)
 
 
 def _summary_sql(c: str, name: str) -> str:
@@ -524,4 +524,4 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id", "8 hours")
 
 
-from . import feature_queries  # noqa: E402, F401  registers more queries
+from . import feature_queries, profile_queries  # noqa: E402, F401  register more queries
