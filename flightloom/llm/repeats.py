@@ -233,13 +233,15 @@ def repeated_spans(texts: DataFrame, spec: Windows, resolver: Callable[[Iterator
     """Spans (doc, rk, s, e) of symbols that repeated windows cover; spans of one text may overlap."""
     spark = texts.sparkSession
     units = staged(spark, _units(texts, spec).withColumn("loc", F.monotonically_increasing_id()))
+    # the aggregates are tables of their own, so that the joins to them are dealt anew where a key is hot
     anchors = units.groupBy("h").agg(F.min("uh").alias("lo"), F.max("uh").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    anchors = anchors.select("h", (F.col("lo") != F.col("hi")).alias("differ"))
+    anchors = staged(spark, anchors.select("h", (F.col("lo") != F.col("hi")).alias("differ")))
     again = staged(spark, units.join(anchors, "h"))
-    whole = again.groupBy("h", "uh").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("one"), F.min("doc").alias("least"))
-    placed = again.join(whole, ["h", "uh"])
-    settled = F.col("doc") > F.col("least") if spec.earlier else F.col("n") > 1
-    open_ = F.col("differ") & ((F.col("doc") == F.col("least")) if spec.earlier else (F.col("loc") == F.col("one")))
+    whole = again.groupBy("h", "uh").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("one"), F.min("doc").alias("least")).where("n > 1")
+    placed = again.join(staged(spark, whole), ["h", "uh"], "left")
+    alone = F.col("n").isNull()
+    settled = ~alone & ((F.col("doc") > F.col("least")) if spec.earlier else F.lit(True))
+    open_ = F.col("differ") & (alone | ((F.col("doc") == F.col("least")) if spec.earlier else (F.col("loc") == F.col("one"))))
     placed = staged(spark, placed.select("doc", "rk", "h", "first", "lead", "cnt", settled.alias("settled"), open_.alias("open")).where("settled or open"))
     asked = placed.where("open").select("doc", "rk", "h", "first", "lead", "cnt")
     hots = asked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
