@@ -22,8 +22,8 @@ from .shared import small_batches, table
 #: Bytes of a window, embedding size, filter widths, and filters of each width.
 LENGTH, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 
-#: The sample to train on: labelled documents of a language, windows of a document, and languages.
-DOCS_PER_LANG, WINDOWS_PER_DOC, MAX_LANGS = 1000, 3, 512
+#: The sample to train on: labelled documents of a language, and windows of a document.
+DOCS_PER_LANG, WINDOWS_PER_DOC = 1000, 3
 
 #: Rounds over the sample, and steps of 64 windows to make at least: small samples take more rounds.
 EPOCHS, LEAST_STEPS = 3, 600
@@ -140,12 +140,12 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, seed: int = 0) -> ByteCNN | None:
     """Fits on a sample of the labelled rows of `docs`; None where there are none.
 
-    The sample is bounded: about docs_per_lang documents of each of the MAX_LANGS
-    most frequent languages, chosen by a hash of the id, and WINDOWS_PER_DOC
+    The sample is bounded: about docs_per_lang documents of each
+    language that has a label, chosen by a hash of the id, and WINDOWS_PER_DOC
     windows of each, spread over the text; a third of the windows are shortened,
     as short texts are, and an eighth are in capitals."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
