@@ -132,9 +132,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[:n], have[width - size : width - size + n])
 
 
-#: Packed minimum: 34 bits of hash above 30 bits of position (1 GB of text a document).
-_POS_BITS = _U(30)
-_POS_MASK = _U((1 << 30) - 1)
+#: Packed minimum: 33 bits of hash above 31 bits of position (a text in Spark is shorter than 2 GB).
+_POS_BITS = _U(31)
+_POS_MASK = _U((1 << 31) - 1)
 
 
 def anchored_windows(roll: RollingHash, n: int, doc_start: np.ndarray, doc_end: np.ndarray, window: int, gram: int):

@@ -34,6 +34,9 @@ SPACE = "▁"
 #: Cuts whose encodings a Python worker keeps, and the longest cut that is kept.
 KEPT_CUTS, KEPT_CHARS = 400_000, 48
 
+#: Pairs whose compatibility is kept, about 200 MB; beyond that the table starts anew.
+KEPT_PAIRS = 1_500_000
+
 
 class PieceModel:
     """A merge-type model: vocabulary, prefix table, decoder.
@@ -139,6 +142,8 @@ class PieceModel:
         """The last piece of each prefix of a text of known characters (entry 0: -1)."""
         last = [-1] * (len(text) + 1)
         pairs = self._pairs
+        if len(pairs) >= KEPT_PAIRS:
+            pairs.clear()
         for end, (token, size) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
