@@ -10,9 +10,9 @@ matches, and enough matches that agree on one rotation, scale and shift link two
 images.
 
 Equal images become one class first.  A table streams its keys' features in
-order: the first `window` features are all compared with each other, later ones
-with the key's first one, so that groups up to the window are compared in full
-and larger ones in linear time.  Keys larger than that are compared once more,
+order: up to `window` features are all compared with each other, those of a
+larger key only with its first one, so that small groups are compared in full
+and large ones in linear time.  Keys larger than that are compared once more,
 but only features of images that are not yet connected with the first one's, in
 blocks against blocks (all such features meet, none is left out; the cost grows
 with the square of what is still apart under one key).  Keys that hold more than a share of all
@@ -215,47 +215,54 @@ def _matched(v: np.ndarray, f: np.ndarray, w: np.ndarray, g: np.ndarray) -> pa.R
 
 
 def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
-    """Matches among each key's first `window` features, and of later ones with its first; keys larger than that as rows with af = -1, a the key, b the first image."""
+    """Matches among the features of keys up to `window`, and of larger keys with their first; these as rows with af = -1, a the key, b the first image."""
+
+    def matched(v: np.ndarray, f: np.ndarray, d: np.ndarray, start: np.ndarray, small: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of whole runs that are `small` with all before them, other rows with their run's first one (at `start`)."""
+        place = np.arange(len(v)) - start
+        near = np.flatnonzero(small)
+        for lag in range(1, window):
+            near = near[place[near] >= lag]
+            if not len(near):
+                break
+            i = near[v[near] != v[near - lag]]
+            i = i[_apart(d[i], d[i - lag]) <= hamming]
+            if len(i):
+                yield _matched(v[i], f[i], v[i - lag], f[i - lag])
+        far = np.flatnonzero(~small & (v != v[start]))
+        far = far[_apart(d[far], d[start[far]]) <= hamming]
+        if len(far):
+            yield _matched(v[far], f[far], v[start[far]], f[start[far]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first rows of the run that is open, and how many rows it has
+        held = None  # rows of the run that is open: all while it is small, then the first one
+        large = False  # whether the open run has more rows than the window
         for batch in batches:
             if not batch.num_rows:
                 continue
             v, f, d = _arrays(batch)
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            run_of = np.stack([key, batch.column("salt").to_numpy(zero_copy_only=False)], axis=1)
-            old = 0
+            run_of = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt")], axis=1)
             if held is not None:
-                old = len(held["v"])
-                v, f, d, run_of = (np.concatenate([held[k], x]) for k, x in (("v", v), ("f", f), ("d", d), ("run", run_of)))
-            new_run = np.append(True, (run_of[1:] != run_of[:-1]).any(axis=1))
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(v)), 0))
-            place = np.arange(len(v)) - start
-            first = [v[start], f[start], d[start]]
-            if held is not None:
-                place[old:][start[old:] == 0] += held["seen"] - old
-            own = np.arange(old, len(v))
-            near = own[place[own] < window]
-            for lag in range(1, window):
-                near = near[place[near] >= lag]
-                if not len(near):
-                    break
-                i = near
-                i = i[v[i] != v[i - lag]]
-                i = i[_apart(d[i], d[i - lag]) <= hamming]
-                if len(i):
-                    yield _matched(v[i], f[i], v[i - lag], f[i - lag])
-            far = own[(place[own] >= window)]
-            far = far[v[far] != first[0][far]]
-            far = far[_apart(d[far], first[2][far]) <= hamming]
-            if len(far):
-                yield _matched(v[far], f[far], first[0][far], first[1][far])
-            large = own[place[own] == window]
-            if len(large):
-                yield pa.RecordBatch.from_arrays([pa.array(run_of[large, 0]), pa.array(np.full(len(large), -1, dtype=np.int32)), pa.array(first[0][large]), pa.array(np.full(len(large), -1, dtype=np.int32))], names=["a", "af", "b", "bf"])
-            lead = slice(start[-1], start[-1] + window)
-            held = {"v": v[lead], "f": f[lead], "d": d[lead], "run": run_of[lead], "seen": int(place[-1]) + 1}
+                v, f, d, run_of = (np.concatenate(x) for x in zip(held, (v, f, d, run_of), strict=True))
+            start = np.flatnonzero(np.append(True, (run_of[1:] != run_of[:-1]).any(axis=1)))
+            size = np.diff(np.append(start, len(v)))
+            over = size > window
+            over[0] |= large
+            told = large
+            # the last run stays open, but for rows of a large one
+            open_ = start[-1]
+            done = len(v) if over[-1] else open_
+            if done:
+                whole = np.repeat(start, size)[:done]
+                yield from matched(v[:done], f[:done], d[:done], whole, ~np.repeat(over, size)[:done])
+            at = start[over][1:] if told else start[over]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(run_of[at, 0]), pa.array(np.full(len(at), -1, dtype=np.int32)), pa.array(v[at]), pa.array(np.full(len(at), -1, dtype=np.int32))], names=["a", "af", "b", "bf"])
+            large = bool(over[-1])
+            keep = slice(open_, open_ + 1 if large else None)
+            held = (v[keep], f[keep], d[keep], run_of[keep])
+        if held is not None and not large:
+            yield from matched(*held[:3], np.zeros(len(held[0]), dtype=np.int64), np.ones(len(held[0]), dtype=bool))
 
     # every feature of a key and salt in one task, the key's first feature first
     return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "follows", "v", "f").mapInArrow(run, MATCHES)
