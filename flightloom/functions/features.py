@@ -66,6 +66,43 @@ def physics_interactions(mtow: Column, oew: Column, distance: Column, seconds: C
     return {"mass_above_oew": mass, "distance_per_mass": distance / mass, "time_per_mass": seconds / mass, "error_mass_per_distance": error * mass / (distance + 1e-6)}
 
 
+def recomputed(pairs: dict[str, tuple[str, str]], squares: list[str]) -> dict[str, Column]:
+    """What follows from filled columns, anew: pairs {name: (a, b)} give difference and ratio, squares their square."""
+    out = {f"{n}_{k}": v for n, (a, b) in pairs.items() for k, v in (("diff", F.col(a) - F.col(b)), ("ratio", ratio(F.col(a), F.col(b))))}
+    return out | {f"{c}_sq": F.col(c) * F.col(c) for c in squares}
+
+
+def mode_of(shares: dict[str, Column], old: Column) -> Column:
+    """The phase with the largest share where `old` is missing (the first of equals, `unknown` if none has any)."""
+    zero = {k: F.coalesce(c, F.lit(0.0)) for k, c in shares.items()}
+    top = F.greatest(*zero.values())
+    return F.coalesce(old, F.when(top > 0, F.coalesce(*[F.when(c == top, F.lit(k)) for k, c in zero.items()])).otherwise(F.lit("unknown")))
+
+
+def flag(c: Column) -> Column:
+    """A flag that is not known is false."""
+    return F.coalesce(c, F.lit(False))
+
+
+def pruned(dtypes: list[tuple[str, str]], prefixes: tuple[str, ...] = ("name_",), suffixes: tuple[str, ...] = ("_ts",), parts: tuple[str, ...] = ("mass_change", "has_data"), kinds: tuple[str, ...] = ("string",), keep: tuple[str, ...] = ()) -> list[str]:
+    """Columns that neither name nor type exclude."""
+    return [c for c, t in dtypes if c in keep or not (c.startswith(prefixes) or c.endswith(suffixes) or any(p in c for p in parts) or t in kinds)]
+
+
+def routed(shares: dict[str, float], weighted: tuple[str, ...] = ("mean", "std", "frac"), most: float = 0.5, kept: tuple[str, ...] = ()) -> dict[str, list[str]]:
+    """How to fill which column, by name and share of missing values: weighted by duration, plain, or coarse (`most` or more missing)."""
+    out: dict[str, list[str]] = {"weighted": [], "plain": [], "coarse": []}
+    for c, share in shares.items():
+        if c not in kept and share > 0:
+            out["coarse" if share >= most else "weighted" if any(k in c for k in weighted) else "plain"].append(c)
+    return out
+
+
+def missing_order(shares: dict[str, float], first: tuple[str, ...] = ("fuel", "mass")) -> list[str]:
+    """Columns with missing values, those named as `first` before others, then fewest missing first."""
+    return sorted((c for c, s in shares.items() if s > 0), key=lambda c: (not any(k in c for k in first), shares[c], c))
+
+
 def pounds(c: Column) -> Column:
     return c / 2.2046226218
 

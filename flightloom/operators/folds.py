@@ -55,6 +55,20 @@ def error_table(df: DataFrame, actual: str, predicted: str, by: list[str]) -> Da
     return joined.groupBy(*by).agg(*errors(F.col(actual), F.col(predicted), F.col("_mean")), F.count(F.lit(1)).alias("n"))
 
 
+def error_statistics(df: DataFrame, actual: str, predicted: str, by: list[str]) -> DataFrame:
+    """Mean, median, std and mean absolute error, shares over and under, and errors beyond a fifth of the actual value, by group."""
+    e, a = F.col(predicted) - F.col(actual), F.col(actual)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    large = F.abs(e / F.nullif(a, F.lit(0.0))) > 0.2
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_error"), F.median(e).alias("median_error"), F.stddev_samp(e).alias("std_error"), F.avg(F.abs(e)).alias("mae"), share(e > 0).alias("over"), share(e < 0).alias("under"), share(large).alias("large"), F.avg(a).alias("mean_actual"), F.min(a).alias("min_actual"), F.max(a).alias("max_actual"))
+
+
+def quantile_bin(df: DataFrame, c: str, name: str, q: int = 5) -> DataFrame:
+    """Adds the number (from 0) of the quantile of c over the table, closed on the right; edges that coincide are one."""
+    edges = df.agg(F.array_distinct(F.percentile(c, F.array(*[F.lit(i / q) for i in range(1, q)]))).alias("_edges"))
+    return df.join(F.broadcast(edges), F.lit(True)).withColumn(name, F.size(F.filter("_edges", lambda x: F.col(c) > x))).drop("_edges")
+
+
 def leakage(df: DataFrame, columns: list[str], target: str, limit: float = 0.95) -> DataFrame:
     """(column, corr, covar, same, flagged) of each numeric column with the target."""
     one = df.agg(*[F.struct(F.corr(c, target).alias("corr"), F.covar_samp(c, target).alias("covar"), F.coalesce(F.max(F.abs(F.col(c) - F.col(target))) <= 1e-8, F.lit(False)).alias("same")).alias(c) for c in columns])
@@ -67,5 +81,10 @@ def label_codes(df: DataFrame, c: str) -> DataFrame:
     return ranked(df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct(), [F.col("value")], "code").select("value", F.col("code").cast("int").alias("code"))
 
 
+def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows that a hash of their key chooses, the same ones in every run and engine."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), key).limit(n)
+
+
 def non_negative(c: Column, floor: float = 0.1) -> Column:
     return F.greatest(c, F.lit(floor))

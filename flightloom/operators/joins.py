@@ -62,11 +62,30 @@ def two_ended(facts: DataFrame, places: DataFrame, key: str, ends: dict[str, str
     return facts
 
 
-def submission(template: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
+def with_fallback(left: DataFrame, right: DataFrame, on: list[str], fallback: list[str], value: str) -> DataFrame:
+    """Left rows with the right side's value by the first keys, or, where these find none, by the second ones (its first row there)."""
+    first = right.groupBy(*on).agg(F.min(value).alias("_first"))
+    second = right.groupBy(*fallback).agg(F.min(value).alias("_second"))
+    out = left.join(first, on, "left").join(second, fallback, "left")
+    return out.withColumn(value, F.coalesce("_first", "_second")).drop("_first", "_second")
+
+
+def only_new(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join that adds the columns that left does not have; none is renamed."""
+    have = {c.lower() for c in left.columns}
+    return left.join(right.select(*on, *[c for c in right.columns if c.lower() not in have]), on, "left")
+
+
+def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
+    """Columns of both, in the order of the first."""
+    return [c for c in a.columns if c in b.columns]
+
+
+def submission(template: DataFrame, predictions: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
     """Template rows with their prediction; missing ones take the median, none is below 0."""
     got = template.drop(value).join(predictions.select(key, value), key, "left")
     median = predictions.agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return got.crossJoin(F.broadcast(median)).withColumn(value, F.greatest(F.coalesce(value, "_m"), F.lit(0.0))).drop("_m")
+    return got.crossJoin(F.broadcast(median)).withColumn(value, F.greatest(F.coalesce(value, "_m"), F.lit(0.0))).drop("_m").withColumnRenamed(value, name or value)
 
 
 def k_nearest_mean(missing: DataFrame, known: DataFrame, key: str, features: list[str], value: str, k: int = 5) -> DataFrame:

@@ -44,6 +44,24 @@ def multipliers(df: DataFrame, kind: str, actual: str, physics: str, least: int
     return both.groupBy(kind).agg(ratio(F.sum(actual), F.sum(physics)).alias("multiplier"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).drop("_n")
 
 
+def type_models(df: DataFrame, kind: str, actual: str, physics: str, least: int = 3) -> DataFrame:
+    """(kind, slope, intercept, n): a model of each type, actual on physics by least squares, in one aggregation; types with too few rows have none."""
+    both = df.where(F.col(actual).isNotNull() & F.col(physics).isNotNull())
+    out = both.groupBy(kind).agg(F.regr_slope(actual, physics).alias("slope"), F.regr_intercept(actual, physics).alias("intercept"), F.count(F.lit(1)).alias("n"))
+    return out.where((F.col("n") >= least) & F.col("slope").isNotNull())
+
+
+def by_type_model(df: DataFrame, models: DataFrame, kind: str, physics: str) -> DataFrame:
+    """Adds predicted: the type's model, or the physics where it has none."""
+    joined = df.join(models.select(kind, "slope", "intercept"), kind, "left")
+    return joined.withColumn("predicted", F.coalesce(F.col("slope") * F.col(physics) + F.col("intercept"), F.col(physics))).drop("slope", "intercept")
+
+
+def floored(value: Column, least: float = 1.0) -> tuple[Column, Column]:
+    """Negative predictions raised to `least`, and whether a row was."""
+    return F.when(value < 0, F.greatest(value, F.lit(least))).otherwise(value), F.coalesce(value < 0, F.lit(False))
+
+
 def targets(fuel: Column, mass: Column, base: Column) -> dict[str, Column]:
     """Scaled, residual and specific targets; `restore` undoes them."""
     return {"scaled": ratio(fuel, mass) * 10000, "residual": fuel - base, "specific": ratio(fuel, base)}

@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.atmosphere import FOOT, KNOT, isa_pressure, isa_temperature, mach_to_tas
+from ..functions.atmosphere import FOOT, KNOT, clamp, isa_pressure, isa_temperature, mach_to_tas
 from ..functions.geo import haversine, interpolate_angle, interpolate_position, signed_turn
 from ..functions.phases import gap_phase
 from .series import by
 
 
+# Slowest and fastest climb of a synthesised stretch, 2 and 12 m/s in ft/min.
+RATES = (393.7, 2362.2)
+
+
 def derivative_filter(c: Column, t: Column, w: Window, first: float, second: float) -> Column:
     """NULL where the rate of change, or its change, from the reading before is beyond the limits (public libraries differ in detail)."""
     rate = F.abs((c - F.lag(c).over(w)) / F.nullif((t - F.lag(t).over(w)).cast("double"), F.lit(0.0)))
@@ -57,13 +61,16 @@ def ends_of_gaps(df: DataFrame, entity: str, t_s: str, columns: list[str], least
 def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
     """A row for each second inside a hole: position on the great circle, linear altitude, turned track, and speeds by phase.
 
-    Cruise holds the mean Mach number of the ends and no vertical rate; climb and
-    descent hold the mean calibrated speed and a steady rate. Needs latitude,
-    longitude, altitude, track, mach, CAS, groundspeed at both ends."""
+    Cruise holds the mean Mach number of the ends and no vertical rate, its rows
+    lie between the ends; climb and descent hold the mean calibrated speed and a
+    steady rate of 2 to 12 m/s, their rows begin and end at the ends.  Air speed
+    runs over from and to the readings at the ends. Needs latitude, longitude,
+    altitude, track, mach, CAS, TAS, groundspeed at both ends."""
     ends = [F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")]
     known = gaps.withColumns({"phase": gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place")), "_d": haversine(*ends, 1.0)})
     rows = known.withColumn(t_s, F.explode(F.sequence(F.col("t0") + 1, F.col("t1") - 1)))
-    f = (F.col(t_s) - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    level, i, n = F.col("phase") == "cruise", F.col(t_s) - F.col("t0"), F.col("t1") - F.col("t0") - 1
+    f = F.when(level, i / (n + 1)).otherwise((i - 1) / F.greatest(n - 1, F.lit(1)))
     lat, lon = interpolate_position(*ends, f, F.col("_d"))
     altitude = F.col("a_altitude") + (F.col("b_altitude") - F.col("a_altitude")) * f
     h = altitude * FOOT
@@ -71,11 +78,13 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
     cruise = mach_to_tas(mean("mach"), isa_temperature(h)) / KNOT
     other = mean("CAS") / F.sqrt(F.greatest(isa_pressure(h) / 101325.0, F.lit(0.1)))
     steady = (F.col("b_altitude") - F.col("a_altitude")) / (F.col("t1") - F.col("t0")) * 60
-    level = F.col("phase") == "cruise"
+    climbing = F.col("phase") == "climb"
+    steady = F.when(climbing, clamp(steady, *RATES)).otherwise(clamp(steady, -RATES[1], -RATES[0]))
+    speed = F.when(level, cruise).otherwise(other)
     return rows.select(
         entity, t_s, "phase", lat.alias("latitude"), lon.alias("longitude"), altitude.alias("altitude"),
         interpolate_angle(F.col("a_track"), F.col("b_track"), f).alias("track"), F.when(level, 0.0).otherwise(steady).alias("vertical_rate"),
-        F.when(level, cruise).otherwise(other).alias("TAS"), (F.col("a_groundspeed") + (F.col("b_groundspeed") - F.col("a_groundspeed")) * f).alias("groundspeed"), F.lit(True).alias("is_reconstructed"),
+        F.coalesce(blend(speed, F.col("a_TAS"), F.col("b_TAS"), i, n), speed).alias("TAS"), (F.col("a_groundspeed") + (F.col("b_groundspeed") - F.col("a_groundspeed")) * f).alias("groundspeed"), F.lit(True).alias("is_reconstructed"),
     )
 
 

@@ -411,11 +411,23 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.resample(tracks(spark, sf_dir), "flight_id", "t", ["altitude"], step=3600, limit=12).select("flight_id", "t", r("altitude"))
 
 
-@query()
+_HOLES = f"""{TRACKS}, w AS (SELECT flight_id, lag(t) OVER o AS t0, t AS t1, min(t) OVER f AS fs, max(t) OVER f AS fe, {", ".join(f"lag({c}) OVER o AS a_{c}, {c} AS b_{c}" for c in ("latitude", "longitude", "altitude", "track", "mach", "CAS", "TAS", "groundspeed"))} FROM tracks WINDOW o AS (PARTITION BY flight_id ORDER BY t), f AS (PARTITION BY flight_id)),
+    g AS (SELECT *, (t0 - fs) / nullif((fe - fs)::DOUBLE, 0) AS place, b_altitude - a_altitude AS dh, t1 - t0 - 1 AS n FROM w WHERE t1 - t0 > 30 AND t1 - t0 <= 3600),
+    k AS (SELECT *, CASE WHEN (a_altitude + b_altitude) / 2 >= 26000 AND abs(dh) < 1000 OR abs(dh) = 300 THEN 'cruise' WHEN dh < -300 THEN 'descent' WHEN dh > 300 THEN 'climb' WHEN place < 0.3 THEN 'climb' WHEN place > 0.7 THEN 'descent' ELSE 'cruise' END AS phase,
+        2 * asin(sqrt(least(1.0, pow(sin((radians(b_latitude) - radians(a_latitude)) / 2), 2) + cos(radians(a_latitude)) * cos(radians(b_latitude)) * pow(sin(radians(b_longitude - a_longitude) / 2), 2)))) AS dd FROM g),
+    e AS (SELECT *, unnest(range(t0 + 1, t1)) AS t FROM k), fr AS (SELECT *, t - t0 AS i, CASE WHEN phase = 'cruise' THEN (t - t0) / (n + 1)::DOUBLE ELSE (t - t0 - 1) / greatest(n - 1, 1)::DOUBLE END AS f FROM e),
+    q AS (SELECT *, a_altitude + dh * f AS alt, (a_altitude + dh * f) * 0.3048::DOUBLE AS h, sin((1 - f) * dd) AS wa, sin(f * dd) AS wb, radians(a_latitude) AS p1, radians(b_latitude) AS p2, radians(a_longitude) AS l1, radians(b_longitude) AS l2, dh / (t1 - t0) * 60.0 AS rate FROM fr),
+    xyz AS (SELECT *, wa * cos(p1) * cos(l1) + wb * cos(p2) * cos(l2) AS x, wa * cos(p1) * sin(l1) + wb * cos(p2) * sin(l2) AS y, wa * sin(p1) + wb * sin(p2) AS z, abs(a_latitude - b_latitude) < 1e-4 AND abs(a_longitude - b_longitude) < 1e-4 AS near,
+        CASE WHEN phase = 'cruise' THEN (coalesce(a_mach, b_mach) + coalesce(b_mach, a_mach)) / 2 * sqrt(1.4::DOUBLE * 287.05::DOUBLE * ({_ISA_T})) / 0.514444::DOUBLE ELSE (coalesce(a_CAS, b_CAS) + coalesce(b_CAS, a_CAS)) / 2 / sqrt(greatest(({_ISA_P}) / 101325.0, 0.1)) END AS speed FROM q)"""
+
+
+@query(f"""WITH {_HOLES} SELECT flight_id, t, phase, {d("CASE WHEN near THEN a_latitude ELSE degrees(atan2(z, sqrt(x * x + y * y))) END", "latitude")}, {d("CASE WHEN near THEN a_longitude ELSE degrees(atan2(y, x)) END", "longitude")}, {d("alt", "altitude")},
+    {d("((a_track + (((b_track - a_track + 180) % 360 + 360) % 360 - 180) * f) % 360 + 360) % 360", "track")}, {d("CASE WHEN phase = 'cruise' THEN 0 WHEN rate IS NULL THEN NULL WHEN phase = 'climb' THEN greatest(393.7, least(2362.2, rate)) ELSE greatest(-2362.2, least(-393.7, rate)) END", "vertical_rate")},
+    {d("coalesce(CASE WHEN n < 10 THEN speed WHEN i <= 5 THEN a_TAS * (1 - (i - 1) / 5.0::DOUBLE) + speed * ((i - 1) / 5.0::DOUBLE) WHEN i > n - 5 THEN speed * (1 - (i - 1 - (n - 5)) / 5.0::DOUBLE) + b_TAS * ((i - 1 - (n - 5)) / 5.0::DOUBLE) ELSE speed END, speed)", "TAS")}, {d("a_groundspeed + (b_groundspeed - a_groundspeed) * f", "groundspeed")}, true AS is_reconstructed FROM xyz""")
 def synthesized_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holes of up to an hour filled second by second."""
-    holes = trajectory.ends_of_gaps(tracks(spark, sf_dir), "flight_id", "t", ["latitude", "longitude", "altitude", "track", "mach", "CAS", "groundspeed"], 30, 3600)
-    return trajectory.synthesize(holes, "flight_id", "t")
+    holes = trajectory.ends_of_gaps(tracks(spark, sf_dir), "flight_id", "t", ["latitude", "longitude", "altitude", "track", "mach", "CAS", "TAS", "groundspeed"], 30, 3600)
+    return _rounded(trajectory.synthesize(holes, "flight_id", "t"), ["flight_id", "t", "phase", "is_reconstructed"])
 
 
 @query()
@@ -524,4 +536,4 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id", "8 hours")
 
 
-from . import feature_queries, profile_queries  # noqa: E402, F401  register more queries
+from . import feature_queries, profile_queries, stage_queries  # noqa: E402, F401  register more queries

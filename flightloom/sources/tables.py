@@ -65,6 +65,37 @@ def not_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def values_of(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The distinct values of one column; only that column is read."""
+    return spark.read.parquet(path).select(column).distinct()
+
+
+def continued(spark: SparkSession, todo: DataFrame, keys: list[str], path: str, work, batches: int) -> DataFrame:
+    """work(part) for the rows of `todo` that `path` does not have yet, batch by batch, each written when it is done; a broken run goes on where it ended.
+
+    Parquet files appear only when a batch has been committed, so there are no half-written ones to recover from."""
+    for k in range(batches):
+        part = todo.where(F.pmod(F.xxhash64(*keys), F.lit(batches)) == k)
+        try:
+            part = not_done(part, spark.read.parquet(path), keys)
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        write(work(part), path, mode="append")
+    return spark.read.parquet(path)
+
+
+def readable(spark: SparkSession, path: str, again) -> DataFrame:
+    """The table at `path`; one that cannot be read is computed by again() and written anew."""
+    try:
+        df = spark.read.parquet(path)
+        df.limit(1).collect()
+    except Exception:  # noqa: BLE001
+        write(again(), path, mode="overwrite")
+        df = spark.read.parquet(path)
+    return df
+
+
 def merge_days(parts: DataFrame, flight: str = "flight_id", t: str = "timestamp", order: str = "date") -> DataFrame:
     """Day parts of flights to whole flights: of equal times the earlier part's row stays, for every flight."""
     return dedupe_first(parts, [flight, t], order)
