@@ -16,15 +16,20 @@ from flightloom.llm.shared import shared_folder, staged
 #: Documents are rejected whose language is `und` or less likely than this.
 LEAST_SCORE = 0.35
 
-#: Key of the pseudonyms; a real run passes a secret.
-KEY = "key of the example pipeline"
+#: Key of the pseudonyms where the session's setting pii.KEY_SETTING names none; a real run sets a secret.
+EXAMPLE_KEY = "key of the example pipeline"
 
 #: Targets of the mix are (documents of the source) ** POWER.
 POWER = 0.7
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is clear. Rows pass as they are; `lang` stays the table's."""
+    """Keeps documents whose language is clear. Rows pass as they are; `lang` stays the table's.
+
+    Null and empty texts, and texts without a letter, go; rows with a null id or
+    repeated rows are each judged by their text; texts of any length are read
+    whole.  Without any labelled row all documents with a letter stay.  An empty
+    table gives an empty one; other columns pass, whatever their names."""
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -36,7 +41,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of texts with a similarity of 0.8 or more over five-word shingles.
 
-    Rows with a null id stay; of rows with the same id one stays."""
+    Rows with a null id stay; of rows with the same id one stays.  Null and empty
+    texts are no copies of each other and stay.  An empty table gives an empty
+    one; other columns pass, whatever their names."""
     found = minhash.near_duplicates(docs).where("id is not null").groupBy(F.col("id").alias("doc_id")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     special = staged(spark, found.where("not kept or n > 1"))
     few = minhash.few(special)
@@ -48,8 +55,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, KEY)
+    """Replaces personal data in the texts; n_chars follows the new text.
+
+    All rows stay, those with null ids and repeated ones too; a null text stays
+    null, an empty one empty, a text of any length is read whole.  An empty table
+    gives an empty one; other columns pass, whatever their names."""
+    out = pii.pseudonymise(docs, spark.conf.get(pii.KEY_SETTING, EXAMPLE_KEY))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -58,7 +69,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every source is within one block of its target share among the sources that
     have not ended, so small sources end early and large ones go on alone; none
-    of their documents is left out."""
+    of their documents is left out.  Null sources count as one source; rows with
+    a null id, or with the same one, stand together at the place of their first
+    one.  An empty table gives an empty one; other columns pass."""
     mixed = mixing.mix(docs.select("doc_id", "source"), mixing.natural_weights(docs, power=POWER), rest_power=POWER)
     placed = mixed.groupBy("doc_id").agg(F.min("position").alias("_at"))
     joined = docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"]))
@@ -66,7 +79,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the texts with an end id, and a check that they decode to the text: doc_id, source, n_tokens, ids, round_trip."""
+    """Ids of the texts with an end id, and a check that they decode to the text: doc_id, source, n_tokens, ids, round_trip.
+
+    One row for each row, null ids and repeated rows too; a null or empty text has
+    the end id only; texts of any length are encoded whole.  An empty table gives
+    an empty one; other columns are left out."""
     import public_tokenizers
 
     coded = sentencepiece_bpe.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source", "text"])
