@@ -32,10 +32,10 @@ from .shared import small_batches, table
 SPACE = "▁"
 
 #: Cuts whose encodings a Python worker keeps, and the longest cut that is kept.
-KEPT_CUTS, KEPT_CHARS = 400_000, 48
+KEPT_CUTS, KEPT_CHARS = 100_000, 48
 
-#: Pairs whose compatibility is kept, about 200 MB; beyond that the table starts anew.
-KEPT_PAIRS = 1_500_000
+#: Pairs whose compatibility is kept, about 60 MB; beyond that the table starts anew.
+KEPT_PAIRS = 500_000
 
 
 class PieceModel:
