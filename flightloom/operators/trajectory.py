@@ -63,9 +63,9 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
 
     Cruise holds the mean Mach number of the ends and no vertical rate, its rows
     lie between the ends; climb and descent hold the mean calibrated speed and a
-    steady rate of 2 to 12 m/s, their rows begin and end at the ends.  Air speed
-    runs over from and to the readings at the ends. Needs latitude, longitude,
-    altitude, track, mach, CAS, TAS, groundspeed at both ends."""
+    steady rate of 2 to 12 m/s, their rows begin and end at the ends. Needs
+    latitude, longitude, altitude, track, mach, CAS, groundspeed at both ends;
+    where there is TAS, too, the air speed runs over from and to it."""
     ends = [F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")]
     known = gaps.withColumns({"phase": gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place")), "_d": haversine(*ends, 1.0)})
     rows = known.withColumn(t_s, F.explode(F.sequence(F.col("t0") + 1, F.col("t1") - 1)))
@@ -81,10 +81,11 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
     climbing = F.col("phase") == "climb"
     steady = F.when(climbing, clamp(steady, *RATES)).otherwise(clamp(steady, -RATES[1], -RATES[0]))
     speed = F.when(level, cruise).otherwise(other)
+    tas = F.coalesce(blend(speed, F.col("a_TAS"), F.col("b_TAS"), i, n), speed) if "a_TAS" in gaps.columns else speed
     return rows.select(
         entity, t_s, "phase", lat.alias("latitude"), lon.alias("longitude"), altitude.alias("altitude"),
         interpolate_angle(F.col("a_track"), F.col("b_track"), f).alias("track"), F.when(level, 0.0).otherwise(steady).alias("vertical_rate"),
-        F.coalesce(blend(speed, F.col("a_TAS"), F.col("b_TAS"), i, n), speed).alias("TAS"), (F.col("a_groundspeed") + (F.col("b_groundspeed") - F.col("a_groundspeed")) * f).alias("groundspeed"), F.lit(True).alias("is_reconstructed"),
+        tas.alias("TAS"), (F.col("a_groundspeed") + (F.col("b_groundspeed") - F.col("a_groundspeed")) * f).alias("groundspeed"), F.lit(True).alias("is_reconstructed"),
     )
 
 

@@ -11,7 +11,7 @@ from flightloom.functions import atmosphere as A
 from flightloom.functions import features as X
 from flightloom.functions import geo as G
 from flightloom.functions import phases as P
-from flightloom.operators import folds, imputation, joins, physics, series, trajectory
+from flightloom.operators import folds, imputation, joins, physics, ranking, series, trajectory
 from flightloom.sources import tables as T
 from flightloom.streaming import events as stream
 
@@ -140,6 +140,52 @@ def test_last_fold_takes_the_remainder(spark):
     assert sorted(r.fold for r in folds.time_folds(df, "f", "t", 3).collect()) == [0] * 3 + [1] * 3 + [2] * 5
 
 
+def test_synthesised_speed_runs_over_from_the_ends(spark):
+    """Five rows each side: the first is the reading before the hole, the last a step short of the one after it."""
+    rows = [(1, t, 50.0 + t / 1000, 5.0, 30_000.0, 90.0, 0.78, 280.0, tas, 450.0) for t, tas in ((0, 100.0), (41, 300.0))]
+    df = spark.createDataFrame(rows, "flight_id int, t long, latitude double, longitude double, altitude double, track double, mach double, CAS double, TAS double, groundspeed double")
+    holes = trajectory.ends_of_gaps(df, "flight_id", "t", ["latitude", "longitude", "altitude", "track", "mach", "CAS", "TAS", "groundspeed"])
+    got = [r.TAS for r in trajectory.synthesize(holes, "flight_id", "t").orderBy("t").collect()]
+    middle = got[20]
+    assert len(got) == 40 and got[0] == pytest.approx(100.0) and got[1] == pytest.approx(80 + middle / 5) and got[34] == pytest.approx(middle) and got[39] == pytest.approx(middle / 5 + 240)
+
+
+def test_ranks_and_weighted_median_by_parts(spark):
+    rows = [(i, (i * 7919) % 1000 / 10, float(1 + i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v double, w double")
+    got = ranking.ranked(df, [F.col("v"), F.col("id")], "place", part_rows=200).orderBy("place").collect()
+    want = sorted(rows, key=lambda r: (r[1], r[0]))
+    assert [(r.place, r.id) for r in got] == [(n, r[0]) for n, r in enumerate(want)]
+    total, upto = sum(r[2] for r in rows), 0.0
+    for _, v, w in sorted(rows, key=lambda r: r[1]):
+        upto += w
+        if upto >= total / 2:
+            break
+    assert ranking.weighted_median(df, "v", "w", parts=50).first()["wmedian"] == v
+    assert ranking.ranked(df.limit(0), [F.col("v")], "place").count() == 0
+
+
+def test_continued_run_and_unreadable_table(spark, tmp_path):
+    todo, path = spark.range(100), str(tmp_path / "done")
+    seen = []
+
+    def work(part):
+        seen.append(part.count())
+        if len(seen) == 3:
+            raise RuntimeError("stopped")
+        return part
+
+    with pytest.raises(RuntimeError):
+        T.continued(spark, todo, ["id"], path, work, 4)
+    first = sum(seen[:2])
+    out = T.continued(spark, todo, ["id"], path, work, 4)
+    assert out.count() == out.distinct().count() == 100 and sum(seen[3:]) == 100 - first
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    assert T.readable(spark, str(broken), lambda: spark.range(3)).count() == 3
+
+
 def test_gap_synthesis_and_smoothing(spark):
     rows = [(1, t, 50.0 + t / 1000, 5.0, 30_000.0, 90.0, 0.78, 280.0, 450.0) for t in (0, 10, 60, 70)]
     df = spark.createDataFrame(rows, "flight_id int, t long, latitude double, longitude double, altitude double, track double, mach double, CAS double, groundspeed double")
