@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 from itertools import islice
 
@@ -189,21 +190,66 @@ def test_op4_random_texts_and_ids():
         assert model.decode(ids) == sp.decode(ids)
 
 
+def _licence_blocks(lines):
+    """Runs of lines of template bigrams and their paragraphs, by loops over lines."""
+    known = {g for _, t in licences.TEMPLATES for g in licences._bigrams_of(t)}
+    runs = [[]]
+    for line in lines:
+        words = re.sub("[^a-z0-9]+", " ", line.lower()).split()
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        if 2 * sum(g in known for g in grams) >= len(grams):
+            runs[-1].append(line)
+        elif runs[-1]:
+            runs.append([])
+    runs = [r for r in runs if r]
+    out = [] if runs and len(runs[0]) == len(lines) else list(runs)
+    for run in runs:
+        paragraphs = [[]]
+        for k, line in enumerate(run):
+            if line.strip() or k in (0, len(run) - 1):
+                paragraphs[-1].append(line)
+            else:
+                paragraphs.append([])
+        if sum(map(bool, paragraphs)) > 1:
+            out += [p for p in paragraphs if p]
+    return ["\n".join(b) for b in out if sum(bool(x.strip()) for x in b) > 1]
+
+
 def test_op2_against_sets(spark, docs, empty):
     lines = [t for _, t in licences.TEMPLATES] + ["released under the mit license", "Licensed under something else entirely.", "of the"]
-    rows = [(i, f"some words here\n{t}\nmore") for i, t in enumerate(lines)] + [(90, lines[0]), (91, None), (92, ""), (93, lines[2] + "\n" + lines[2]), (None, lines[3])]
+    rows = [(i, f"some words here\n{t}\nmore of them") for i, t in enumerate(lines)] + [(90, lines[0]), (91, None), (92, ""), (93, lines[2] + "\n" + lines[2]), (None, lines[3])]
+    wrapped = ["\n".join(textwrap.wrap(t, 60)) for t in lines]
+    rows += [(100 + i, f"first of all we say\nsome other things\n\n{t}\n\nand then go on\nwith our own text") for i, t in enumerate(wrapped)]
+    rows += [(200 + i, f"our own text here\n{a}\n\n{b}\nour own text again") for i, (a, b) in enumerate(zip(wrapped, wrapped[1:], strict=False))]
+    rows += [(300, wrapped[-4]), (301, "we say so here\n" * 70_000 + wrapped[-4] + "\nwe say so here" * 1000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, segment int")
     got = Counter((r.id, r.segment, r.licence, r.score) for r in licences.scan(df).collect())
+    sets = [(name, set(licences._bigrams_of(text))) for name, text in licences.TEMPLATES]
     want = Counter()
     for i, t in rows:
         parts = (t or "").split("\n")
-        for n, part in enumerate(parts if len(parts) == 1 else [t, *parts]):
+        segments = [(0, t)] * (len(parts) > 1) + list(enumerate(parts, 1)) + [(-k, b) for k, b in enumerate(_licence_blocks(parts), 1)]
+        for n, part in segments:
             g = set(licences._bigrams_of(part))
-            best = max(((2.0 * len(g & set(x)) / (len(g) + len(x)), -k, name) for k, (name, text) in enumerate(licences.TEMPLATES) if (x := licences._bigrams_of(text)) and g), default=(0, 0, ""))
+            best = max(((2.0 * len(g & x) / (len(g) + len(x)), -k, name) for k, (name, x) in enumerate(sets) if g), default=(0, 0, ""))
             if best[0] >= licences.THRESHOLD:
-                want[i, n if len(parts) > 1 else 1, best[2], best[0]] += 1
+                want[i, n, best[2], best[0]] += 1
     assert got == want
+    # a licence wrapped inside a longer text is found as a block
+    found = {i for i, n, name, _ in got if i is not None and 100 <= i < 200 and n < 0 and name == licences.TEMPLATES[i - 100][0]}
+    assert found == {100 + i for i, t in enumerate(wrapped[: len(licences.TEMPLATES)]) if "\n" in t}
+    assert any(i == 301 and n < 0 for i, n, _, _ in got)
     assert licences.scan(empty).count() == 0
+    assert licences.scan(docs, []).count() == 0
+
+
+def test_op2_templates_from_files(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may use this\nas you like it.")
+    (tmp_path / "notes.md").write_text("no template")
+    templates = licences.read_templates(spark, str(tmp_path))
+    assert templates == [("Own-1.0", "You may use this\nas you like it.")]
+    df = spark.createDataFrame([(1, "our words\nyou may use this as\nyou like it\nour words again")], "doc_id long, text string")
+    assert [(r.segment, r.licence, r.score) for r in licences.scan(df, templates).collect()] == [(-1, "Own-1.0", 1.0)]
 
 
 @pytest.mark.parametrize("shard_rows", [8192, 60])
