@@ -164,7 +164,7 @@ def fails(data):
 
 def test_filter_interactions(spark, docs):
     labels = spark.createDataFrame([(a, b, None if c is None else int(c), "x", 7) for a, b, c in LABELS], "doc_id long, quality int, toxic int, part string, id long")
-    good, toxic = ({i for i, *x in LABELS if x[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *x in LABELS if x[k] == 1 and i is not None} for k in (0, 1))
     parts = defaultdict(list)
     for i, part, bad in fails(rows()):
         parts[part].append((i, bad))
