@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.statistics import errors
+from . import quantiles
 from .ranking import ranked
 
 
@@ -29,13 +30,18 @@ def shuffle_split(group: Column, share: float, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), group), F.lit(10_000)) < int(share * 10_000)
 
 
+def _bin(df: DataFrame, c: str, q: int) -> Column:
+    """How many of the exact inner quantiles of c over df a value is above."""
+    edges = sorted({e for e in quantiles.exact(df, {c: [i / q for i in range(1, q)]})[c] if e is not None})
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: F.col(c) > e))
+
+
 def quintile_bias(train: DataFrame, rows: DataFrame, predicted: str, actual: str, q: int = 5) -> DataFrame:
     """`rows` with the mean error of their prediction's quantile in `train` taken off (edges that coincide are one)."""
-    edges = train.agg(F.array_distinct(F.percentile(predicted, F.array(*[F.lit(i / q) for i in range(1, q)]))).alias("_edges"))
-    bin_of = F.size(F.filter("_edges", lambda e: F.col(predicted) > e))
-    dealt = train.crossJoin(F.broadcast(edges)).groupBy(bin_of.alias("_bin")).agg(F.avg(F.col(predicted) - F.col(actual)).alias("_bias"))
-    out = rows.crossJoin(F.broadcast(edges)).withColumn("_bin", bin_of).join(F.broadcast(dealt), "_bin", "left")
-    return out.withColumn("corrected", F.col(predicted) - F.coalesce("_bias", F.lit(0.0))).drop("_bin", "_edges", "_bias")
+    bin_of = _bin(train, predicted, q)
+    dealt = train.groupBy(bin_of.alias("_bin")).agg(F.avg(F.col(predicted) - F.col(actual)).alias("_bias"))
+    out = rows.withColumn("_bin", bin_of).join(F.broadcast(dealt), "_bin", "left")
+    return out.withColumn("corrected", F.col(predicted) - F.coalesce("_bias", F.lit(0.0))).drop("_bin", "_bias")
 
 
 def ensemble(*models: Column) -> Column:
@@ -65,8 +71,7 @@ def error_statistics(df: DataFrame, actual: str, predicted: str, by: list[str])
 
 def quantile_bin(df: DataFrame, c: str, name: str, q: int = 5) -> DataFrame:
     """Adds the number (from 0) of the quantile of c over the table, closed on the right; edges that coincide are one."""
-    edges = df.agg(F.array_distinct(F.percentile(c, F.array(*[F.lit(i / q) for i in range(1, q)]))).alias("_edges"))
-    return df.join(F.broadcast(edges), F.lit(True)).withColumn(name, F.size(F.filter("_edges", lambda x: F.col(c) > x))).drop("_edges")
+    return df.withColumn(name, _bin(df, c, q))
 
 
 def leakage(df: DataFrame, columns: list[str], target: str, limit: float = 0.95) -> DataFrame:

@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import quantiles, ranking
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fills each column with its median over the table; one pass finds all of them."""
-    found = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(found)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    """Fills each column with its exact median over the table (see `quantiles`)."""
+    found = quantiles.exact(df, {c: [0.5] for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, (m,) in found.items() if m is not None})
 
 
-def bounds(c: str, low: float = 0.01, high: float = 0.99, least: int = 100) -> Column:
-    """Struct of the outer percentiles, NULL below `least` values or where they coincide."""
-    p = F.percentile(c, F.array(F.lit(low), F.lit(high)))
-    return F.when((F.count(c) >= least) & (p[0] < p[1]), F.struct(p[0].alias("low"), p[1].alias("high")))
+def bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, least: int = 100) -> dict[str, tuple[float, float] | None]:
+    """The exact outer percentiles of each column, None below `least` values or where they coincide."""
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    found = quantiles.exact(df, {c: [low, high] for c in columns if counts[c] >= least})
+    return {c: tuple(found[c]) if c in found and found[c][0] < found[c][1] else None for c in columns}
 
 
-def clipped(c: Column, b: Column) -> Column:
+def clipped(c: Column, b: tuple[float, float] | None) -> Column:
     """Inside bounds; no bounds change nothing, NULL stays NULL."""
-    return F.when(c.isNotNull(), F.greatest(F.least(c, F.coalesce(b["high"], c)), F.coalesce(b["low"], c)))
+    return c if b is None else F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(b[1])), F.lit(b[0])))
 
 
 def weighted_mean(v: Column, w: Column) -> Column:
@@ -45,12 +46,12 @@ def hierarchical(df: DataFrame, c: str, weight: str, levels: list[list[str]], le
     a group needs.  Values are clipped to the 1st and 99th percentile going in
     at the finest level and coming out.  Missing weights count as 1, at the
     finest level zero ones, too.  Groups with a NULL key serve nobody."""
-    limits = df.agg(bounds(c).alias("_b"))
-    out = df.crossJoin(F.broadcast(limits))
+    limits = bounds(df, [c])[c]
+    out = df
     names = []
     for k, (keys, n) in enumerate(zip([*levels, []], [*least, 1], strict=True)):
         w = F.coalesce(F.nullif(F.col(weight), F.lit(0.0)) if k == 0 else F.col(weight), F.lit(1.0))
-        v = clipped(F.col(c), F.col("_b")) if k == 0 else F.col(c)
+        v = clipped(F.col(c), limits) if k == 0 else F.col(c)
         base = out.select(*keys, v.alias("_v"), F.when(v.isNotNull(), w).alias("_w"))
         for key in keys:
             base = base.where(F.col(key).isNotNull())
@@ -62,19 +63,23 @@ def hierarchical(df: DataFrame, c: str, weight: str, levels: list[list[str]], le
             count = count.drop(name).join(held, keys) if keys else count.drop(name).crossJoin(F.broadcast(held))
         count = count.where(F.col("_n") >= n).drop("_n")
         out = out.join(count, keys, "left") if keys else out.join(F.broadcast(count), F.lit(True), "left")
-    return out.withColumn(c, F.coalesce(F.col(c), clipped(F.coalesce(*names), F.col("_b")))).drop("_b", *names)
+    return out.withColumn(c, F.coalesce(F.col(c), clipped(F.coalesce(*names), limits))).drop(*names)
 
 
 def group_median(df: DataFrame, c: str, keys: list[str]) -> DataFrame:
-    """Fills NULLs with the group's median, then the table's; rows with a NULL key keep their value."""
-    inside = F.percentile(c, F.lit(0.5)).over(Window.partitionBy(*keys))
-    return medians(df.withColumn(c, F.coalesce(F.col(c), inside)), [c])
+    """Fills NULLs with the group's median, then the table's; NULL is a key of its own."""
+    return cascade(df, c, [keys])
 
 
 def cascade(df: DataFrame, c: str, keys: list[list[str]]) -> DataFrame:
     """coalesce over medians by each list of keys, then the table's median."""
-    filled = [F.percentile(c, F.lit(0.5)).over(Window.partitionBy(*k)) for k in keys]
-    return medians(df.withColumn(c, F.coalesce(F.col(c), *filled)), [c])
+    out = df
+    for n, k in enumerate(keys):
+        # an aggregation keeps counts of distinct values; a window would hold every row of a group
+        found = df.groupBy(*k).agg(F.percentile(c, F.lit(0.5)).alias(f"_m{n}"))
+        out = out.join(found.select(*[F.col(x).alias(f"_k{n}_{x}") for x in k], f"_m{n}"), [out[x].eqNullSafe(F.col(f"_k{n}_{x}")) for x in k], "left").drop(*[f"_k{n}_{x}" for x in k])
+    filled = out.withColumn(c, F.coalesce(F.col(c), *[f"_m{n}" for n in range(len(keys))])).drop(*[f"_m{n}" for n in range(len(keys))])
+    return medians(filled, [c])
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:

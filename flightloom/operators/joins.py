@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, on: str, t: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
     """Every point with every interval of its entity that contains it, both ends included; intervals may overlap.
@@ -84,8 +86,8 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
 def submission(template: DataFrame, predictions: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
     """Template rows with their prediction; missing ones take the median, none is below 0."""
     got = template.drop(value).join(predictions.select(key, value), key, "left")
-    median = predictions.agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return got.crossJoin(F.broadcast(median)).withColumn(value, F.greatest(F.coalesce(value, "_m"), F.lit(0.0))).drop("_m").withColumnRenamed(value, name or value)
+    median = F.lit(quantiles.exact(predictions, {value: [0.5]})[value][0]).cast("double")
+    return got.withColumn(value, F.greatest(F.coalesce(F.col(value), median), F.lit(0.0))).withColumnRenamed(value, name or value)
 
 
 def k_nearest_mean(missing: DataFrame, known: DataFrame, key: str, features: list[str], value: str, k: int = 5) -> DataFrame:
