@@ -66,6 +66,40 @@ def physics_interactions(mtow: Column, oew: Column, distance: Column, seconds: C
     return {"mass_above_oew": mass, "distance_per_mass": distance / mass, "time_per_mass": seconds / mass, "error_mass_per_distance": error * mass / (distance + 1e-6)}
 
 
+def operating_interactions(c: dict[str, Column]) -> dict[str, Column]:
+    """Errors, shape and imbalance of phases combined, each where its parts are among `c`: error, mass, distance, mach_altitude,
+    efficiency, cruise_tas, aspect_ratio, cruise_distance, cruise_share, ground_distance, climb_s, descent_s, total_s, fuel_per_tow, fuel_per_mass."""
+    has = lambda *names: all(n in c for n in names)
+    tiny = 1e-6
+    out = {}
+    for name, a, b in (("error_x_mass", "error", "mass"), ("error_x_distance", "error", "distance"), ("mach_altitude_eff", "mach_altitude", "efficiency"), ("tas_x_aspect_ratio", "cruise_tas", "aspect_ratio")):
+        if has(a, b):
+            out[name] = c[a] * c[b]
+    level = c["cruise_distance"] if has("cruise_distance") else c["distance"] * c["cruise_share"] if has("distance", "cruise_share") else c["ground_distance"] * c["cruise_share"] if has("ground_distance", "cruise_share") else None
+    if level is not None and has("distance"):
+        out["level_distance_fraction"] = level / (c["distance"] + tiny)
+    for phase in ("climb", "descent"):
+        if has(f"{phase}_s", "total_s"):
+            out[f"{phase}_time_fraction"] = c[f"{phase}_s"] / (c["total_s"] + tiny)
+    burnt = c["fuel_per_tow"] if has("fuel_per_tow") else c["fuel_per_mass"] * c["mass"] if has("fuel_per_mass", "mass") else None
+    if burnt is not None and has("ground_distance"):
+        out["fuel_efficiency_per_nm"] = burnt / (c["ground_distance"] + tiny)
+    return out
+
+
+def one_hot(c: Column, values: list[str], prefix: str) -> dict[str, Column]:
+    """A 0/1 column for each value, in order; NULL and other values are 0 everywhere."""
+    return {f"{prefix}_{v}": F.coalesce((c == v).cast("int"), F.lit(0)) for v in values}
+
+
+def fuel_derived(a: Column, o: Column, seconds: Column, tow: Column, mass: Column, shares: dict[str, Column]) -> dict[str, Column]:
+    """What follows from two estimates of an interval's fuel: rates an hour, shares of masses, rates by phase, and how the two compare."""
+    hours = F.nullif(seconds / 3600.0, F.lit(0.0))
+    out = {"rate_a": a / hours, "rate_o": o / hours, "per_tow": ratio(a, tow), "per_mass": ratio(a, mass)}
+    out |= {f"rate_{k}": a * share / hours for k, share in shares.items()}
+    return out | {"diff": a - o, "sq_diff": (a - o) * (a - o), "ratio_ao": ratio(a, o), "pct": ratio(a - o, o) * 100, "agreement": F.exp(-F.abs(a - o) / 100.0)}
+
+
 def recomputed(pairs: dict[str, tuple[str, str]], squares: list[str]) -> dict[str, Column]:
     """What follows from filled columns, anew: pairs {name: (a, b)} give difference and ratio, squares their square."""
     out = {f"{n}_{k}": v for n, (a, b) in pairs.items() for k, v in (("diff", F.col(a) - F.col(b)), ("ratio", ratio(F.col(a), F.col(b))))}

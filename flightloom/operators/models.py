@@ -1,15 +1,20 @@
-"""Models of the pipeline with MLlib, per-type multipliers, targets and alignment."""
+"""Models of the pipeline: MLlib and boosted trees with early stop, per-type multipliers, imputation by models, targets and alignment."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.atmosphere import ratio
+from ..functions.features import is_non_negative, missing_order
+from ..sources.staging import staged
+from . import quantiles, trees
+from .folds import shuffle_split
+from .imputation import bounds, profile
 
 
 def regressor(kind: str, features: str = "features", label: str = "label", seed: int = 42, **params):
-    """gbt, forest or linear; monotone constraints have no counterpart in MLlib."""
+    """gbt, forest or linear of MLlib; `trees.boost` has early stop, missing values and monotone constraints."""
     from pyspark.ml import regression
 
     make = {"gbt": regression.GBTRegressor, "forest": regression.RandomForestRegressor, "linear": regression.LinearRegression}[kind]
@@ -76,13 +81,92 @@ def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(0.0).alias(c) for c in columns])
 
 
-def impute_by_model(df: DataFrame, columns: list[str], predictors: list[str], seed: int = 42, **params) -> DataFrame:
-    """Fills NULLs of each column from a model of the rows that have it, inside its 1st and 99th percentile."""
-    for c in columns:
-        low, high = df.agg(F.percentile(c, F.array(F.lit(0.01), F.lit(0.99)))).first()[0] or (None, None)
-        if low is None:
-            continue
-        out, _ = fit_predict(df.withColumn("_row", F.struct(*df.columns)), predictors, c, F.lit(True), seed=seed, **params)
-        guess = F.greatest(F.lit(low), F.least(F.lit(high), F.col("prediction")))
-        df = out.select(*[F.coalesce(F.col(f"_row.{k}"), guess).alias(k) if k == c else F.col(f"_row.{k}").alias(k) for k in df.columns])
+# Parts of the names of features that fuel can only grow with.
+INCREASING = (
+    "int_ground_distance_nm", "interval_duration_sec", "origin_dest_gcdist_nm", "total_flight_duration_sec", "ac_max_takeoff_weight_kg", "ac_MTOW_kg", "ac_MTOW_lb", "mass_above_oew",
+    "int_time_since_takeoff_sec", "int_time_before_landing_sec", "climb_time_sec", "descent_time_sec", "cruise_distance_nm", "climb_distance_nm", "descent_distance_nm",
+)
+
+
+def monotone_of(features: list[str], increasing: tuple[str, ...] = INCREASING) -> dict[str, int]:
+    """1 for the features whose name holds one of `increasing`; the others are free."""
+    return {f: 1 for f in features if any(k in f for k in increasing)}
+
+
+def fit_with_stop(df: DataFrame, features: list[str], target: str, entity: str, share: float = 0.2, group: str | None = None, seed: int = 42, **params) -> tuple[DataFrame, trees.Model]:
+    """A boosted model that stops by its error on `share` of the entities: df with `held` and prediction_<target>, and the model."""
+    marked = df.withColumn("held", shuffle_split(F.col(entity), share, seed))
+    model = trees.boost(marked.where(F.col(target).isNotNull()), features, [target], group, ~F.col("held"), F.col("held"), seed=seed, **params)
+    return trees.predict(marked, model), model
+
+
+def top_features(df: DataFrame, features: list[str], target: str, n: int, entity: str, **params) -> list[str]:
+    """The n features that a quick model gains most by (names come to the driver), for a refit on those alone."""
+    _, model = fit_with_stop(df, features, target, entity, **params)
+    gain = {f: sum(g for (_, _, k), g in model.gains.items() if k == f) for f in features}
+    return sorted(features, key=lambda f: (-gain[f], f))[:n]
+
+
+def training_rows(df: DataFrame, kind: str, entity: str, most: int = 10_000, seed: int = 42) -> DataFrame:
+    """The rows of at most `most` entities of each type, chosen by a hash of the entity: the same in every run."""
+    each = df.where(F.col(kind).isNotNull()).select(kind, entity).distinct()
+    drawn = F.row_number().over(Window.partitionBy(kind).orderBy(F.md5(F.concat(F.col(entity).cast("string"), F.lit(f"|{seed}")).cast("binary")), entity))
+    chosen = each.withColumn("_n", drawn).where(F.col("_n") <= most).drop("_n")
+    return df.join(chosen, [kind, entity], "left_semi")
+
+
+def type_multipliers(df: DataFrame, features: list[str], kind: str, entity: str, actual: str, estimates: dict[str, str], least_rows: int = 100, most: int = 10_000, **params) -> tuple[DataFrame, trees.Model]:
+    """Models of each type for actual over every estimate ({name: column}): df with multiplier_<name>, 1 where a type has too few rows."""
+    names = list(estimates)
+    ratios = df.withColumns({f"_{n}": ratio(F.col(actual), F.col(estimates[n])) for n in names})
+    enough = ratios.where(F.coalesce(*[F.col(f"_{n}") for n in names]).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least_rows)
+    learnt = training_rows(ratios.join(enough.select(kind), kind, "left_semi"), kind, entity, most)
+    model = trees.boost(learnt, features, [f"_{n}" for n in names], kind, **params)
+    out = trees.predict(df, model, [f"multiplier_{n}" for n in names])
+    return out.fillna(1.0, [f"multiplier_{n}" for n in names]), model
+
+
+def impute_targets(df: DataFrame, targets: list[str], predictors: list[str], train: Column | None = None, batch: int = 20, **params) -> DataFrame:
+    """Fills NULLs of the targets by boosted models, `batch` columns a table pass, those with fuel or mass in their name first.
+
+    A model learns from the rows of `train` that have its column; predictors may be
+    missing, too.  Guesses stay inside the 1st and 99th percentile (of 100 values
+    and more), and at 0 or above where the name says so; a column without any value
+    is filled with 0.  The table is written after each batch."""
+    low = {c: 0.0 for c in targets}
+    order = missing_order({c: 1.0 for c in targets})
+    for at in range(0, len(order), batch):
+        columns = order[at : at + batch]
+        model = trees.boost(df, [p for p in predictors if p not in columns], columns, None, train, **params)
+        learnt = df.where(train) if train is not None else df
+        limits, middle = bounds(learnt, columns), quantiles.exact(learnt, {c: [0.5] for c in columns})
+        guessed = trees.predict(df, model, [f"_g_{c}" for c in columns])
+        fills = {}
+        for c in columns:
+            m = middle[c][0]
+            guess = F.coalesce(F.col(f"_g_{c}"), F.lit(0.0)) if m is not None else F.lit(0.0)
+            if limits[c]:
+                guess = F.greatest(F.lit(limits[c][0]), F.least(F.lit(limits[c][1]), guess))
+            fills[c] = F.coalesce(F.col(c).cast("double"), F.greatest(guess, F.lit(low[c])) if is_non_negative(c) else guess)
+        df = staged(guessed.withColumns(fills).drop(*[f"_g_{c}" for c in columns]))
     return df
+
+
+def impute_two_stage(df: DataFrame, base: list[str], predictors: list[str], truth: str, train: Column, derive, skip: list[str], **params) -> DataFrame:
+    """Fills every NULL in two stages: the training rows with the true value as a predictor, then all rows without it.
+
+    Each stage fills the columns `base` first, computes what derives from them anew
+    by derive(df, changed) (changed: rows whose base was filled), then fills all
+    other columns that have NULLs.  Columns of `skip` and the truth stay as they are."""
+
+    def stage(rows: DataFrame, known: list[str]) -> DataFrame:
+        marked = staged(rows.withColumn("_changed", F.coalesce(*[F.when(F.col(c).isNull(), True) for c in base], F.lit(False))))
+        filled = derive(impute_targets(marked, base, known, **params), F.col("_changed")).drop("_changed")
+        filled = staged(filled)
+        open_ = [c for c in filled.columns if c not in skip and c != truth]
+        missing = [r["column"] for r in profile(filled, open_).where("n_null > 0").collect()]
+        return impute_targets(filled, sorted(missing), [*known, *base], **params)
+
+    is_train = F.coalesce(train, F.lit(False))
+    first = stage(df.where(is_train), [*predictors, truth])
+    return stage(first.unionByName(df.where(~is_train), allowMissingColumns=True), predictors)

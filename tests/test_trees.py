@@ -116,11 +116,11 @@ def test_monotone(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
     grid = spark.createDataFrame([(i, j, -2 + i * 0.05, -2.0 + j) for i in range(81) for j in range(5)], "i int, j int, a double, b double")
     for sign in (1, -1):
-        model = trees.boost(df, ["a", "b"], ["y"], trees=12, depth=4, rate=0.4, bins=32, least=5, monotone={"a": sign})
+        model = trees.boost(df, ["a", "b"], ["y"], trees=4, depth=3, rate=0.6, bins=32, least=5, monotone={"a": sign})
         rows = {(r.i, r.j): r.prediction_y for r in trees.predict(grid, model).collect()}
         steps = [sign * (rows[i + 1, j] - rows[i, j]) for i in range(80) for j in range(5)]
         assert min(steps) >= -1e-12 and (sign < 0 or max(steps) > 0)
-    free = trees.boost(df, ["a", "b"], ["y"], trees=12, depth=4, rate=0.4, bins=32, least=5)
+    free = trees.boost(df, ["a", "b"], ["y"], trees=4, depth=3, rate=0.6, bins=32, least=5)
     rows = {(r.i, r.j): r.prediction_y for r in trees.predict(grid, free).collect()}
     assert min(rows[i + 1, j] - rows[i, j] for i in range(80) for j in range(5)) < 0
 
