@@ -87,11 +87,6 @@ def operating_interactions(c: dict[str, Column]) -> dict[str, Column]:
     return out
 
 
-def one_hot(c: Column, values: list[str], prefix: str) -> dict[str, Column]:
-    """A 0/1 column for each value, in order; NULL and other values are 0 everywhere."""
-    return {f"{prefix}_{v}": F.coalesce((c == v).cast("int"), F.lit(0)) for v in values}
-
-
 def fuel_derived(a: Column, o: Column, seconds: Column, tow: Column, mass: Column, shares: dict[str, Column]) -> dict[str, Column]:
     """What follows from two estimates of an interval's fuel: rates an hour, shares of masses, rates by phase, and how the two compare."""
     hours = F.nullif(seconds / 3600.0, F.lit(0.0))

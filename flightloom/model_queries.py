@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features as X
+from .functions import phases as P
 from .operators import models, physics, trees
 from .plans.tables import FLIGHTS, TRACKS, flights, tracks
 from .queries import d, query, r
@@ -99,7 +100,7 @@ def model_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = {k: F.col(k) for k in j.columns}
     fuel = X.fuel_derived(c["a"], c["o"], c["seconds"], c["tow"], c["mass"], {"climb": c["climb"]})
     more = X.operating_interactions({"error": c["a"] - c["o"], "mass": c["mass"], "distance": c["dist"], "cruise_tas": c["cruise_tas"], "aspect_ratio": F.lit(9.0), "cruise_share": c["cruise_share"], "ground_distance": c["dist"] * 2, "climb_s": c["climb"] * c["seconds"], "total_s": c["seconds"], "fuel_per_tow": fuel["per_tow"]})
-    kinds = X.one_hot(c["typ"], KINDS, "typ")
+    kinds = P.one_hot(c["typ"], KINDS, "typ")
     out = j.select("flight_id", *[v.alias(k) for k, v in kinds.items()], (c["n"] >= 10).alias("has_trajectory_data"), *[r(v, k) for k, v in (more | fuel).items() if k != "rate_o"])
     order = ["flight_id", *kinds, "absent", "has_trajectory_data", *more, *[k for k in fuel if k != "rate_o"]]
     return models.aligned(out, order)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.atmosphere import FOOT, KNOT, clamp, isa_pressure, isa_temperature, mach_to_tas
 from ..functions.geo import haversine, interpolate_angle, interpolate_position, signed_turn
-from ..functions.phases import gap_phase
+from ..functions.geodesy import direct, inverse
+from ..functions.phases import CLAMPS, flight_phase, gap_phase
 from .series import by
 
 
@@ -39,9 +40,10 @@ def median_filter(df: DataFrame, entity: str, order: str, columns: list[str], ro
     return held.withColumns({c: F.when(F.col(c).isNotNull(), median(F.col(f"_w_{c}"))) for c in columns}).drop(*[f"_w_{c}" for c in columns])
 
 
-def sigma_filter(df: DataFrame, entity: str, order: str, columns: list[str], rows: int = 17, sigmas: float = 3.0) -> DataFrame:
-    """NULL where a reading is further from the rolling median than so many rolling stds of that difference."""
-    w = by(entity, order).rowsBetween(-(rows // 2), rows // 2)
+def sigma_filter(df: DataFrame, entity: str, order: str, columns: list[str], rows: int = 17, sigmas: float = 3.0, spread: int | None = None) -> DataFrame:
+    """NULL where a reading is further from the rolling median over `rows` rows than so many stds of that difference over `spread` rows (as many by default)."""
+    around = (spread or rows) // 2
+    w = by(entity, order).rowsBetween(-around, around)
     soft = median_filter(df.withColumns({f"_m_{c}": F.col(c) for c in columns}), entity, order, [f"_m_{c}" for c in columns], rows)
     off = {f"_d_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns}
     out = soft.withColumns(off)
@@ -58,26 +60,40 @@ def ends_of_gaps(df: DataFrame, entity: str, t_s: str, columns: list[str], least
     return holes.withColumn("place", (F.col("t0") - F.col("_s")) / F.nullif((F.col("_e") - F.col("_s")).cast("double"), F.lit(0.0))).drop("_s", "_e")
 
 
-def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
-    """A row for each second inside a hole: position on the great circle, linear altitude, turned track, and speeds by phase.
+def synthesize(gaps: DataFrame, entity: str, t_s: str, step: int = 1, ellipsoid: bool = False, learnt: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """A row for each `step` seconds inside a hole: position on the great circle (or the geodesic of the ellipsoid), linear altitude, turned track, and speeds by phase.
 
     Cruise holds the mean Mach number of the ends and no vertical rate, its rows
     lie between the ends; climb and descent hold the mean calibrated speed and a
     steady rate of 2 to 12 m/s, their rows begin and end at the ends. Needs
     latitude, longitude, altitude, track, mach, CAS, groundspeed at both ends;
-    where there is TAS, too, the air speed runs over from and to it."""
+    where there is TAS, too, the air speed runs over from and to it.  learnt: a
+    column of the holes and a table from `learn_speeds`, whose speeds and rates of
+    that column's value and phase stand before those of the ends."""
     ends = [F.col(c) for c in ("a_latitude", "a_longitude", "b_latitude", "b_longitude")]
-    known = gaps.withColumns({"phase": gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place")), "_d": haversine(*ends, 1.0)})
-    rows = known.withColumn(t_s, F.explode(F.sequence(F.col("t0") + 1, F.col("t1") - 1)))
-    level, i, n = F.col("phase") == "cruise", F.col(t_s) - F.col("t0"), F.col("t1") - F.col("t0") - 1
+    known = gaps.withColumn("phase", gap_phase(F.col("a_altitude"), F.col("b_altitude"), F.col("place")))
+    known = known.withColumn("_d", inverse(*ends)) if ellipsoid else known.withColumn("_d", haversine(*ends, 1.0))
+    if learnt:
+        kind, speeds = learnt
+        known = known.join(F.broadcast(speeds.select(kind, "phase", "learnt_mach", "learnt_CAS", "learnt_rate")), [kind, "phase"], "left")
+    rows = known.where(F.col("t1") - F.col("t0") > step).withColumn(t_s, F.explode(F.sequence(F.col("t0") + step, F.col("t1") - step, F.lit(step).cast("long"))))
+    level = F.col("phase") == "cruise"
+    i, n = (F.col(t_s) - F.col("t0"), F.col("t1") - F.col("t0") - 1) if step == 1 else (F.floor((F.col(t_s) - F.col("t0")) / step), F.floor((F.col("t1") - F.col("t0") - 1) / step))
     f = F.when(level, i / (n + 1)).otherwise((i - 1) / F.greatest(n - 1, F.lit(1)))
-    lat, lon = interpolate_position(*ends, f, F.col("_d"))
+    if ellipsoid:
+        near = (F.abs(ends[0] - ends[2]) < 1e-4) & (F.abs(ends[1] - ends[3]) < 1e-4) | F.col("_d").isNull()
+        at = direct(ends[0], ends[1], F.col("_d.start"), F.col("_d.distance") * f)
+        rows = rows.withColumn("_at", F.when(~near, F.struct(at["latitude"].alias("latitude"), at["longitude"].alias("longitude"))))
+        lat, lon = F.coalesce("_at.latitude", ends[0]), F.coalesce("_at.longitude", ends[1])
+    else:
+        lat, lon = interpolate_position(*ends, f, F.col("_d"))
     altitude = F.col("a_altitude") + (F.col("b_altitude") - F.col("a_altitude")) * f
     h = altitude * FOOT
     mean = lambda c: (F.coalesce(f"a_{c}", f"b_{c}") + F.coalesce(f"b_{c}", f"a_{c}")) / 2
-    cruise = mach_to_tas(mean("mach"), isa_temperature(h)) / KNOT
-    other = mean("CAS") / F.sqrt(F.greatest(isa_pressure(h) / 101325.0, F.lit(0.1)))
-    steady = (F.col("b_altitude") - F.col("a_altitude")) / (F.col("t1") - F.col("t0")) * 60
+    before = lambda name, c: F.coalesce(F.col(f"learnt_{name}"), c) if learnt else c
+    cruise = mach_to_tas(before("mach", mean("mach")), isa_temperature(h)) / KNOT
+    other = before("CAS", mean("CAS")) / F.sqrt(F.greatest(isa_pressure(h) / 101325.0, F.lit(0.1)))
+    steady = before("rate", (F.col("b_altitude") - F.col("a_altitude")) / (F.col("t1") - F.col("t0")) * 60)
     climbing = F.col("phase") == "climb"
     steady = F.when(climbing, clamp(steady, *RATES)).otherwise(clamp(steady, -RATES[1], -RATES[0]))
     speed = F.when(level, cruise).otherwise(other)
@@ -89,6 +105,13 @@ def synthesize(gaps: DataFrame, entity: str, t_s: str) -> DataFrame:
     )
 
 
+def learn_speeds(df: DataFrame, kind: str, least: int = 1) -> DataFrame:
+    """(kind, phase, learnt_mach, learnt_CAS, learnt_rate, n): mean speeds and rates of each type in cruise, climb and descent, from its readings."""
+    phased = df.where(F.col(kind).isNotNull()).withColumn("phase", flight_phase(F.col("vertical_rate"), F.col("altitude"))).where("phase <> 'ground'")
+    found = phased.groupBy(kind, "phase").agg(F.avg(clamp(F.col("mach"), *CLAMPS["mach"])).alias("learnt_mach"), F.avg(clamp(F.col("CAS"), *CLAMPS["CAS"])).alias("learnt_CAS"), F.avg("vertical_rate").alias("learnt_rate"), F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") >= least)
+
+
 def blend(c: Column, start: Column, end: Column, i: Column, n: Column, points: int = 5) -> Column:
     """Runs a synthesised value over from its ends: linear over `points` rows each side, left alone in short holes (i from 1 to n).
 

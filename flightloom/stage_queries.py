@@ -11,14 +11,16 @@ from .operators import folds, imputation, joins, models, series, trajectory
 from .plans.tables import FLIGHTS, INTERVALS, TRACKS, flights, intervals, tracks
 from .queries import _IP, _rounded, by_time, d, query, r
 
-_GRID = f"""{TRACKS}, k AS (SELECT flight_id, t // 3600 AS slot, arg_max(groundspeed, t) AS v FROM tracks GROUP BY ALL), gaps AS (SELECT flight_id, slot, lag(slot) OVER w AS before FROM k WINDOW w AS (PARTITION BY flight_id ORDER BY slot))"""
+_GRID = f"""{TRACKS}, k AS (SELECT flight_id, t // 3600 AS slot, arg_max(groundspeed, t) AS v FROM tracks GROUP BY ALL), s AS (SELECT flight_id, unnest(range(min(slot), max(slot) + 1)) AS slot FROM k GROUP BY flight_id),
+    n AS (SELECT s.*, last_value(CASE WHEN v IS NOT NULL THEN slot END IGNORE NULLS) OVER (PARTITION BY flight_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM s LEFT JOIN k USING (flight_id, slot)),
+    gaps AS (SELECT flight_id, slot, lag(slot) OVER (PARTITION BY flight_id ORDER BY slot) AS before FROM n WHERE slot - seen <= 12)"""
 
 
-@query(f"""WITH {_GRID} SELECT flight_id, before * 3600 AS t0, slot * 3600 AS t1 FROM gaps WHERE slot - before > 12""")
+@query(f"""WITH {_GRID} SELECT flight_id, before * 3600 AS t0, slot * 3600 AS t1 FROM gaps WHERE slot - before > 1""")
 def residual_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holes that are left after tracks are resampled to hours and filled inside twelve: only these are rebuilt."""
-    grid = series.resample(tracks(spark, sf_dir), "flight_id", "t", ["groundspeed"], step=3600, limit=0)
-    holes = trajectory.ends_of_gaps(grid.where("groundspeed is not null"), "flight_id", "t", ["groundspeed"], 12 * 3600, 1 << 40)
+    """Holes that are left after tracks are resampled to hours and twelve of them filled after a reading: they begin where the filling ends."""
+    grid = series.resample(tracks(spark, sf_dir), "flight_id", "t", ["groundspeed"], step=3600, limit=12)
+    holes = trajectory.ends_of_gaps(grid.where("groundspeed is not null"), "flight_id", "t", ["groundspeed"], 3600, 1 << 40)
     return holes.select("flight_id", "t0", "t1")
 
 
@@ -33,11 +35,11 @@ def clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks(spark, sf_dir).select("flight_id", "pid", *[r(c, k) for k, c in P.clamp_kinematics(list(P.CLAMPS)).items()])
 
 
-@query(f"""WITH {TRACKS}, m AS (SELECT flight_id, kind, avg((altitude < 500)::INT::DOUBLE) AS ground, avg((vertical_rate > 500)::INT::DOUBLE) AS climb, avg((vertical_rate < -500)::INT::DOUBLE) AS descent, avg(TAS) AS a, avg(CAS) AS b FROM tracks WHERE pid % 3 = 0 GROUP BY ALL)
+@query(f"""WITH {TRACKS}, m AS (SELECT flight_id, kind, avg((altitude < 500)::INT::DOUBLE) AS ground, avg((vertical_rate > 500)::INT::DOUBLE) AS climb, avg((vertical_rate < -500)::INT::DOUBLE) AS descent, avg(TAS) AS a, avg(CAS) AS b FROM tracks GROUP BY ALL)
     SELECT flight_id, kind, {d("a - b", "speed_diff")}, {d("a / nullif(b, 0)", "speed_ratio")}, {d("a * a", "a_sq")}, CASE WHEN flight_id % 5 = 0 THEN 'old' WHEN greatest(coalesce(climb, 0), coalesce(descent, 0), coalesce(ground, 0)) = 0 THEN 'unknown' WHEN coalesce(climb, 0) >= greatest(coalesce(descent, 0), coalesce(ground, 0)) THEN 'climb' WHEN coalesce(descent, 0) >= coalesce(ground, 0) THEN 'descent' ELSE 'ground' END AS mode, coalesce(a > b, false) AS faster FROM m""")
 def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that follow from filled ones, computed again after filling; the mode only where it is missing."""
-    t = tracks(spark, sf_dir).where("pid % 3 = 0")
+    t = tracks(spark, sf_dir)
     share = lambda c: F.avg(F.expr(c).cast("int").cast("double"))
     m = t.groupBy("flight_id", "kind").agg(share("altitude < 500").alias("ground"), share("vertical_rate > 500").alias("climb"), share("vertical_rate < -500").alias("descent"), F.avg("TAS").alias("a"), F.avg("CAS").alias("b"))
     out = m.withColumns(X.recomputed({"speed": ("a", "b")}, ["a"]))
@@ -131,12 +133,14 @@ def shared_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TRACKS}, n AS (SELECT count(*) AS n, count(mach) AS mach, count(TAS) AS TAS, count(flow) AS fuel_flow, count(altitude) AS altitude FROM tracks), u AS (SELECT "column", 1 - v / n AS share FROM n UNPIVOT (v FOR "column" IN (mach, TAS, fuel_flow, altitude)))
     SELECT "column", row_number() OVER (ORDER BY "column" NOT LIKE '%fuel%', share, "column") - 1 AS place, CASE WHEN share >= 0.25 THEN 'coarse' WHEN "column" LIKE '%fuel%' THEN 'weighted' ELSE 'plain' END AS route FROM u WHERE share > 0""")
 def fill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In which order columns are filled, and how; the shares of missing values are one row."""
+    """In which order columns are filled, and how, from the profile of the table."""
     t = tracks(spark, sf_dir).withColumnRenamed("flow", "fuel_flow")
-    shares = {x["column"]: x["share"] for x in imputation.profile(t, ["mach", "TAS", "fuel_flow", "altitude"]).collect()}
-    order, routes = X.missing_order(shares), X.routed(shares, weighted=("fuel",), most=0.25)
-    way = {c: k for k, cs in routes.items() for c in cs}
-    return spark.createDataFrame([(c, i, way[c]) for i, c in enumerate(order)], "column string, place long, route string")
+    shares = imputation.profile(t, ["mach", "TAS", "fuel_flow", "altitude"]).where("share > 0")
+    fuel = F.col("column").contains("fuel")
+    way = F.when(F.col("share") >= 0.25, "coarse").when(fuel, "weighted").otherwise("plain")
+    # one row a column of the table
+    place = F.row_number().over(Window.orderBy(~fuel, "share", "column")) - 1
+    return shares.select("column", place.cast("long").alias("place"), way.alias("route"))
 
 
 @query(f"""WITH {INTERVALS}, g AS (SELECT idx, i_start // 86400 AS day, CASE WHEN idx % 3 <> 0 THEN idx * 1.5::DOUBLE END AS v, flight_id, i_start FROM intervals), f AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM g WINDOW w AS (PARTITION BY flight_id ORDER BY i_start, idx)) SELECT idx, day, {d("coalesce(v, (coalesce(a, b) + coalesce(b, a)) / 2)", "v")}, CASE WHEN v - 500 >= 0 THEN 1 ELSE 0 END AS positive FROM f""")
