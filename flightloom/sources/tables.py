@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,15 +92,75 @@ def continued(spark: SparkSession, todo: DataFrame, keys: list[str], path: str,
     return spark.read.parquet(path)
 
 
-def readable(spark: SparkSession, path: str, again) -> DataFrame:
-    """The table at `path`; one that cannot be read is computed by again() and written anew."""
+def _footer_is_bad(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) to (path, reason) of files whose footer cannot be read."""
+    for b in batches:
+        bad = []
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                pq.read_metadata(io.BytesIO(content))
+            except (pa.ArrowException, OSError) as e:
+                bad.append((path, str(e).split("\n")[0]))
+        yield pa.record_batch([pa.array([x[k] for x in bad], pa.string()) for k in (0, 1)], names=["path", "reason"])
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of each parquet file of a table whose footer cannot be read.
+
+    Spark reads all footers and skips bad ones; only files that gave no row, bad or
+    without rows, are looked at on their own, in tasks.  Files of no bytes, which
+    Spark passes over without a word, are found in the folder's list."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    rows = spark.read.schema(T.StructType([])).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
+    good = rows.groupBy(F.col("_metadata.file_path").alias("path")).count()
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    suspect = listed.join(good.select(plain("path").alias("good")), plain(listed["path"]) == F.col("good"), "left_anti")
+    bad = suspect.select("path", "content").mapInArrow(_footer_is_bad, "path string, reason string")
+    return bad.unionByName(spark.createDataFrame(_empty_files(spark, path), "path string, reason string"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    each, out = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while each.hasNext():
+        status = each.next()
+        name = status.getPath().getName()
+        if status.getLen() == 0 and name.endswith(".parquet") and not name.startswith(("_", ".")):
+            out.append((status.getPath().toString(), "no bytes"))
+    return out
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    jvm = spark.sparkContext._jvm
+    places = [jvm.org.apache.hadoop.fs.Path(p) for p in (source, target)]
+    if not places[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(*places):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def readable(spark: SparkSession, path: str, again: Callable[[], DataFrame]) -> DataFrame:
+    """The table at `path`; one that is not there, or has a damaged file, is computed by again() and put in its place.
+
+    The new table is written beside the old one and swapped in by renaming, the
+    damaged one stays as `path.damaged-...`; if again() fails, or any other error
+    comes up (a lost executor, say), the old table is as it was."""
+    path = path.rstrip("/")
     try:
-        df = spark.read.parquet(path)
-        df.limit(1).collect()
-    except Exception:  # noqa: BLE001
-        write(again(), path, mode="overwrite")
-        df = spark.read.parquet(path)
-    return df
+        bad = damaged(spark, path).limit(1).count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write(again(), path)
+        return spark.read.parquet(path)
+    if bad or not _has_files(spark, path):
+        fresh, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "damaged"))
+        write(again(), fresh)
+        _rename(spark, path, old)
+        _rename(spark, fresh, path)
+    return spark.read.parquet(path)
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    return not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").isEmpty()
 
 
 def merge_days(parts: DataFrame, flight: str = "flight_id", t: str = "timestamp", order: str = "date") -> DataFrame:
