@@ -35,6 +35,11 @@ BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
 BYTE_VALUES_FOLDED = BYTE_VALUES.copy()
 BYTE_VALUES_FOLDED[65:91] = BYTE_VALUES[97:123]
 
+#: The same for the polynomials modulo a prime.
+BYTE_PRIMES = (mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95)) >> _U(33)) | _U(1)
+BYTE_PRIMES_FOLDED = BYTE_PRIMES.copy()
+BYTE_PRIMES_FOLDED[65:91] = BYTE_PRIMES[97:123]
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -73,6 +78,44 @@ class RollingHash:
         return mix64((self._sums[k:] - self._sums[:n]) * self._down[:n])
 
 
+_PRIME = _U((1 << 31) - 1)
+_ROOTS = [1_340_861_203, 1_907_244_881]
+
+
+def _prime_powers(base: int, n: int, name: str) -> np.ndarray:
+    """base ** 0 .. n - 1 modulo the prime, by doubling; kept for chunks of the usual size."""
+    have = _powers.get(name)
+    if have is not None and len(have) >= n:
+        return have[:n]
+    size = max(n, CHUNK_BYTES + 4096)
+    out = np.empty(size, dtype=np.uint32)
+    out[0], done = 1, 1
+    while done < size:
+        more = min(done, size - done)
+        out[done : done + more] = out[:more].astype(np.uint64) * _U(pow(base, done, int(_PRIME))) % _PRIME
+        done += more
+    if size <= 4 * CHUNK_BYTES:
+        _powers[name] = out
+    return out[:n]
+
+
+def prime_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """62 bits of hash of each range of symbols (below 2 ** 31), from two polynomials modulo a prime.
+
+    A polynomial modulo 2 ** 64 alone takes a long Thue-Morse word and its complement
+    for equal, whatever its base; modulo a prime they differ."""
+    out = np.zeros(len(start), dtype=np.uint64)
+    for k, root in enumerate(_ROOTS):
+        up = _prime_powers(root, len(values), f"prime{k}")
+        product = values * up
+        product = (product & _PRIME) + (product >> _U(31))
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(product, out=sums[1:])
+        back = _prime_powers(pow(root, -1, int(_PRIME)), len(values) + 1, f"back{k}")
+        out = (out << _U(31)) | ((sums[end] - sums[start]) % _PRIME * back[start] % _PRIME)
+    return out
+
+
 class Chunk:
     """Some documents' bytes in one array, a line feed between documents."""
 
@@ -100,7 +143,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
 
 
 def words(chunk: Chunk, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the words' byte ranges, and for each document the number of its first word.
+    """Word hashes (two independent kinds mixed), the words' byte ranges, and for each document the number of its first word.
 
     The last array has one entry more than there are documents."""
     space = _SPACE[chunk.data]
@@ -114,8 +157,8 @@ def words(chunk: Chunk, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarra
         begin = np.concatenate([[0], begin])
     if not space[-1]:
         stop = np.concatenate([stop, [len(space)]])
-    table = BYTE_VALUES_FOLDED if folded else BYTE_VALUES
-    hashes = RollingHash(table[chunk.data])(begin, stop)
+    table, primes = (BYTE_VALUES_FOLDED, BYTE_PRIMES_FOLDED) if folded else (BYTE_VALUES, BYTE_PRIMES)
+    hashes = mix64(RollingHash(table[chunk.data])(begin, stop) + mix64(prime_hashes(primes[chunk.data], begin, stop)))
     first = np.searchsorted(begin, np.append(chunk.start, len(space) + 1))
     return hashes, begin, stop, first
 

@@ -158,7 +158,8 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 20, id_col:
     A row with the query's own id is no candidate.  Rows with a null id, and
     null, empty, zero or non-finite vectors take no part on either side; vectors
     meet only vectors of as many components.  Of rows repeated in full each is a
-    candidate.  An empty table gives an empty result; other columns are not
+    candidate; of query rows with the same id one counts, that with the smallest
+    vector.  An empty table gives an empty result; other columns are not
     looked at.
     """
     spark = base.sparkSession
@@ -171,7 +172,8 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 20, id_col:
     stored = picked(base, 0)
     shards = max(1, ceil(stored.count() / shard_rows))
     dealt = stored.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = picked(queries, 1).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    each = picked(queries, 1).groupBy("kind", "id").agg(F.min("v").alias("v"))
+    asked = each.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     both = dealt.unionByName(asked).withColumn("dim", F.size("v")).repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

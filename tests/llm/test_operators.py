@@ -282,6 +282,34 @@ def test_op3_ties(spark, shard_rows):
         assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(i, -x) for x, i in s[:20]]
 
 
+def test_op3_repeated_queries(spark):
+    v = np.random.default_rng(8).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 20 = 0")
+    once, twice = (sorted(vptree.nearest_neighbours(df, x).collect()) for x in (q, q.union(q)))
+    assert once == twice and len(once) == 60
+
+
+def complements(n: int) -> tuple[str, str]:
+    """A Thue-Morse word of n letters and the one with its letters exchanged: equal under any polynomial modulo 2 ** 64 once n is large."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_long_words_that_differ(spark, n):
+    a, b = complements(n)
+    head = [f"w{i}" for i in range(49)]
+    df = spark.createDataFrame([(1, " ".join([*head, a])), (2, " ".join([*head, b])), (3, a), (4, b), (5, a)], "doc_id long, text string")
+    cut = {r.id: r.n_removed for r in suffix_tree.passage_dedup(df, window=50).collect()}
+    assert cut == dict.fromkeys(range(1, 6), 0)
+    linked = {r.id: r.component_id for r in minhash.near_duplicates(df.where("doc_id > 2"), shingle=3, percent=85).collect()}
+    assert linked == {3: 3, 4: 4, 5: 3}
+    whole = {r.id: r.n_removed for r in suffix_array.substring_dedup(df.where("doc_id in (3, 4)")).collect()}
+    gone = removed_bytes([a.encode(), b.encode()], 200)
+    assert whole == {3: int(gone[0].sum()), 4: int(gone[1].sum())}
+
+
 def test_op3_factor_prunes():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 6)) * 4
