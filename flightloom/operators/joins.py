@@ -88,33 +88,3 @@ def submission(template: DataFrame, predictions: DataFrame, key: str, value: str
     got = template.drop(value).join(predictions.select(key, value), key, "left")
     median = F.lit(quantiles.exact(predictions, {value: [0.5]})[value][0]).cast("double")
     return got.withColumn(value, F.greatest(F.coalesce(F.col(value), median), F.lit(0.0))).withColumnRenamed(value, name or value)
-
-
-def k_nearest_mean(missing: DataFrame, known: DataFrame, key: str, features: list[str], value: str, k: int = 5) -> DataFrame:
-    """Mean of the k known rows nearest in standardised features (ties: smaller key).
-
-    The known rows are cut into a bounded number of cells by the first feature;
-    a missing row looks at rings of cells until k rows cannot be beaten, so no
-    cross join is made."""
-    stats = known.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = lambda c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)
-    a = missing.select(F.col(key).alias("_key"), *[z(c).alias(f"a_{c}") for c in features])
-    first = features[0]
-    ranked = known.select(F.col(key).alias("_k"), F.col(value).alias("_v"), *[z(c).alias(f"b_{c}") for c in features])
-    out, width = None, 0.25
-    todo = a
-    while True:
-        cells = lambda df, c: df.withColumn("_cell", F.floor(F.col(c) / width).cast("long"))  # noqa: E731, B023
-        near = cells(todo, f"a_{first}").join(cells(ranked, f"b_{first}").withColumn("_cell", F.explode(F.array(*[F.col("_cell") + i for i in (-1, 0, 1)]))), "_cell", "left")
-        d = F.sqrt(sum(F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), F.lit(2.0)) for c in features))
-        best = near.withColumn("_d", d).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("_d").asc_nulls_last(), "_k"))).where(F.col("_r") <= k)
-        got = best.groupBy("_key").agg(F.avg("_v").alias("_mean"), F.count("_k").alias("_n"), F.max("_d").alias("_far"))
-        sure = got.where((F.col("_n") >= k) & (F.col("_far") <= width))
-        out = sure if out is None else out.unionByName(sure)
-        todo = todo.join(sure.select("_key"), "_key", "left_anti")
-        if width > 64 or todo.isEmpty():
-            break
-        width *= 4
-    if width > 64:
-        out = out.unionByName(got.join(todo.select("_key"), "_key", "left_semi"))
-    return missing.join(out.select(F.col("_key").alias(key), F.col("_mean").alias(value)), key, "left")

@@ -14,7 +14,7 @@ from .functions import features as X
 from .functions import geo as G
 from .functions import phases as P
 from .functions import statistics as S
-from .operators import folds, imputation, joins, physics, series, trajectory
+from .operators import folds, imputation, joins, nearest, physics, series, trajectory
 from .plans.tables import FLIGHTS, INTERVALS, TRACKS, flights, intervals, tracks
 from .streaming import events as stream
 
@@ -366,7 +366,7 @@ def grid_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     known = c.where("k % 10 <> 0").withColumn("v", F.col("x") * 2 + F.col("y"))
-    return joins.k_nearest_mean(c.where("k % 10 = 0"), known, "k", ["x", "y"], "v").select("k", r("v"))
+    return nearest.k_nearest_mean(c.where("k % 10 = 0"), known, "k", ["x", "y"], "v").select("k", r("v"))
 
 
 @query(f"""WITH p AS (SELECT o_orderkey AS idx, o_totalprice - 100 AS fuel_kg FROM orders WHERE o_orderkey % 3 <> 0) SELECT o_orderkey AS idx, {d("greatest(coalesce(p.fuel_kg, (SELECT median(fuel_kg) FROM p)), 0)", "fuel_kg")} FROM orders LEFT JOIN p ON o_orderkey = p.idx""")
