@@ -536,4 +536,4 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "user_id", "8 hours")
 
 
-from . import feature_queries, model_queries, profile_queries, rebuild_queries, stage_queries  # noqa: E402, F401  register more queries
+from . import driver_queries, feature_queries, model_queries, profile_queries, rebuild_queries, stage_queries  # noqa: E402, F401  register more queries

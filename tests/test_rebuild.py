@@ -111,3 +111,24 @@ def test_spikes_are_cleaned(spark):
     df = spark.createDataFrame(track("A", hole=(0, 0)), SCHEMA)
     out = rebuild.cleaned(df, "flight_id", "us", F.col("t"))
     assert max(r.altitude for r in out.collect() if r.altitude is not None) < 22000
+
+
+def test_interval_table_has_its_segments(spark):
+    """The composed table holds what its parts give on their own; intervals without readings stay."""
+    from flightloom import queries  # noqa: F401  the query modules are imported by it
+    from flightloom.plans import driver, profiles
+    from flightloom.plans.tables import intervals
+    from flightloom.profile_queries import BUCKET, _readings
+
+    data = "/root/testdata/sf0.001"
+    readings, every = _readings(spark, data).drop("kind"), intervals(spark, data)
+    empty = every.limit(1).withColumns({"idx": F.lit(-1).cast("long"), "i_start": F.lit(1).cast("long"), "i_end": F.lit(2).cast("long")})
+    out = driver.interval_table(readings, every.unionByName(empty), bucket=BUCKET, segments=3).select("idx", "tas_mean", "seg01_altitude_mean", "between_alt_trend", "flight_n_points")
+    got = {r.idx: r for r in out.collect()}
+    assert len(got) == every.count() + 1 and got[-1].tas_mean is None and got[-1].flight_n_points > 0
+    cut = trajectory.segments(every, "i_start", "i_end", n=3)
+    from flightloom.operators import joins
+
+    inside = joins.points_in_intervals(readings, cut, "flight_id", "t", "seg_start", "seg_end", bucket=BUCKET)
+    long = profiles.segment_profile(profiles.with_motion(inside, ["idx", "seg"]), ["idx", "seg"]).where("seg = 1").select("idx", "altitude_mean").collect()
+    assert long and all(got[r.idx].seg01_altitude_mean == r.altitude_mean for r in long)
