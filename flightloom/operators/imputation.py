@@ -100,5 +100,13 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
+def column_report(df: DataFrame, columns: list[str], most: float = 0.8) -> DataFrame:
+    """(column, share, sparse, constant): share of NULLs, whether it is above `most`, and whether at most one value occurs; one pass over the table."""
+    n = F.count(F.lit(1))
+    each = [F.struct(F.lit(c).alias("column"), (F.sum(F.col(c).isNull().cast("long")) / F.nullif(n, F.lit(0))).alias("share"), F.coalesce(F.min(c).eqNullSafe(F.max(c)), F.lit(True)).alias("constant")) for c in columns]
+    rows = df.agg(F.array(*each).alias("_r")).select(F.explode("_r").alias("r"))
+    return rows.select("r.column", "r.share", (F.col("r.share") > most).alias("sparse"), "r.constant")
+
+
 def null_negative(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in columns})

@@ -7,31 +7,30 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that are meant to be ranked in one task, and rows sampled for each of their bounds.
-PART_ROWS, SAMPLED = 100_000, 20
+from ..sources.staging import staged
+
+#: Rows that are meant to be ranked in one task.
+PART_ROWS = 100_000
 
 
 def ranked(df: DataFrame, order: list[Column], name: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Adds a number from 0 in the given order (ascending, without ties, NULLs first).
 
-    A sample gives bounds that cut the order into parts; the parts are counted,
-    and rows are numbered inside their part.  The bounds only decide how even the
-    parts are, not the numbers."""
-    parts = max(1, ceil(df.count() / part_rows))
+    Spark deals the rows out by ranges of the order, as for a sort; the parts are
+    written with their number, so that it is the same for who counts them and who
+    numbers rows inside them."""
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    parts = max(1, ceil(df.count() / part_rows))
     cut = df.withColumn("_key", key)
-    bounds = []
-    if parts > 1:
-        rows = sorted((r[0] for r in cut.select("_key").sample(min(1.0, SAMPLED / part_rows), seed=1).collect()), key=lambda r: [(x is not None, x) for x in r])
-        bounds = [rows[i * len(rows) // parts] for i in range(1, parts)] if rows else []
-    of = lambda r: F.struct(*[F.lit(x).alias(f"k{i}") for i, x in enumerate(r)])
-    part = F.size(F.filter(F.array(*[of(r) for r in bounds]), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    cut = cut.withColumn("_part", part)
+    if parts == 1:
+        # all rows fit into one task
+        return cut.withColumn(name, (F.row_number().over(Window.orderBy("_key")) - 1).cast("long")).drop("_key")
+    cut = staged(cut.repartitionByRange(parts, "_key").withColumn("_part", F.spark_partition_id()))
     counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row a part
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = cut.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_key", "_part", "_before", "_inside")
+    return inside.join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside") - 1).drop("_key", "_part", "_before", "_inside")
 
 
 def weighted_median(df: DataFrame, v: str, w: str, parts: int = 1000) -> DataFrame:

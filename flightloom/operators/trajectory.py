@@ -167,8 +167,9 @@ def kalman(df: DataFrame, entity: str, t_s: str, columns: list[str], noise: floa
                 x, p = x + k * (z[i] - x[0]), p - np.outer(k, p[0])
             xs[i], ps[i] = x, p
         for i in range(n - 2, -1, -1):
-            g = ps[i] @ fs[i + 1].T @ np.linalg.pinv(pp[i + 1])
-            xs[i] = xs[i] + g @ (xs[i + 1] - xp[i + 1])
+            (a, b), (_, c) = pp[i + 1]
+            inverse_of = np.array([[c, -b], [-b, a]]) / (a * c - b * b)
+            xs[i] = xs[i] + ps[i] @ fs[i + 1].T @ inverse_of @ (xs[i + 1] - xp[i + 1])
         return xs[:, 0]
 
     def run(track: pd.DataFrame) -> pd.DataFrame:

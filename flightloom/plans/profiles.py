@@ -40,8 +40,9 @@ def or_zero(aggregate: str) -> str:
 
 
 def statistics(c: str, name: str) -> dict[str, str]:
-    """min, max, mean, median, sample std, p10, p90, interquartile range."""
-    out = {"min": f"min({c})", "max": f"max({c})", "mean": f"avg({c})", "median": f"percentile({c}, 0.5)", "std": f"stddev_samp({c})", "p10": f"percentile({c}, 0.1)", "p90": f"percentile({c}, 0.9)", "iqr": f"percentile({c}, 0.75) - percentile({c}, 0.25)"}
+    """min, max, mean, median, sample std, p10, p90, interquartile range; all percentiles of a signal are one aggregate."""
+    p = [f"percentile({c}, array(0.1, 0.25, 0.5, 0.75, 0.9))[{k}]" for k in range(5)]
+    out = {"min": f"min({c})", "max": f"max({c})", "mean": f"avg({c})", "median": p[2], "std": f"stddev_samp({c})", "p10": p[0], "p90": p[4], "iqr": f"{p[3]} - {p[1]}"}
     return {f"{name}_{k}": v for k, v in out.items()}
 
 

@@ -25,6 +25,7 @@ BUCKET = 86_400
 
 def duck(s: str) -> str:
     """An expression as DuckDB writes it."""
+    s = re.sub(r"percentile\((.+?), array\(([^)]*)\)\)\[(\d)\]", lambda m: f"quantile_cont({m[1]}, {m[2].split(', ')[int(m[3])]})", s)
     s = re.sub(r"(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", s).replace("percentile(", "quantile_cont(").replace("min_by(", "arg_min_null(").replace("max_by(", "arg_max_null(").replace("power(", "pow(")
     return s
 

@@ -383,7 +383,7 @@ _SEG = f"{INTERVALS}, seg AS (SELECT idx, flight_id, s AS seg, i_start + s * ((i
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = trajectory.segments(intervals(spark, sf_dir), "i_start", "i_end")
-    return joins.points_in_intervals(tracks(spark, sf_dir), seg, "flight_id", "t", "seg_start", "seg_end").groupBy("idx", "seg").agg(F.avg("groundspeed").alias("gs"), F.avg("altitude").alias("alt"), F.count(F.lit(1)).alias("n"))
+    return joins.points_in_intervals(tracks(spark, sf_dir), seg, "flight_id", "t", "seg_start", "seg_end", bucket=86_400).groupBy("idx", "seg").agg(F.avg("groundspeed").alias("gs"), F.avg("altitude").alias("alt"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_SEG} SELECT idx, {', '.join(d(f'max(CASE WHEN seg = {s} THEN gs END)', f'seg{s:02d}_gs') for s in range(20))} FROM l GROUP BY idx")

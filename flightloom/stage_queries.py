@@ -143,6 +143,16 @@ def fill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("column", place.cast("long").alias("place"), way.alias("route"))
 
 
+_REPORT = ("altitude", "mach", "TAS", "CAS", "flow", "temp_k", "one")
+
+
+@query(f"""WITH {TRACKS}, a AS (SELECT *, CASE WHEN pid % 9 = 0 THEN 1.0::DOUBLE END AS one FROM tracks) {" UNION ALL ".join(f"SELECT '{c}' AS " + '"column"' + f", {d(f'avg(({c} IS NULL)::INT::DOUBLE)', 'share')}, avg(({c} IS NULL)::INT::DOUBLE) > 0.8 AS sparse, min({c}) IS NOT DISTINCT FROM max({c}) AS constant FROM a" for c in _REPORT)}""")
+def column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are mostly missing or hold one value only, as they are dropped before training."""
+    t = tracks(spark, sf_dir).withColumn("one", F.expr("CASE WHEN pid % 9 = 0 THEN 1.0D END"))
+    return imputation.column_report(t, list(_REPORT)).select("column", r("share"), "sparse", "constant")
+
+
 @query(f"""WITH {INTERVALS}, g AS (SELECT idx, i_start // 86400 AS day, CASE WHEN idx % 3 <> 0 THEN idx * 1.5::DOUBLE END AS v, flight_id, i_start FROM intervals), f AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM g WINDOW w AS (PARTITION BY flight_id ORDER BY i_start, idx)) SELECT idx, day, {d("coalesce(v, (coalesce(a, b) + coalesce(b, a)) / 2)", "v")}, CASE WHEN v - 500 >= 0 THEN 1 ELSE 0 END AS positive FROM f""")
 def neighbour_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing segments from those beside them, negative values as missing, days that the rows fall on."""
