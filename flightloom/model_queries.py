@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import features as X
 from .functions import phases as P
 from .operators import models, physics, trees
+from .plans import prediction
 from .plans.tables import FLIGHTS, TRACKS, flights, tracks
 from .queries import d, query, r
 
@@ -84,6 +85,30 @@ def imputed_in_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("truth")
 
 
+def _fuel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuel of an order's lines: what burns is the price, its physics the quantity."""
+    rows = _orders(spark, sf_dir)
+    return rows.withColumns({"fuel": F.when(F.col("o_orderkey") % 4 != 0, F.col("price") / 1000), "mass": F.col("lines") * 40, "base": F.col("lines") * 38, "group": F.col("o_orderkey") % 97})
+
+
+#: Few trees, so that the query is quick; the plan's own learners have more.
+_QUICK = {"broad": {"depth": 2, "rate": 0.6, "bins": 16}, "deep": {"depth": 3, "rate": 0.5, "bins": 32}}
+
+
+@query()
+def fuel_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuel of every order by two learners in three folds, their mean, corrected and blended; what has no fuel is predicted by all folds."""
+    rows, _, _ = prediction.predicted_fuel(_fuel_rows(spark, sf_dir), "group", ORDER_FEATURES, "fuel", "mass", "base", "o_orderkey", F.lit(True), k=3, threshold=180.0, learners=_QUICK, trees=4, patience=2)
+    return rows.select("o_orderkey", "fold", "fuel", "broad", "deep", "ensemble", "corrected", "blended")
+
+
+@query()
+def fuel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of each learner in each fold."""
+    _, errors, _ = prediction.predicted_fuel(_fuel_rows(spark, sf_dir), "group", ORDER_FEATURES, "fuel", "mass", "base", "o_orderkey", F.lit(True), k=3, threshold=180.0, learners=_QUICK, trees=4, patience=2)
+    return errors
+
+
 _FLOWN = f"""f AS (SELECT flight_id, avg(flow) AS a, avg(TAS) * 4 AS o, count(*) AS n, max(t) - min(t) AS seconds, avg(TAS) FILTER (altitude > 5000) AS cruise_tas, avg((altitude > 5000)::INT::DOUBLE) AS cruise_share, avg((vertical_rate > 500)::INT::DOUBLE) AS climb FROM tracks GROUP BY flight_id)"""
 
 
