@@ -66,7 +66,9 @@ def error_statistics(df: DataFrame, actual: str, predicted: str, by: list[str])
     e, a = F.col(predicted) - F.col(actual), F.col(actual)
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     large = F.abs(e / F.nullif(a, F.lit(0.0))) > 0.2
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_error"), F.median(e).alias("median_error"), F.stddev_samp(e).alias("std_error"), F.avg(F.abs(e)).alias("mae"), share(e > 0).alias("over"), share(e < 0).alias("under"), share(large).alias("large"), F.avg(a).alias("mean_actual"), F.min(a).alias("min_actual"), F.max(a).alias("max_actual"))
+    rest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean_error"), F.stddev_samp(e).alias("std_error"), F.avg(F.abs(e)).alias("mae"), share(e > 0).alias("over"), share(e < 0).alias("under"), share(large).alias("large"), F.avg(a).alias("mean_actual"), F.min(a).alias("min_actual"), F.max(a).alias("max_actual"))
+    middle = quantiles.by_group(df.withColumn("_e", e), by, "_e", [0.5], ["median_error"])
+    return rest.join(middle, [rest[c].eqNullSafe(middle[c]) for c in by]).select(rest["*"], "median_error")
 
 
 def quantile_bin(df: DataFrame, c: str, name: str, q: int = 5) -> DataFrame:

@@ -75,9 +75,9 @@ def cascade(df: DataFrame, c: str, keys: list[list[str]]) -> DataFrame:
     """coalesce over medians by each list of keys, then the table's median."""
     out = df
     for n, k in enumerate(keys):
-        # an aggregation keeps counts of distinct values; a window would hold every row of a group
-        found = df.groupBy(*k).agg(F.percentile(c, F.lit(0.5)).alias(f"_m{n}"))
-        out = out.join(found.select(*[F.col(x).alias(f"_k{n}_{x}") for x in k], f"_m{n}"), [out[x].eqNullSafe(F.col(f"_k{n}_{x}")) for x in k], "left").drop(*[f"_k{n}_{x}" for x in k])
+        found = quantiles.by_group(df, k, c, [0.5], [f"_m{n}"])
+        found = found.select(*[F.col(x).alias(f"_k{n}_{x}") for x in k], f"_m{n}")
+        out = out.join(found, [out[x].eqNullSafe(F.col(f"_k{n}_{x}")) for x in k], "left").drop(*[f"_k{n}_{x}" for x in k])
     filled = out.withColumn(c, F.coalesce(F.col(c), *[f"_m{n}" for n in range(len(keys))])).drop(*[f"_m{n}" for n in range(len(keys))])
     return medians(filled, [c])
 
@@ -108,5 +108,11 @@ def column_report(df: DataFrame, columns: list[str], most: float = 0.8) -> DataF
     return rows.select("r.column", "r.share", (F.col("r.share") > most).alias("sparse"), "r.constant")
 
 
+def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean, rmse, n): mean of each column and the root of the mean square from it, as imputed features are reported."""
+    each = [F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("rmse"), F.count(c).alias("n")) for c in columns]
+    return df.agg(F.array(*each).alias("_r")).select(F.explode("_r").alias("r")).select("r.*").where("n > 0")
+
+
 def null_negative(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in columns})

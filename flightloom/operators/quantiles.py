@@ -11,9 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Values of a bracket that one aggregation buffer may hold.
 FEW = 20_000
 #: Accuracy of the approximate percentiles.
@@ -110,3 +112,39 @@ def _gather(df: DataFrame, todo: list[Bracket]) -> None:
     row = df.agg(*[F.sort_array(F.collect_list(F.when(b.rows(), F.col(b.column))))[b.rank - b.before].alias(f"v{k}") for k, b in enumerate(todo)]).first()
     for k, b in enumerate(todo):
         b.value = row[f"v{k}"]
+
+
+#: Distinct values that one task may sort.
+PART_ROWS = 200_000
+
+
+def by_group(df: DataFrame, keys: list[str], column: str, qs: list[float], names: list[str]) -> DataFrame:
+    """(keys, names): exact percentiles of each group (NULL is a key of its own), interpolated as `percentile` does; NULL for groups without a value.
+
+    Values are counted first, so that ties cost nothing; the counts are dealt out by
+    ranges of group and value, and a group of any size lies in as many tasks as it
+    needs.  What lies before a part of a group is a small table."""
+    weights = df.groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(column).alias("_n"))
+    parts = -(-weights.count() // PART_ROWS)
+    if parts > 1:
+        weights = staged(weights.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()))
+    else:
+        weights = weights.withColumn("_part", F.lit(0))
+    sums = weights.groupBy(*keys, "_part").agg(F.sum("_n").alias("_here"))
+    group = Window.partitionBy(*keys)
+    # a row for each task that a group lies in
+    sums = sums.withColumns({"_before": F.sum("_here").over(group.orderBy("_part")) - F.col("_here"), "_all": F.sum("_here").over(group)})
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    ranked = weights.where("_n > 0").withColumn("_inside", inside)
+    same = [ranked[k].eqNullSafe(sums[k]) for k in keys] + [ranked["_part"] == sums["_part"]]
+    upto = ranked.join(sums, same).select(*[ranked[k].alias(k) for k in keys], "_v", (F.col("_before") + F.col("_inside")).alias("_upto"), "_all")
+    columns = []
+    for k, q in enumerate(qs):
+        at = (F.col("_all") - 1) * F.lit(float(q))
+        low = F.floor(at)
+        first, second = (F.min(F.when(F.col("_upto") > x, F.col("_v"))) for x in (low, F.least(low + 1, F.col("_all") - 1)))
+        share = F.max(at - low)
+        columns.append(F.when(first == second, first).otherwise(first * (1 - share) + second * share).alias(names[k]))
+    found = upto.groupBy(*keys).agg(*columns)
+    every = df.select(*keys).distinct()
+    return every.join(found, [every[k].eqNullSafe(found[k]) for k in keys], "left").select(*[every[k] for k in keys], *names)

@@ -143,6 +143,12 @@ def fill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("column", place.cast("long").alias("place"), way.alias("route"))
 
 
+@query(f"""WITH {TRACKS} {" UNION ALL ".join(f"SELECT '{c}' AS feature, {d(f'avg({c})', 'mean')}, {d(f'stddev_pop({c})', 'rmse')}, count({c}) AS n FROM tracks" for c in ("altitude", "mach", "TAS", "flow"))}""")
+def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of each feature and how far its values lie from it, as reported after imputation."""
+    return imputation.feature_statistics(tracks(spark, sf_dir), ["altitude", "mach", "TAS", "flow"]).select("feature", r("mean"), r("rmse"), "n")
+
+
 _REPORT = ("altitude", "mach", "TAS", "CAS", "flow", "temp_k", "one")
 
 

@@ -38,3 +38,19 @@ def test_wrong_guesses_are_mended(spark, monkeypatch):
         if b.value is None:
             quantiles._gather(df, [b])
         assert b.value == sorted(float(i % 97) for i in range(3000))[1500]
+
+
+@pytest.mark.parametrize("part", [200_000, 40])
+def test_percentiles_by_group(spark, monkeypatch, part):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quantiles, "PART_ROWS", part)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, None]), rng.choice([None, 2.0, rng.gauss(0, 1)])) for _ in range(900)] + [("none", 1, None), ("one", 1, 4.0)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(4)
+    want = {(r.k, r.j): tuple(r)[2:] for r in df.groupBy("k", "j").agg(*[F.percentile("v", F.lit(q)).alias(f"p{i}") for i, q in enumerate(QS)]).collect()}
+    got = {(r.k, r.j): tuple(r)[2:] for r in quantiles.by_group(df, ["k", "j"], "v", QS, [f"p{i}" for i in range(len(QS))]).collect()}
+    assert set(got) == set(want)
+    for key, values in want.items():
+        assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(got[key], values, strict=True)), key
+    assert quantiles.by_group(df.limit(0), ["k"], "v", [0.5], ["m"]).count() == 0
