@@ -51,6 +51,8 @@ class PieceModel:
         self.control = {i for i in range(len(self.pieces)) if sp.is_control(i) or sp.is_unknown(i)}
         byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in byte.items()}
+        #: What pieces that are neither control ids nor bytes decode to.
+        self.plain = {i: p.replace(SPACE, " ") for i, p in enumerate(self.pieces) if i not in self.control and i not in self.byte_of}
         self.bytes = byte
         normal = [i for i in range(len(self.pieces)) if i not in self.control and i not in self.byte_of]
         if any(sp.is_unused(i) for i in normal) or len(byte) != 256:
@@ -63,6 +65,7 @@ class PieceModel:
         # characters that pieces hold but that are no piece themselves are numbered after the vocabulary
         self.extra = [c for c in sorted(chars) if c not in self.ids]
         self.names = self.pieces + self.extra
+        self.lengths = [len(n) for n in self.names]
         tokens = dict(self.ids) | {c: len(self.pieces) + k for k, c in enumerate(self.extra)}
         self.automaton = ahocorasick.Automaton()
         self._spines: dict[int, tuple[list, list]] = {}
@@ -162,18 +165,25 @@ class PieceModel:
     def _run(self, text: str) -> list[int]:
         """Ids of a text of known characters, recovered from the end of its prefix table."""
         last, j, out = self.prefix_table(text), len(text), []
+        lengths, known = self.lengths, len(self.pieces)
         while j > 0:
             token = last[j]
-            name = self.names[token]
-            if token < len(self.pieces):
+            if token < known:
                 out.append(token)
             else:
-                out.extend(self.bytes[b] for b in reversed(name.encode()))
-            j -= len(name)
-        return out[::-1]
+                out.extend(self.bytes[b] for b in reversed(self.names[token].encode()))
+            j -= lengths[token]
+        out.reverse()
+        return out
 
     def _encoded(self, cut: str) -> tuple[bytes, str]:
-        """Encodes a cut in parts that no merge can join: foreign characters, and runs that pieces can span."""
+        """Encodes a cut, one with foreign characters in parts that no merge can join."""
+        if self.chars.issuperset(cut):
+            # no merge crosses what no piece spans, so the table of the whole cut has the same pieces
+            ids = self._run(cut)
+            value = array("i", ids).tobytes(), self._text(ids)
+            self._keep(cut, value)
+            return value
         coded, texts = [], []
         chars, beside, kept = self.chars, self.beside, self._kept
         lo, n = 0, len(cut)
@@ -217,6 +227,11 @@ class PieceModel:
         return b"".join([x[0] for x in out] + [np.array([self.eos], dtype=np.int32).tobytes()]), decoded[1:]
 
     def _text(self, ids: list[int]) -> str:
+        plain = self.plain
+        try:
+            return "".join([plain[i] for i in ids])
+        except KeyError:
+            pass
         out: list[str] = []
         held = bytearray()
         for i in ids:
