@@ -32,7 +32,7 @@ from .shared import small_batches, table
 SPACE = "▁"
 
 #: Cuts whose encodings a Python worker keeps, and the longest cut that is kept.
-KEPT_CUTS, KEPT_CHARS = 100_000, 48
+KEPT_CUTS, KEPT_CHARS = 400_000, 48
 
 #: Pairs whose compatibility is kept, about 60 MB; beyond that the table starts anew.
 KEPT_PAIRS = 500_000
@@ -44,7 +44,8 @@ class PieceModel:
     Models with user-defined or unused pieces, or with a normaliser that changes
     texts, are refused: they need more rules than merges."""
 
-    def __init__(self, proto: bytes):
+    def __init__(self, proto: bytes, most_kept: int = KEPT_CUTS):
+        self.most_kept = most_kept
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.eos, self.unk = sp.eos_id(), sp.unk_id()
@@ -177,13 +178,7 @@ class PieceModel:
         return out
 
     def _encoded(self, cut: str) -> tuple[bytes, str]:
-        """Encodes a cut, one with foreign characters in parts that no merge can join."""
-        if self.chars.issuperset(cut):
-            # no merge crosses what no piece spans, so the table of the whole cut has the same pieces
-            ids = self._run(cut)
-            value = array("i", ids).tobytes(), self._text(ids)
-            self._keep(cut, value)
-            return value
+        """Encodes a cut in parts that no merge can join: foreign characters, and runs that pieces can span."""
         coded, texts = [], []
         chars, beside, kept = self.chars, self.beside, self._kept
         lo, n = 0, len(cut)
@@ -212,7 +207,7 @@ class PieceModel:
 
     def _keep(self, cut: str, value: tuple[bytes, str]) -> None:
         if len(cut) <= KEPT_CHARS:
-            if len(self._kept) >= KEPT_CUTS:
+            if len(self._kept) >= self.most_kept:
                 self._kept.clear()
             self._kept[cut] = value
 
@@ -273,18 +268,18 @@ def _utf8(held: bytearray) -> str:
     return "".join(out)
 
 
-_models: dict[bytes, PieceModel] = {}
+_models: dict[tuple[bytes, int], PieceModel] = {}
 
 
-def piece_model(proto: bytes) -> PieceModel:
+def piece_model(proto: bytes, most_kept: int = KEPT_CUTS) -> PieceModel:
     """One model a Python worker, with what it has kept."""
-    if proto not in _models:
+    if (proto, most_kept) not in _models:
         _models.clear()
-        _models[proto] = PieceModel(proto)
-    return _models[proto]
+        _models[proto, most_kept] = PieceModel(proto, most_kept)
+    return _models[proto, most_kept]
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_kept: int = KEPT_CUTS) -> DataFrame:
     """(id, ids, decoded): ids with an end id, and the text that they decode to.
 
     With `keep` those columns of `docs` come in place of the id.
@@ -292,13 +287,15 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     One row for each row of `docs`; a null or empty text has the end id alone.
     Ids may be null or repeat; an empty table gives an empty result; other
     columns are not looked at.  The model file is read once, on the driver, and
-    sent to the executors (its size does not depend on the data)."""
+    sent to the executors (its size does not depend on the data).  most_kept: cuts
+    whose encoding a Python worker keeps, about 250 bytes each; results do not
+    depend on it."""
     small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         proto = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(proto.value)
+        model = piece_model(proto.value, most_kept)
         for batch in batches:
             at, last = 0, batch.num_columns - 1
             while at < batch.num_rows:
