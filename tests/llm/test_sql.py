@@ -7,7 +7,8 @@ from flightloom.llm import queries
 
 def test_against_sql(spark):
     con = duckdb.connect()
-    con.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.01/documents.parquet'")
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS FROM '/root/testdata/sf0.01/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
         columns = sorted(df.columns)
