@@ -71,9 +71,13 @@ def test_tokens(docs, texts):
 
 
 def test_language_and_personal_data(spark):
-    model = language_id.train(spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * 20, "en" if i % 2 else "fr") for i in range(60)], "doc_id long, text string, lang string"))
-    long = spark.createDataFrame([(1, "the cat and the dog " * 70_000), (2, "le chat et le chien " * 70_000)], "doc_id long, text string")
-    assert {r.doc_id: r.lang_pred for r in language_id.predict(long, model).collect()} == {1: "en", 2: "fr"}
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(table.where(~language_id.held_out("doc_id")), docs_per_lang=200)
+    one = table.where("n_chars between 1000 and 4000").groupBy("lang").agg(F.min_by("text", "doc_id").alias("text"))
+    long = one.select("lang", F.expr("repeat(text, cast(1200000 / length(text) as int))").alias("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    assert all(len(r.text) > 1_000_000 for r in long.collect())
+    found = language_id.predict(long, model, keep=["lang"]).collect()
+    assert len(found) == 4 and all(r.lang == r.lang_pred for r in found)
     hidden = long.withColumn("text", F.concat("text", F.lit("card 4041894974608795 end")))
     made = pii.pseudonymise(hidden, "k", count_col="n")
     assert all(r.n == 1 and "4041894974608795" not in r.text for r in made.collect())
