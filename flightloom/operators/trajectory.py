@@ -5,7 +5,7 @@ from __future__ import annotations
 from math import exp
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from ..functions.geo import haversine, interpolate_angle, interpolate_position,
 from ..functions.geodesy import direct, inverse
 from ..functions.phases import CLAMPS, flight_phase, gap_phase
 from .series import by
+from .tracks import Steps, floats, replaced, whole
 
 
 # Slowest and fastest climb of a synthesised stretch, 2 and 12 m/s in ft/min.
@@ -146,40 +147,51 @@ def smooth_at_gaps(df: DataFrame, entity: str, t_s: str, sigmas: dict[str, float
 def kalman(df: DataFrame, entity: str, t_s: str, columns: list[str], noise: float = 1.0, reading: float = 25.0, reject: float = 3.0) -> DataFrame:
     """Constant-velocity Kalman smoother (forward filter, backward pass) for each column; readings beyond `reject` sigmas are skipped.
 
-    A truly sequential computation: one grouped task an entity, whose track it must hold."""
-    schema = df.schema
-
-    def smooth(z: np.ndarray, t: np.ndarray) -> np.ndarray:
-        n = len(z)
-        seen = np.flatnonzero(~np.isnan(z))
-        if len(seen) < 2:
-            return z
-        x, p = np.array([z[seen[0]], 0.0]), np.diag([reading, 100.0])
-        xs, ps, xp, pp, fs = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2, 2))
-        for i in range(n):
-            dt = t[i] - t[i - 1] if i else 0.0
-            f = np.array([[1.0, dt], [0.0, 1.0]])
-            x, p = f @ x, f @ p @ f.T + noise * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-            xp[i], pp[i], fs[i] = x, p, f
-            s = p[0, 0] + reading
-            if not np.isnan(z[i]) and abs(z[i] - x[0]) <= reject * np.sqrt(s):
-                k = p[:, 0] / s
-                x, p = x + k * (z[i] - x[0]), p - np.outer(k, p[0])
-            xs[i], ps[i] = x, p
-        for i in range(n - 2, -1, -1):
-            (a, b), (_, c) = pp[i + 1]
-            inverse_of = np.array([[c, -b], [-b, a]]) / (a * c - b * b)
-            xs[i] = xs[i] + ps[i] @ fs[i + 1].T @ inverse_of @ (xs[i + 1] - xp[i + 1])
-        return xs[:, 0]
-
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values(t_s, kind="stable").reset_index(drop=True)
-        t = track[t_s].to_numpy(dtype=float)
+    A truly sequential computation along a track; a task goes through many tracks side by side."""
+
+    def smooth(z: np.ndarray, t: np.ndarray, start: np.ndarray) -> np.ndarray:
+        n = np.add.reduceat((~np.isnan(z)).astype(int), start)
+        steps = Steps(start, len(z))
+        kept, z, t = z, z[steps.order], t[steps.order]
+        # the covariance of a track is (a, b; b, c)
+        x, v = np.zeros(len(start)), np.zeros(len(start))
+        a, b, c = np.full(len(start), reading), np.zeros(len(start)), np.full(len(start), 100.0)
+        for i in range(steps.n - 1, -1, -1):
+            first = z[steps[i]]
+            x[: len(first)] = np.where(np.isnan(first), x[: len(first)], first)
+        ahead, now = np.zeros((5, len(z))), np.zeros((5, len(z)))
+        for i in range(steps.n):
+            rows = steps[i]
+            wide = rows.stop - rows.start
+            x, v, a, b, c = (k[:wide] for k in (x, v, a, b, c))
+            dt = t[rows] - t[steps[i - 1]][:wide] if i else np.zeros(wide)
+            x, a, b, c = x + dt * v, a + 2 * dt * b + dt**2 * c + noise * dt**3 / 3, b + dt * c + noise * dt**2 / 2, c + noise * dt
+            ahead[:, rows] = x, v, a, b, c
+            off, s = z[rows] - x, a + reading
+            counts = np.abs(off) <= reject * np.sqrt(s)
+            k, l, off = np.where(counts, a / s, 0.0), np.where(counts, b / s, 0.0), np.where(counts, off, 0.0)
+            x, v, a, b, c = x + k * off, v + l * off, a - k * a, b - k * b, c - l * b
+            now[:, rows] = x, v, a, b, c
+        for i in range(steps.n - 2, -1, -1):
+            after = steps[i + 1]
+            rows = slice(steps[i].start, steps[i].start + after.stop - after.start)
+            xp, vp, ap, bp, cp = ahead[:, after]
+            dx, dv, det = now[0, after] - xp, now[1, after] - vp, ap * cp - bp * bp
+            f, g = (cp * dx - bp * dv) / det, (ap * dv - bp * dx) / det
+            g = g + (t[after] - t[rows]) * f
+            now[0, rows] += now[2, rows] * f + now[3, rows] * g
+            now[1, rows] += now[3, rows] * f + now[4, rows] * g
+        out = np.empty_like(kept)
+        out[steps.order] = now[0]
+        return np.where(np.repeat(n < 2, np.diff(np.append(start, len(kept)))), kept, out)
+
+    def run(rows: pa.Table, start: np.ndarray) -> pa.Table:
+        t = floats(rows, t_s)
         for c in columns:
-            track[c] = smooth(track[c].to_numpy(dtype=float), t)
-        return track
+            rows = replaced(rows, c, smooth(floats(rows, c), t, start))
+        return rows
 
-    return df.groupBy(entity).applyInPandas(run, schema)
+    return whole(df, entity, t_s, run, df.schema)
 
 
 def segments(intervals: DataFrame, start: str, end: str, n: int = 20) -> DataFrame:
