@@ -91,7 +91,7 @@ _FUEL = f"{_IN}, a AS (SELECT idx, flow, t, (flow + lag(flow) OVER w) / 2 * (t -
 
 
 def _fuel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kg = physics.trapezoid(_inside(spark, sf_dir), ["idx"], "t", "flow").withColumn("flight_id", F.expr("idx div 8"))
+    kg = physics.trapezoid(_inside(spark, sf_dir), ["idx"], "t", "flow", "us").withColumn("flight_id", F.expr("idx div 8"))
     return kg.withColumns({"typ": F.concat(F.lit("T"), (F.col("flight_id") % 7).cast("string")), "actual": F.col("kg") * (1.1 + F.col("idx") % 5 / 100)})
 
 

@@ -48,9 +48,11 @@ def mass_recursion(df: DataFrame, entity: str, order: str, tow: str, flow_of_mas
     return folded.select(entity, F.explode("_o").alias("_r")).select(entity, f"_r.{order}", "_r.mass", "_r.flow")
 
 
-def trapezoid(df: DataFrame, keys: list[str], t_s: str, flow_kg_h: str) -> DataFrame:
-    """(keys, kg): time integral, at least 0; fewer than two points or any missing flow give 0."""
-    w = Window.partitionBy(*keys).orderBy(t_s)
+def trapezoid(df: DataFrame, keys: list[str], t_s: str, flow_kg_h: str, *then: str) -> DataFrame:
+    """(keys, kg): time integral, at least 0; fewer than two points or any missing flow give 0.
+
+    then: columns that order readings of one time."""
+    w = Window.partitionBy(*keys).orderBy(t_s, *then)
     area = (F.col(flow_kg_h) + F.lag(flow_kg_h).over(w)) / 2 * (F.col(t_s) - F.lag(t_s).over(w)) / 3600
     total = df.withColumn("_a", area).groupBy(*keys).agg(F.sum("_a").alias("_s"), F.count(flow_kg_h).alias("_n"), F.count(F.lit(1)).alias("_all"))
     return total.select(*keys, F.when((F.col("_n") < F.col("_all")) | (F.col("_all") < 2), 0.0).otherwise(F.greatest(F.coalesce("_s", F.lit(0.0)), F.lit(0.0))).alias("kg"))
