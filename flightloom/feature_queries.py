@@ -82,8 +82,8 @@ def station_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks(spark, sf_dir)
     spans = t.groupBy("flight_id").agg(F.min("t").alias("departure"), F.max("t").alias("arrival"))
     f = flights(spark, sf_dir).join(spans, "flight_id").select("flight_id", "origin", "destination", "departure", "arrival")
-    reports = t.select(F.expr("cast(flight_id % 25 as int)").alias("station"), F.col("t").alias("valid"), "temp_k", "u")
-    out = features.station_features(f, reports, ["temp_k", "u"], "flight_id")
+    reports = t.select(F.expr("cast(flight_id % 25 as int)").alias("station"), F.col("t").alias("valid"), (-F.col("pid")).alias("later"), "temp_k", "u")
+    out = features.station_features(f, reports, ["temp_k", "u"], "flight_id", first="later")
     return out.select("flight_id", r("origin_temp_k"), r("destination_u"), r("diff_temp_k"), r("diff_u"))
 
 

@@ -23,13 +23,16 @@ def with_pseudo_intervals(intervals: DataFrame, entity: str, start: str, end: st
     return intervals.withColumn("kind", F.lit("real")).unionByName(extra[0]).unionByName(extra[1])
 
 
-def station_features(flights: DataFrame, reports: DataFrame, fields: list[str], key: str, within: int = 7200) -> DataFrame:
+def station_features(flights: DataFrame, reports: DataFrame, fields: list[str], key: str, within: int = 7200, first: str | None = None) -> DataFrame:
     """Fields of the reports nearest to departure and arrival, 0 where a station has none, and their differences.
 
-    flights: key, origin, destination, departure, arrival; reports: station, valid, fields."""
+    flights: key, origin, destination, departure, arrival; reports: station, valid, fields.
+    first: a column of the reports; of those equally near the earlier one counts, of one time the one with its least value."""
+    order = F.struct("valid", first) if first else F.col("valid")
+    told = reports.select("station", "valid", *fields, order.alias("_order"))
     out = flights
     for side, place, t in (("origin", "origin", "departure"), ("destination", "destination", "arrival")):
         asked = flights.select(key, F.col(place).alias("station"), F.col(t).alias("_t"))
-        near = joins.nearest_in_time(asked, reports.select("station", "valid", *fields), "station", "_t", "valid", within, [key], "valid")
+        near = joins.nearest_in_time(asked, told, "station", "_t", "valid", within, [key], "_order")
         out = out.join(near.select(key, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{side}_{c}") for c in fields]), key, "left")
     return out.withColumns({f"diff_{c}": F.col(f"destination_{c}") - F.col(f"origin_{c}") for c in fields})
