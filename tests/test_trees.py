@@ -134,3 +134,30 @@ def test_odd_tables(spark):
     assert all(abs(r.prediction_y - mean) < 1e-9 for r in trees.predict(df.withColumn("a", F.lit(1.0)), flat).collect())
     other = trees.predict(df.withColumn("kind", F.lit("new")), trees.boost(df, ["a"], ["y"], "kind", trees=1, least=1))
     assert other.where("prediction_y is not null").count() == 0
+
+
+def test_partial_dependence_and_mean(spark):
+    """Counted by bins as predicted row by row; the mean of all groups' models as one after the other."""
+    df = frame(spark, table())
+    model = trees.boost(df, ["a", "b", "c"], ["y"], "kind", trees=3, depth=3, rate=0.5, bins=10, least=5)
+    values = [-1, 0, 2, 5]
+    got = {r.step: r.prediction_y for r in trees.partial_dependence(df, model, "b", values).collect()}
+    for v in values:
+        each = trees.predict(df.withColumn("b", F.lit(float(v))), model).agg(F.avg("prediction_y").alias("m")).first().m
+        assert abs(got[v] - each) < 1e-9
+    mean = {r.id: r.m for r in trees.predict_mean(df, model, ["m"]).collect()}
+    alone = [{r.id: r.prediction_y for r in trees.predict(df.withColumn("kind", F.lit(g)), model).collect()} for g in model.groups]
+    assert all(abs(m - sum(a[i] for a in alone) / len(alone)) < 1e-9 for i, m in mean.items())
+
+
+def test_a_level_is_one_pass(spark):
+    """Sums and validation errors come from one run over the rows."""
+    import numpy as np
+
+    made = spark.range(40).mapInArrow(lambda batches: batches, "id long").selectExpr("0 model", "0 node", "int(id % 2) - 1 feature", "int(id div 4) * int(id % 2) bin", "30D n", "double(id) g", "1D e")
+    sums = made.repartition("model", "node", "feature").groupBy("model", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "g", "e")])
+    low = np.full((1, 7), -np.inf)
+    found = trees._splits(sums, 20, 1.0, np.zeros(1, dtype=np.int64), low, -low)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r.feature: r for r in found.collect()}
+    assert set(rows) == {-1, 0} and rows[-1].nl == 600 and rows[-1].gr == 20
