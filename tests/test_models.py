@@ -48,3 +48,16 @@ def test_extract_and_multipliers(spark):
     assert got == {("k0", 2.0), ("k1", 4.0), ("k2", 6.0), ("rare", 1.0), (None, 1.0)}
     assert models.top_features(df.withColumn("noise", F.lit(1.0)), ["noise", "guess"], "actual", 1, "entity", trees=2, depth=2) == ["guess"]
     assert models.monotone_of(["x_climb_time_sec", "gs"]) == {"x_climb_time_sec": 1}
+
+
+def test_training_rows_by_first_digits(spark, monkeypatch):
+    """The same entities as the smallest hashes of each type, whatever number of digits is counted first."""
+    import hashlib
+
+    df = spark.range(3000).select((F.col("id") % 1500).alias("entity"), F.when(F.col("id") % 7 > 1, "many").otherwise("few").alias("kind"))
+    pairs = {(r.kind, r.entity) for r in df.collect()}
+    order = sorted(pairs, key=lambda p: (hashlib.md5(f"{p[1]}|42".encode()).hexdigest(), p[1]))
+    want = {p for kind in ("many", "few") for p in [p for p in order if p[0] == kind][:40]}
+    for digits in (1, 4):
+        monkeypatch.setattr(models, "HASH_DIGITS", digits)
+        assert {(r.kind, r.entity) for r in models.training_rows(df, "kind", "entity", 40).collect()} == want
