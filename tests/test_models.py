@@ -61,3 +61,11 @@ def test_training_rows_by_first_digits(spark, monkeypatch):
     for digits in (1, 4):
         monkeypatch.setattr(models, "HASH_DIGITS", digits)
         assert {(r.kind, r.entity) for r in models.training_rows(df, "kind", "entity", 40).collect()} == want
+
+
+def test_most_gained(spark):
+    """The best features come from a model that is there, without a second training."""
+    from types import SimpleNamespace
+
+    gains = {("", "y", "b"): 2.0, ("x", "y", "b"): 1.0, ("", "y", "a"): 2.5}
+    assert models.most_gained(SimpleNamespace(features=["a", "b", "c"], gains=gains), 2) == ["b", "a"]
