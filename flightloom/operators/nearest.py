@@ -9,11 +9,12 @@ blocks, so one that many rows fall into is many tasks.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from fractions import Fraction
+from math import ceil, frexp, isfinite, ldexp, log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
@@ -50,6 +51,45 @@ class Cuts:
         return at - 2**self.depth
 
 
+def _exact_sums(rows: DataFrame, terms: dict[str, tuple[Column, float]], n: int) -> dict[str, Fraction]:
+    """Sums of n rows of doubles ({name: (term, bound of its absolute value)}) that do not depend on how rows are dealt.
+
+    A term is cut into two multiples of powers of two, so coarse that a double holds
+    all their partial sums exactly; what is left is below 2 ** -60 of the bound."""
+
+    def grid(top: float) -> float:
+        return ldexp(1.0, max(frexp(top)[1] + n.bit_length() - 53, -1000))
+
+    parts = []
+    for name, (x, top) in terms.items():
+        coarse = grid(top)
+        fine = grid(coarse)
+        high = F.rint(x / F.lit(coarse)) * F.lit(coarse)
+        parts += [F.sum(high).alias(f"h_{name}"), F.sum(F.rint((x - high) / F.lit(fine)) * F.lit(fine)).alias(f"l_{name}")]
+    sums = rows.agg(*parts).first()
+    return {name: Fraction(sums[f"h_{name}"]) + Fraction(sums[f"l_{name}"]) for name in terms}
+
+
+def _moments(rows: DataFrame, features: list[str]) -> tuple[int, dict[str, tuple[float, float]]]:
+    """The number of rows, and each feature's mean and standard deviation, the same however rows are dealt.
+
+    Their last bits decide between rows that are equally far on paper."""
+    x = {c: F.col(c).cast("double") for c in features}
+    first = rows.agg(*[F.max(F.abs(v)).alias(f"t_{c}") for c, v in x.items()], *[f(v).alias(f"{n}_{c}") for c, v in x.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).first()
+    n, tops = first["n"], {c: first[f"t_{c}"] for c in features}
+    if not n:
+        return 0, {}
+    found = {c: (first[f"m_{c}"], first[f"s_{c}"]) for c in features}
+    # where squares leave the range of doubles, or values are not finite, the plain ones stay
+    plain = [c for c in features if isfinite(tops[c]) and tops[c] < 1e150]
+    if plain:
+        mean = {c: float(s / n) for c, s in _exact_sums(rows, {c: (x[c], tops[c]) for c in plain}, n).items()}
+        off = {c: x[c] - F.lit(mean[c]) for c in plain}
+        squares = _exact_sums(rows, {c: (off[c] * off[c], (tops[c] + abs(mean[c])) ** 2) for c in plain}, n)
+        found |= {c: (mean[c], float(squares[c] / n) ** 0.5) for c in plain}
+    return n, found
+
+
 def _to_boxes(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Distances of points to boxes."""
     out = np.zeros((len(points), len(low)))
@@ -106,15 +146,15 @@ def k_nearest_mean(missing: DataFrame, known: DataFrame, key: str, features: lis
     usable = known.where(F.col(value).isNotNull())
     for c in features:
         usable = usable.where(F.col(c).isNotNull())
-    stats = usable.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).first()
-    if not stats["n"]:
+    n_known, moments = _moments(usable, features)
+    if not n_known:
         return missing.withColumn(value, F.lit(None).cast("double"))
-    z = F.array(*[(F.col(c).cast("double") - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in features])
+    z = F.array(*[(F.col(c).cast("double") - F.lit(moments[c][0])) / F.lit(moments[c][1] or 1.0) for c in features])
     points = usable.select(F.col(key).alias("id"), F.col(value).cast("double").alias("value"), z.alias("p"))
     # of equal points only k can be among the nearest
     points = points.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy("id"))).where(F.col("_n") <= k).drop("_n")
-    depth = min(int(log2(MOST_BOXES)), max(0, ceil(log2(stats["n"] / BOX_ROWS))))
-    share = min(1.0, 2.0**depth * SAMPLED / stats["n"])
+    depth = min(int(log2(MOST_BOXES)), max(0, ceil(log2(n_known / BOX_ROWS))))
+    share = min(1.0, 2.0**depth * SAMPLED / n_known)
     sample = np.array([r.p for r in points.select("p").sample(share, seed=1).limit(2 * MOST_BOXES * SAMPLED).collect()]).reshape(-1, d) if depth else np.zeros((0, d))
     cuts = Cuts(sample, depth)
 

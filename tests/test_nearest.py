@@ -1,5 +1,8 @@
 """Nearest rows in several features against all distances."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,3 +44,23 @@ def test_few_known_rows(spark):
     same = three.withColumn("x", F.lit(4.0))
     assert {r.v for r in nearest.k_nearest_mean(todo, same, "k", ["x"], "v", k=2).collect()} == {4.5}
     assert nearest.k_nearest_mean(todo.limit(0), three, "k", ["x"], "v").count() == 0
+
+
+def test_rows_equally_far_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = np.random.default_rng(3)
+    cents = np.sort(rng.choice(2_000_000, 1200, replace=False)) * 2 - 100_000
+    base = spark.createDataFrame([(1000 + i, float(c) / 100, float(i)) for i, c in enumerate(cents)], "k long, x double, v double").coalesce(1)
+    # each asks from the middle between two known rows: on paper a tie, decided by the last bits of mean and deviation
+    todo = spark.createDataFrame([(i, float(a + b) / 200) for i, (a, b) in enumerate(zip(cents[:200], cents[1:], strict=False))], "k long, x double")
+    got = [{r.k: r.v for r in nearest.k_nearest_mean(todo, base.repartition(parts, "k"), "k", ["x"], "v", k=1).collect()} for parts in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_moments_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(4551, 3180, 500), rng.normal(size=500) * 1e-9, [1e12, -1e12, 0.1]])
+    rows = spark.createDataFrame([(float(v), 7.0) for v in x], "x double, y double")
+    n, found = nearest._moments(rows.repartition(5), ["x", "y"])
+    mean = float(sum(map(Fraction, x.tolist())) / len(x))
+    assert n == len(x) and found["x"][0] == mean and found["y"] == (7.0, 0.0)
+    assert abs(found["x"][1] / float(np.sqrt(math.fsum((x - mean) ** 2) / len(x))) - 1) < 1e-15
