@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from flightloom.functions import features as X
-from flightloom.operators import models
+from flightloom.operators import models, quantiles
 
 
 def test_two_stages_fill_everything(spark):
@@ -69,3 +69,18 @@ def test_most_gained(spark):
 
     gains = {("", "y", "b"): 2.0, ("x", "y", "b"): 1.0, ("", "y", "a"): 2.5}
     assert models.most_gained(SimpleNamespace(features=["a", "b", "c"], gains=gains), 2) == ["b", "a"]
+
+
+def test_only_rows_with_gaps_are_guessed(spark, monkeypatch):
+    """Imputation asks its models for rows that miss a value, and orders no values for medians."""
+    asked, wanted = [], []
+    predict, exact = models.trees.predict, quantiles.exact
+    monkeypatch.setattr(models.trees, "predict", lambda *a: asked.append(predict(*a)) or asked[-1])
+    monkeypatch.setattr(quantiles, "exact", lambda df, w: wanted.append(w) or exact(df, w))
+    df = spark.range(400).selectExpr("id", "id % 20 / 2D AS x", "CASE WHEN id % 4 > 0 THEN id % 20 * 3D END AS y", "cast(NULL AS double) AS empty")
+    out = models.impute_targets(df, ["y", "empty"], ["x"], trees=2, depth=3, rate=1.0, bins=16, least=5)
+    assert out.where("y IS NULL OR empty <> 0 OR empty IS NULL").count() == 0
+    one = models.impute_targets(df, ["y"], ["x"], trees=2, depth=3, rate=1.0, bins=16, least=5)
+    assert one.where("y IS NULL").count() == 0
+    assert asked[-1].where("(y IS NULL) <> (_g_y IS NOT NULL)").count() == 0
+    assert all(q != [0.5] for w in wanted for q in w.values())

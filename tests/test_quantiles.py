@@ -54,3 +54,16 @@ def test_percentiles_by_group(spark, monkeypatch, part):
     for key, values in want.items():
         assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(got[key], values, strict=True)), key
     assert quantiles.by_group(df.limit(0), ["k"], "v", [0.5], ["m"]).count() == 0
+
+
+def test_one_summary_a_column(spark, monkeypatch):
+    """Ranks that are looked for between the same bounds share one approximation."""
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    asked = []
+    plain = quantiles.F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: asked.append(1) or plain(*a))
+    df = spark.range(3000).selectExpr("id / 7D AS a", "-id / 3D AS b")
+    todo = [quantiles.Bracket(c, k, 3000, inside=3000) for c in "ab" for k in (29, 30, 2969, 2970)]
+    quantiles._shrink(df, todo)
+    assert len(asked) == 2
+    assert all(b.value is not None or b.inside < 50 for b in todo)
