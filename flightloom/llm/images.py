@@ -10,15 +10,19 @@ matches, and enough matches that agree on one rotation, scale and shift link two
 images.
 
 Equal images become one class first.  A table streams its keys' features in
-order: up to `window` features are all compared with each other, those of a
-larger key only with its first one, so that small groups are compared in full
-and large ones in linear time.  Keys larger than that are compared once more,
-but only features of images that are not yet connected with the first one's, in
-blocks against blocks (all such features meet, none is left out; the cost grows
-with the square of what is still apart under one key).  Keys that hold more than a share of all
-features are dealt over several tasks, each with the key's first feature.
-Matches carry numbers only; places are looked up for pairs of images with enough
-matches.
+order and matches each with its key's first one, so that a group of copies costs
+as many rows as it has features; what these matches link is connected first.
+After that only pairs of images that are still apart count.  Keys of up to
+`window` features are compared in full.  In larger keys, features of images that
+are apart from the first one's meet in blocks against blocks (none is left out;
+the comparisons grow with the square of what is still apart under one key), but a
+pair of images comes out only if it can reach enough votes: large keys have an
+order, an image's features carry its large keys from their own on, and the keys
+that two images share must allow enough matches, together with the matches that
+smaller keys gave.  Such pairs are compared feature by feature at once, so that
+no match of a pair without enough of them is written.  Keys that hold more than a
+share of all features are dealt over several tasks, each with the key's first
+feature.
 """
 
 from __future__ import annotations
@@ -41,7 +45,10 @@ STEP, APART, RADIUS, HAMMING, VOTES = 0.8, 6, 15, 36, 4
 BANDS = 8
 
 #: Features of a key that are compared with each other at once; rows of a block where the rest is compared.
-WINDOW, BLOCK = 64, 2048
+WINDOW, BLOCK = 32, 2048
+
+#: Elements that a task compares or looks up at once.
+AT_ONCE = 1 << 21
 
 #: A key with more features than this, and more than this share of all, is dealt over several tasks.
 HOT_ROWS, HOT_SHARE = 4096, 1 / 2000
@@ -207,15 +214,19 @@ def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int32)
 
 
-def _matched(v: np.ndarray, f: np.ndarray, w: np.ndarray, g: np.ndarray) -> pa.RecordBatch:
+def _matched(v: np.ndarray, f: np.ndarray, w: np.ndarray, g: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """Matches with the smaller image first."""
     turn = v > w
-    sides = [np.where(turn, w, v), np.where(turn, g, f), np.where(turn, v, w), np.where(turn, f, g)]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(sides, (np.int64, np.int32) * 2, strict=True)], names=["a", "af", "b", "bf"])
+    sides = [np.where(turn, w, v), np.where(turn, g, f), np.where(turn, v, w), np.where(turn, f, g), kind]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(sides, (np.int64, np.int32, np.int64, np.int32, np.int8), strict=True)], names=["a", "af", "b", "bf", "kind"])
+
+
+#: Kinds of rows that the stream gives: large keys, their matches with the first feature, those of smaller keys, and all others of these.
+LARGE, STAR, SMALL_STAR, SMALL = range(4)
 
 
 def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
-    """Matches among the features of keys up to `window`, and of larger keys with their first; these as rows with af = -1, a the key, b the first image."""
+    """Matches among the features of keys up to `window`, and of larger keys with their first; these as rows with a the key, b the first image."""
 
     def matched(v: np.ndarray, f: np.ndarray, d: np.ndarray, start: np.ndarray, small: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of whole runs that are `small` with all before them, other rows with their run's first one (at `start`)."""
@@ -228,11 +239,11 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
             i = near[v[near] != v[near - lag]]
             i = i[_apart(d[i], d[i - lag]) <= hamming]
             if len(i):
-                yield _matched(v[i], f[i], v[i - lag], f[i - lag])
+                yield _matched(v[i], f[i], v[i - lag], f[i - lag], np.where(place[i] == lag, SMALL_STAR, SMALL))
         far = np.flatnonzero(~small & (v != v[start]))
         far = far[_apart(d[far], d[start[far]]) <= hamming]
         if len(far):
-            yield _matched(v[far], f[far], v[start[far]], f[start[far]])
+            yield _matched(v[far], f[far], v[start[far]], f[start[far]], np.full(len(far), STAR))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # rows of the run that is open: all while it is small, then the first one
@@ -241,12 +252,13 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             v, f, d = _arrays(batch)
-            run_of = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt")], axis=1)
+            run_of = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "follows")], axis=1)
             if held is not None:
                 v, f, d, run_of = (np.concatenate(x) for x in zip(held, (v, f, d, run_of), strict=True))
-            start = np.flatnonzero(np.append(True, (run_of[1:] != run_of[:-1]).any(axis=1)))
+            start = np.flatnonzero(np.append(True, (run_of[1:, :2] != run_of[:-1, :2]).any(axis=1)))
             size = np.diff(np.append(start, len(v)))
-            over = size > window
+            # a key that is dealt over several salts is large, however few of its rows a salt has
+            over = (size > window) | (run_of[start, 2] == 0)
             over[0] |= large
             told = large
             # the last run stays open, but for rows of a large one
@@ -257,7 +269,8 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
                 yield from matched(v[:done], f[:done], d[:done], whole, ~np.repeat(over, size)[:done])
             at = start[over][1:] if told else start[over]
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(run_of[at, 0]), pa.array(np.full(len(at), -1, dtype=np.int32)), pa.array(v[at]), pa.array(np.full(len(at), -1, dtype=np.int32))], names=["a", "af", "b", "bf"])
+                none = pa.array(np.full(len(at), -1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(run_of[at, 0]), none, pa.array(v[at]), none, pa.array(np.full(len(at), LARGE, dtype=np.int8))], names=["a", "af", "b", "bf", "kind"])
             large = bool(over[-1])
             keep = slice(open_, open_ + 1 if large else None)
             held = (v[keep], f[keep], d[keep], run_of[keep])
@@ -265,11 +278,52 @@ def _streamed(dealt: DataFrame, hamming: int, window: int) -> DataFrame:
             yield from matched(*held[:3], np.zeros(len(held[0]), dtype=np.int64), np.ones(len(held[0]), dtype=bool))
 
     # every feature of a key and salt in one task, the key's first feature first
-    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "follows", "v", "f").mapInArrow(run, MATCHES)
+    return dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "follows", "v", "f").mapInArrow(run, f"{MATCHES}, kind byte")
+
+
+#: An image's large key as a number: how many features the key has (so rare ones are smaller), the key, and in the last two bits the most features that one image has there, less one.
+def _token(n: str, key: str, most: str) -> F.Column:
+    return F.shiftleft(F.least(F.col(n), F.lit((1 << 26) - 1)), 37) + F.shiftleft(F.col(key), 2) + F.least(F.col(most), F.lit(4)) - 1
+
+
+def _reach(tokens: F.Column, votes: int) -> F.Column:
+    """The most votes that these large keys can give two images that share them."""
+    return F.aggregate(tokens, F.lit(0), lambda n, x: n + F.when(x.bitwiseAND(F.lit(3)) == 3, max(4, votes)).otherwise(x.bitwiseAND(F.lit(3)).cast("int") + 1))
+
+
+def _crowded(spark: SparkSession, keyed: DataFrame, large: DataFrame, votes: int) -> tuple[DataFrame, DataFrame]:
+    """(key, v, f, d0..d3, tail) of large keys, and (v, tokens): an image's large keys, rarest first; tail are those from the row's own on, with features.
+
+    The rarest large key that two images share has all others in both tails, so
+    rows whose tail cannot give enough votes are not needed."""
+    rows = staged(spark, keyed.join(large.select("key"), "key"))
+    counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("c"))
+    named = staged(spark, counted.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most")).select("key", _token("n", "key", "most").alias("token")))
+    held = staged(spark, rows.join(named, "key").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("token", "f"))).alias("all")))
+    tokens = held.select("v", F.array_distinct("all.token").alias("tokens"), "all")
+    able = tokens.where(_reach(F.col("tokens"), votes) >= votes).select("v", "all")
+    tail = F.filter("all", lambda x: x["token"] >= F.col("token"))
+    tailed = rows.join(named, "key").join(able, "v").select("key", "v", "f", *DESCRIPTOR, tail.alias("tail"))
+    return tailed.where(_reach(F.array_distinct("tail.token"), votes) >= votes), tokens.drop("all")
+
+
+def _shared(tokens: np.ndarray, features: np.ndarray, starts: np.ndarray, i: np.ndarray, j: np.ndarray, votes: int) -> np.ndarray:
+    """Whether row i's list holds at least `votes` features under keys that row j's holds, too (row k's is at starts[k] : starts[k + 1])."""
+
+    def flat(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = starts[rows + 1] - starts[rows]
+        pair = np.repeat(np.arange(len(rows)), size)
+        return pair, np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[rows], size)
+
+    (pair, mine), (other, theirs) = flat(i), flat(j)
+    named = lambda p, at: K.mix64(tokens[at].view(np.uint64) ^ K.mix64(p.astype(np.uint64)))
+    both = np.isin(named(pair, mine), named(other, theirs))
+    once = np.unique(pair[both] << 32 | features[mine[both]])
+    return np.bincount(once >> 32, minlength=len(i)) >= votes
 
 
-def _blocks(members: DataFrame, hamming: int, block: int) -> DataFrame:
-    """Matches of each key's rest (images in another component than the first one's) with its features in other components.
+def _blocks(members: DataFrame, hamming: int, votes: int, block: int) -> DataFrame:
+    """Pairs (a, b) of images with a match between a key's rest (images in another component than the first one's) and its features in other components, and enough large keys from this one on in common.
 
     Rest and members are cut into blocks by hash; each pair of blocks is a task's work."""
     totals = members.groupBy("key").agg(F.count(F.lit(1)).alias("cm"), F.sum(F.col("rest").cast("long")).alias("cx")).where("cx > 0")
@@ -278,19 +332,31 @@ def _blocks(members: DataFrame, hamming: int, block: int) -> DataFrame:
     cut = members.join(totals.select("key", parts("cm").alias("pm"), parts("cx").alias("px")), "key")
     plain = cut.withColumns({"side": F.lit(0), "mi": F.pmod(own, F.col("pm")), "xi": F.explode(F.sequence(F.lit(0), F.col("px") - 1))})
     asked = cut.where("rest").withColumns({"side": F.lit(1), "xi": F.pmod(own, F.col("px")), "mi": F.explode(F.sequence(F.lit(0), F.col("pm") - 1))})
-    names = ["key", "mi", "xi", "side", "v", "f", "comp", *DESCRIPTOR]
+    names = ["key", "mi", "xi", "side", "v", "f", "comp", *DESCRIPTOR, "tail"]
     both = plain.select(*names).unionByName(asked.select(*names)).repartition("key", "mi", "xi").sortWithinPartitions("key", "mi", "xi", "side")
 
     def compared(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         v, f, d = _arrays(group)
         side, comp = (group.column(c).to_numpy(zero_copy_only=False) for c in ("side", "comp"))
+        tail = group.column("tail")
+        tokens, features = (tail.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("token", "f"))
+        starts = np.append(0, np.cumsum(pa.compute.list_value_length(tail).to_numpy(zero_copy_only=False)))
         there = np.flatnonzero(side == 0)
+        found = np.empty((0, 2), dtype=np.int64)
         for x in np.array_split(np.flatnonzero(side == 1), max(1, len(there) // 256)):
             if not len(x) or not len(there):
                 continue
             i, j = np.nonzero((comp[x][:, None] != comp[there][None]) & (_apart(d[x][:, None], d[there][None]) <= hamming))
-            yield _matched(v[x[i]], f[x[i]], v[there[j]], f[there[j]])
+            # votes are counted by the features of the smaller image
+            turn = v[x[i]] > v[there[j]]
+            i, j = np.where(turn, there[j], x[i]), np.where(turn, x[i], there[j])
+            for part in np.array_split(np.arange(len(i)), 1 + (starts[i + 1] - starts[i] + starts[j + 1] - starts[j]).sum() // AT_ONCE):
+                good = part[_shared(tokens, features, starts, i[part], j[part], votes)]
+                if len(good):
+                    found = np.unique(np.concatenate([found, np.stack([v[i[good]], v[j[good]]], axis=1)]), axis=0)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -309,7 +375,31 @@ def _blocks(members: DataFrame, hamming: int, block: int) -> DataFrame:
         if held:
             yield from compared(held)
 
-    return both.mapInArrow(run, MATCHES)
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _agree(row: np.ndarray, p: list[np.ndarray], q: list[np.ndarray], rows: int, votes: int) -> np.ndarray:
+    """Which of `rows` pairs have enough matches, at different spots, on one similarity; p and q are x, y, scale and angle of each match's ends, row its pair."""
+    (px, py, ps, pt), (qx, qy, qs, qt) = p, q
+    # the similarity that maps a onto b: turn, log2 of the scale, shift
+    turn, zoom = qt - pt, ps / qs
+    dx = qx - zoom * (np.cos(turn) * px - np.sin(turn) * py)
+    dy = qy - zoom * (np.sin(turn) * px + np.cos(turn) * py)
+    part = np.mod(turn, 2 * np.pi) / (np.pi / 6)
+    spot = K.mix64(px.view(np.uint64) + K.mix64(py.view(np.uint64)))
+    good = np.zeros(rows, dtype=bool)
+    # two overlapping grids, so that a group of votes is whole in one of them
+    for half in (0.0, 0.5):
+        cell = K.mix64(row.astype(np.uint64))
+        for c in (np.floor(part + half) % 12, np.floor(np.log2(zoom) * 2 + 0.5), np.floor(dx / 16 + half), np.floor(dy / 16 + half)):
+            cell = K.mix64(cell + c.astype(np.int64).view(np.uint64))
+        _, one = np.unique(K.mix64(cell) ^ spot, return_index=True)
+        _, at_cell, count = np.unique(cell[one], return_index=True, return_counts=True)
+        good[row[one[at_cell[count >= votes]]]] = True
+    return good
+
+
+PLACE = ("x", "y", "scale", "angle")
 
 
 def _agreeing(matches: DataFrame, places: DataFrame, votes: int) -> DataFrame:
@@ -328,23 +418,42 @@ def _agreeing(matches: DataFrame, places: DataFrame, votes: int) -> DataFrame:
                 lists = batch.column(at)
                 starts = np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))
                 which = starts[row] + m.flatten().field(number).to_numpy(zero_copy_only=False)
-                sides.append([lists.flatten().field(c).to_numpy(zero_copy_only=False)[which].astype(np.float64) for c in ("x", "y", "scale", "angle")])
-            (px, py, ps, pt), (qx, qy, qs, qt) = sides
-            # the similarity that maps a onto b: turn, log2 of the scale, shift
-            turn, zoom = qt - pt, ps / qs
-            dx = qx - zoom * (np.cos(turn) * px - np.sin(turn) * py)
-            dy = qy - zoom * (np.sin(turn) * px + np.cos(turn) * py)
-            part = np.mod(turn, 2 * np.pi) / (np.pi / 6)
-            spot = K.mix64(px.view(np.uint64) + K.mix64(py.view(np.uint64)))
+                sides.append([lists.flatten().field(c).to_numpy(zero_copy_only=False)[which].astype(np.float64) for c in PLACE])
+            keep = pa.array(_agree(row, *sides, batch.num_rows, votes))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return sided.mapInArrow(run, "a long, b long")
+
+
+def _compared(pairs: DataFrame, features: DataFrame, hamming: int, votes: int) -> DataFrame:
+    """The pairs (a, b) of images that are linked, by all their features: matches share a band."""
+    sided = pairs.join(features.select(F.col("v").alias("a"), F.col("corners").alias("_a")), "a").join(features.select(F.col("v").alias("b"), F.col("corners").alias("_b")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends, starts, bits = [], [], []
+            for side in ("_a", "_b"):
+                flat = batch.column(side).flatten()
+                ends.append([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in PLACE])
+                bits.append(np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in DESCRIPTOR], axis=1))
+                starts.append(np.append(0, np.cumsum(pa.compute.list_value_length(batch.column(side)).to_numpy(zero_copy_only=False))))
             good = np.zeros(batch.num_rows, dtype=bool)
-            # two overlapping grids, so that a group of votes is whole in one of them
-            for half in (0.0, 0.5):
-                cell = K.mix64(row.astype(np.uint64))
-                for c in (np.floor(part + half) % 12, np.floor(np.log2(zoom) * 2 + 0.5), np.floor(dx / 16 + half), np.floor(dy / 16 + half)):
-                    cell = K.mix64(cell + c.astype(np.int64).view(np.uint64))
-                _, one = np.unique(K.mix64(cell) ^ spot, return_index=True)
-                _, at_cell, count = np.unique(cell[one], return_index=True, return_counts=True)
-                good[row[one[at_cell[count >= votes]]]] = True
+            for k in range(batch.num_rows):
+                mine, theirs = (slice(s[k], s[k + 1]) for s in starts)
+                other = bits[1][theirs]
+                i, j = [], []
+                for at in range(mine.start, mine.stop, step := max(1, AT_ONCE // (8 * len(other) + 1))):
+                    own = bits[0][at : min(at + step, mine.stop)]
+                    differ = own[:, None] ^ other[None]
+                    near = np.bitwise_count(differ).sum(axis=-1, dtype=np.int32) <= hamming
+                    x, y = np.nonzero(near & (differ.view(np.uint32) == 0).any(axis=-1))
+                    i.append(x + at)
+                    j.append(y + theirs.start)
+                x, y = np.concatenate(i), np.concatenate(j)
+                if len(x) >= votes:
+                    good[k] = _agree(np.zeros(len(x), dtype=np.int64), [c[x] for c in ends[0]], [c[y] for c in ends[1]], 1, votes)[0]
             keep = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -371,29 +480,35 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", hamm
     described = staged(spark, _described(rows, "image", ["id", "same", *held]).withColumn("row", F.monotonically_increasing_id()))
     classes = staged(spark, described.where("id is not null and size(corners) > 0").groupBy("same").agg(F.min("row").alias("v")))
     features = described.join(few(classes)(classes.select(F.col("v").alias("row"))), "row", "left_semi").withColumnRenamed("row", "v")
-    places = features.select("v", F.transform("corners", lambda c: F.struct(*[c[k].alias(k) for k in ("x", "y", "scale", "angle")])).alias("at"))
+    places = features.select("v", F.transform("corners", lambda c: F.struct(*[c[k].alias(k) for k in PLACE])).alias("at"))
     keyed = _keyed(features)
     found = staged(spark, _streamed(_dealt(spark, keyed, hot_rows, hot_share), hamming, window))
-    matches = found.where("af >= 0")
-    links = staged(spark, _agreeing(matches, places, votes))
+    links = staged(spark, _agreeing(found.where(F.col("kind").isin(STAR, SMALL_STAR)), places, votes))
     labels = components(spark, links)
-    large = staged(spark, found.where("af < 0").groupBy(F.col("a").alias("key")).agg(F.min("b").alias("v")))
+    # from here on only images that are still apart count
+    ends = labels.select(F.col("v").alias("a"), F.col("comp").alias("_a")), labels.select(F.col("v").alias("b"), F.col("comp").alias("_b"))
+    before = found.where(F.col("kind").isin(SMALL_STAR, SMALL)).join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    known = staged(spark, before.groupBy("a", "b").agg(F.size(F.collect_set("af")).alias("m")))
+    asked = known.where(F.col("m") >= votes).select("a", "b")
+    large = staged(spark, found.where(F.col("kind") == LARGE).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("v")))
     if not large.isEmpty():
         placed = lambda df: df.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        crowded, tokens = _crowded(spark, keyed, large, votes)
         mains = placed(large).select("key", F.col("comp").alias("main"))
-        members = staged(spark, placed(keyed.join(mains, "key")).withColumn("rest", F.col("comp") != F.col("main")).drop("main"))
-        more = _blocks(members, hamming, block)
-        # what the first pass found between images that are still apart counts, too
-        ends = labels.select(F.col("v").alias("a"), F.col("comp").alias("_a")), labels.select(F.col("v").alias("b"), F.col("comp").alias("_b"))
-        before = matches.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "af", "b", "bf")
-        more = staged(spark, _agreeing(before.unionByName(more), places, votes))
-        if not more.isEmpty():
-            links = staged(spark, links.unionByName(more).distinct())
-            labels = components(spark, links)
+        members = staged(spark, placed(crowded).join(mains, "key").withColumn("rest", F.col("comp") != F.col("main")).drop("main"))
+        # matches of smaller keys that need those of large ones
+        of = lambda v: tokens.select(F.col("v").alias(v), F.col("tokens").alias(f"_{v}"))
+        mixed = known.where(F.col("m") < votes).join(of("a"), "a").where(_reach(F.col("_a"), votes) + F.col("m") >= votes).join(of("b"), "b")
+        mixed = mixed.where(_reach(F.array_intersect("_a", "_b"), votes) + F.col("m") >= votes).select("a", "b")
+        asked = asked.union(mixed).union(_blocks(members, hamming, votes, block)).distinct()
+    more = staged(spark, _compared(asked, features, hamming, votes))
+    if not more.isEmpty():
+        links = staged(spark, links.unionByName(more).distinct())
+        labels = components(spark, links)
     counts = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    known = classes.join(labels, "v", "left").join(counts, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    classed = classes.join(labels, "v", "left").join(counts, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    of_row = described.select("id", "same", *held, F.size("corners").alias("n_corners")).join(known.select("same", "comp", "n_links"), "same", "left")
+    of_row = described.select("id", "same", *held, F.size("corners").alias("n_corners")).join(classed.select("same", "comp", "n_links"), "same", "left")
     # rows of one id belong together whatever their images
     twice = of_row.where("id is not null and comp is not null").select("id", "comp").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("a")).where("n > 1")
     pairs = staged(spark, of_row.join(twice.select("id", "a"), "id").where("comp <> a").select("a", F.col("comp").alias("b")).distinct())

@@ -346,6 +346,52 @@ def test_op6_copies(spark):
     assert {(r.id, r.class_id) for r in images.copies(two).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_op6_matches_do_not_grow_with_the_square(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    common = rng.integers(-(2**63), 2**63, (8, 4))
+    seen = []
+    agreeing, compared = images._agreeing, getattr(images, "_compared", None)
+    monkeypatch.setattr(images, "_agreeing", lambda matches, *rest: seen.append(matches.count()) or agreeing(matches, *rest))
+    if compared:
+        monkeypatch.setattr(images, "_compared", lambda pairs, *rest: seen.append(pairs.count()) or compared(pairs, *rest))
+
+    def corners(bits, places):
+        return [(float(x), float(y), 1.0, 0.0, *map(int, d)) for (x, y), d in zip(places, bits, strict=True)]
+
+    def fresh(n):
+        return rng.integers(-(2**63), 2**63, (n, 4)), rng.integers(0, 2000, (n, 2))
+
+    def run(n):
+        """n images that share two common features each with others, a copy of each tenth, two pairs that only common features link, two that these and one of their own link."""
+        rows, want = [], {}
+        for i in range(n):
+            bits, places = fresh(6)
+            bits[:2] = common[rng.choice(8, 2, replace=False)]
+            rows.append((i, corners(bits, places)))
+            if i % 10 == 0:
+                rows.append((1000 + i, corners(bits, places + [3, 5])))
+                want[1000 + i] = i
+        for k, of_own in enumerate((0, 0, 1, 1)):
+            bits, places = fresh(4)
+            bits[of_own:] = common[rng.choice(8, 4 - of_own, replace=False)]
+            for at in (2000, 3000):
+                more, beside = fresh(3)
+                rows.append((at + k, corners(np.concatenate([bits, more]), np.concatenate([places + at // 1000, beside]))))
+            want[3000 + k] = 2000 + k
+        of = f"id long, same string, corners array<struct<{images.CORNER}>>"
+        table = spark.createDataFrame([(i, str(i), c) for i, c in rows], of)
+        monkeypatch.setattr(images, "_described", lambda *_: table)
+        seen.clear()
+        got = images.copies(table.select("id", F.lit(b"").alias("image")), window=4, block=16).collect()
+        assert {r.id: r.class_id for r in got} == {i: want.get(i, i) for i, _ in rows}
+        return sum(seen)
+
+    few, many = run(80), run(320)
+    assert many <= 5 * few
+
+
 def test_op8_held_out_accuracy(spark, empty):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(df.where(~language_id.held_out("doc_id")), docs_per_lang=200)
