@@ -45,7 +45,7 @@ STEP, APART, RADIUS, HAMMING, VOTES = 0.8, 6, 15, 36, 4
 BANDS = 8
 
 #: Features of a key that are compared with each other at once; rows of a block where the rest is compared.
-WINDOW, BLOCK = 32, 2048
+WINDOW, BLOCK = 64, 2048
 
 #: Elements that a task compares or looks up at once.
 AT_ONCE = 1 << 21
@@ -292,18 +292,21 @@ def _reach(tokens: F.Column, votes: int) -> F.Column:
 
 
 def _crowded(spark: SparkSession, keyed: DataFrame, large: DataFrame, votes: int) -> tuple[DataFrame, DataFrame]:
-    """(key, v, f, d0..d3, tail) of large keys, and (v, tokens): an image's large keys, rarest first; tail are those from the row's own on, with features.
+    """(key, v, f, d0..d3, first, tail) of large keys, and (v, tokens): an image's large keys, rarest first; first is the key's first image, tail are the image's keys from the row's own on, with features.
 
     The rarest large key that two images share has all others in both tails, so
     rows whose tail cannot give enough votes are not needed."""
-    rows = staged(spark, keyed.join(large.select("key"), "key"))
-    counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("c"))
-    named = staged(spark, counted.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most")).select("key", _token("n", "key", "most").alias("token")))
-    held = staged(spark, rows.join(named, "key").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("token", "f"))).alias("all")))
+    rows = staged(spark, keyed.join(large.select("key", F.col("v").alias("first")), "key"))
+    counted = rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("c"), F.first("first").alias("first"), F.collect_list("f").alias("fs"))
+    # the rows of a key, one an image, meet its size again without the descriptors
+    sized = counted.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("most")).select("key", _token("n", "key", "most").alias("token"))
+    held = counted.join(sized, "key").groupBy("v").agg(F.array_sort(F.flatten(F.collect_list(F.transform("fs", lambda f: F.struct(F.col("token"), f.alias("f")))))).alias("all"))
+    held = staged(spark, held)
     tokens = held.select("v", F.array_distinct("all.token").alias("tokens"), "all")
     able = tokens.where(_reach(F.col("tokens"), votes) >= votes).select("v", "all")
-    tail = F.filter("all", lambda x: x["token"] >= F.col("token"))
-    tailed = rows.join(named, "key").join(able, "v").select("key", "v", "f", *DESCRIPTOR, tail.alias("tail"))
+    # a row finds its own token in its image's list: bits 2 to 36 are the key
+    own = F.filter("all", lambda x: F.shiftrightunsigned(x["token"], 2).bitwiseAND(F.lit((1 << 35) - 1)) == F.col("key"))[0]["token"]
+    tailed = rows.join(able, "v").withColumn("token", own).select("key", "v", "f", *DESCRIPTOR, "first", F.filter("all", lambda x: x["token"] >= F.col("token")).alias("tail"))
     return tailed.where(_reach(F.array_distinct("tail.token"), votes) >= votes), tokens.drop("all")
 
 
@@ -494,8 +497,8 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image", hamm
     if not large.isEmpty():
         placed = lambda df: df.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
         crowded, tokens = _crowded(spark, keyed, large, votes)
-        mains = placed(large).select("key", F.col("comp").alias("main"))
-        members = staged(spark, placed(crowded).join(mains, "key").withColumn("rest", F.col("comp") != F.col("main")).drop("main"))
+        mains = labels.select(F.col("v").alias("first"), F.col("comp").alias("main"))
+        members = staged(spark, placed(crowded).join(mains, "first", "left").withColumn("rest", F.col("comp") != F.coalesce("main", "first")).drop("main", "first"))
         # matches of smaller keys that need those of large ones
         of = lambda v: tokens.select(F.col("v").alias(v), F.col("tokens").alias(f"_{v}"))
         mixed = known.where(F.col("m") < votes).join(of("a"), "a").where(_reach(F.col("_a"), votes) + F.col("m") >= votes).join(of("b"), "b")
