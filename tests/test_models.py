@@ -50,6 +50,15 @@ def test_extract_and_multipliers(spark):
     assert models.monotone_of(["x_climb_time_sec", "gs"]) == {"x_climb_time_sec": 1}
 
 
+def test_multipliers_learn_from_all_rows(spark):
+    """A type with more than 10,000 entities: its mean is that of all of them."""
+    df = spark.range(12_000).selectExpr("id AS entity", "'k' AS kind", "cast(id * id % 1009 AS double) AS actual", "1D AS guess")
+    out, model = models.type_multipliers(df, ["guess"], "kind", "entity", "actual", {"g": "guess"}, trees=1, depth=1)
+    want = sum(i * i % 1009 for i in range(12_000)) / 12_000
+    assert abs(model.base[0, 0] - want) < 1e-9
+    assert out.where(F.abs(F.col("multiplier_g") - want) > 1e-9).count() == 0
+
+
 def test_training_rows_by_first_digits(spark, monkeypatch):
     """The same entities as the smallest hashes of each type, whatever number of digits is counted first."""
     import hashlib
