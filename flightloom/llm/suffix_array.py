@@ -34,6 +34,8 @@ class Level:
         self.spec, self.rank = spec, rank
         for k in self.FIELDS:
             setattr(self, k, columns[k][order])
+        self.by_h = np.argsort(self.h, kind="stable")
+        self.sorted_h = self.h[self.by_h]
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, spec: R.Windows) -> Level:
@@ -47,7 +49,7 @@ class Level:
         if other is None:
             mine, theirs = np.arange(len(self.h)), None
         else:
-            mine, theirs = np.flatnonzero(np.isin(self.h, other.h)), np.flatnonzero(np.isin(other.h, self.h))
+            mine, theirs = self.shared(other)
             if not len(mine):
                 return
         sides = [(self, mine)] + ([(other, theirs)] if other is not None else [])
@@ -58,6 +60,16 @@ class Level:
             level.flags[rows] |= both["flags"][at : at + len(rows)]
             at += len(rows)
 
+    def shared(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Rows here and there whose anchors both have, found from this level's side: a large other one is not gone through."""
+        anchors = np.unique(self.h)
+        low, high = (np.searchsorted(other.sorted_h, anchors, side) for side in ("left", "right"))
+        both = high > low
+        mine = np.flatnonzero(np.isin(self.h, anchors[both]))
+        low, size = low[both], (high - low)[both]
+        theirs = other.by_h[np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)]
+        return mine, np.sort(theirs)
+
     def merged(self, other: Level) -> Level:
         return Level(self.spec, {k: np.concatenate([getattr(self, k), getattr(other, k)]) for k in self.FIELDS}, self.rank + 1)
 
@@ -118,7 +130,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     texts = R.keyed(docs, id_col, text_col)
-    found = R.with_spans(texts, R.repeated_spans(texts, spec, resolve, hot))
+    # units of one anchor come together, so that a batch has few anchors in common with the levels before it
+    found = R.with_spans(texts, R.repeated_spans(texts, spec, resolve, hot, ordered=True))
     out = found.mapInArrow(cut, "doc long, text binary, n_bytes long, n_removed long, spans array<struct<s: long, e: long>>")
     return out.withColumn("id", F.when(F.col("doc") != R.NO_ID, F.col("doc"))).select("id", "text", "n_bytes", "n_removed", "spans")
 
